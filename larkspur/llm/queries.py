@@ -8,21 +8,57 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import rendered
 from .common import table
+from .extract import main_text
+from .jaccard import near_copies
 from .packing import pack
+from .pivots import near_vectors
+from .suffix_index import without_repeats
 from .token_archive import archived
+from .warc import archived as warc_archived
 
 
 def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"), with_kept=False)
+
+
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_archive": op1_token_archive,
+    "op3_chat_format": op3_chat_format,
+    "op5_warc": op5_warc,
     "op6_packing": op6_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_html_extract": op8_html_extract,
+    "op9_pivot_neighbours": op9_pivot_neighbours,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 ORACLE_SQL: dict[str, str] = {}
