@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from .chat import rendered
 from .common import table
 from .extract import main_text
+from .importance import resampled
 from .jaccard import near_copies
+from .latent import leaks
 from .packing import pack
 from .pivots import near_vectors
 from .suffix_index import without_repeats
@@ -23,10 +25,18 @@ def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1)
 
 
+def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendered(table(spark, sf_dir, "conversations"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -53,7 +63,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_archive": op1_token_archive,
+    "op2_importance": op2_importance,
     "op3_chat_format": op3_chat_format,
+    "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_packing": op6_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
