@@ -1,12 +1,13 @@
 """Quality by importance resampling.
 
 Target text (documents labelled good) and raw text (all documents) are each
-modelled by the shares of documents that hold a hashed word or word pair. A
+modelled by the shares of documents that hold a hashed word, word beginning or
+ending, or word pair. A
 document's log importance weight is the sum of the log ratios of both models
-over what it holds, truncated: a ratio counts where the target has significantly
-less of a feature than the raw text (Poisson bound, Bonferroni over all
-features), so that long clean texts gain or lose nothing by chance. Documents are
-then drawn without replacement by Gumbel top-k on these weights.
+over what it holds, truncated: a ratio counts where the target has a small part
+(`rare`) at most of its share of a feature, and that significantly (Chernoff bound
+of exp(-nats)), so that long clean texts gain or lose nothing by chance, and copies
+of one bad document don't speak against its ordinary words. Documents are then drawn without replacement by Gumbel top-k on these weights.
 
 k is the number of documents above the weight that best parts good from other
 labelled documents on a fifth of the labels that the models never saw.
@@ -28,20 +29,36 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, saved, word_chunks
+from .common import mixed, pieces_of, prefix_sums, range_hash, saved, shingles, utf8, word_chunks, word_hashes
 
-BITS = 18
+BITS, RUN = 18, 6
 
 
-def features(hashes: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of each text as (text, bucket): words in the lower half of the buckets, word pairs in the upper."""
-    half = np.uint64((1 << (BITS - 1)) - 1)
-    owner = np.repeat(np.arange(len(words) - 1), np.diff(words)).astype(np.uint64)
-    single = owner << np.uint64(BITS) | mixed(hashes) & half
-    inner = owner[1:] == owner[:-1]
-    pair = mixed(hashes[:-1] * np.uint64(0x2545F4914F6CDD1D) + hashes[1:])[inner] & half
-    both = np.unique(np.concatenate([single, owner[1:][inner] << np.uint64(BITS) | pair | np.uint64(1 << (BITS - 1))]))
-    return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, text, buckets) for ranges of the column: the distinct features of each text.
+
+    Features are words, their first four and five and last two bytes, word pairs, and words said RUN times running.
+    Each has a bucket in either of two tables, since a rare feature may share one of them with a telling one.
+    """
+    most, low = np.uint64((1 << 44) - 1), np.uint64((1 << BITS) - 1)
+    data, off = utf8(column)
+    for i, j in pieces_of(off):
+        part = data[off[i] : off[j]]
+        hashes, starts, ends, words = word_hashes(part, off[i : j + 1] - off[i], lower=False)
+        sums = prefix_sums(part)
+        owner = np.repeat(np.arange(j - i), np.diff(words)).astype(np.uint64)
+        inner = owner[1:] == owner[:-1]
+        pair = mixed(hashes[:-1] * np.uint64(0x2545F4914F6CDD1D) + hashes[1:])[inner]
+        tail = mixed(part[np.maximum(ends - 2, 0)].astype(np.uint64) << np.uint64(8) | part[ends - 1].astype(np.uint64)) if len(ends) else hashes
+        found = [(owner, mixed(hashes)), (owner, tail), (owner[1:][inner], pair)]
+        for n in (4, 5):
+            found.append((owner, mixed(range_hash(sums, starts, np.minimum(starts + n, ends)) + np.uint64(n))))
+        # words of one number in `same` are a run of equal ones
+        same = np.concatenate([[0], np.cumsum(~(inner & (hashes[1:] == hashes[:-1])))]) if len(hashes) else np.zeros(0, int)
+        run = owner[RUN - 1 :][same[RUN - 1 :] == same[: len(same) - RUN + 1]] if len(same) >= RUN else owner[:0]
+        found.append((run, np.full(len(run), 7, np.uint64)))
+        both = np.unique(np.concatenate([o << np.uint64(44) | h & most for o, h in found]))
+        yield i, j, (both >> np.uint64(44)).astype(np.int64), np.stack([both & low, (both >> np.uint64(BITS) & low) + np.uint64(1 << BITS)]).astype(np.int64)
 
 
 def labelled(labels: DataFrame, most: int) -> DataFrame:
@@ -52,35 +69,64 @@ def labelled(labels: DataFrame, most: int) -> DataFrame:
     return each.orderBy(order, "doc_id").limit(most).withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(5)) == 0)
 
 
-def fit(marked: DataFrame, level: float = 0.05) -> np.ndarray:
+def with_shares(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The labels with share: one over the number of labelled documents with the same smallest word-pair hash, as near copies mostly have."""
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = np.zeros(batch.num_rows, np.uint64)
+            for i, j, hashes, words in word_chunks(batch.column("text"), lower=False):
+                grams, at = shingles(hashes, words, 2)
+                live = np.flatnonzero(np.diff(at))
+                if len(live):
+                    low[i + live] = np.minimum.reduceat(grams, at[live])
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "low": pa.array(low.view(np.int64))})
+
+    found = documents.join(F.broadcast(labels.select("doc_id")), "doc_id").mapInArrow(smallest, "doc_id long, low long").groupBy("doc_id").agg(F.min("low").alias("low"))
+    sizes = found.groupBy("low").agg(F.count("*").alias("n"))
+    shares = found.join(sizes, "low").select("doc_id", (1 / F.col("n")).alias("share"))
+    return labels.join(shares, "doc_id")
+
+
+def fit(marked: DataFrame, nats: float = 8.0, rare: float = 0.15) -> np.ndarray:
     """The truncated log ratio of each bucket, from all documents. The driver gets a row for each bucket at most."""
 
+    names = ("raw", "target", "bad", "unlike")
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+        sums = np.zeros((4, 2 << BITS))
         docs = good = 0
         for batch in batches:
-            is_target = np.array([g is True and not h for g, h in zip(batch.column("good").to_pylist(), batch.column("held").to_pylist(), strict=True)], bool)
+            label = np.array([0 if g is None or h else 1 if g else 2 for g, h in zip(batch.column("good").to_pylist(), batch.column("held").to_pylist(), strict=True)], np.int8)
+            share = batch.column("share").to_numpy(zero_copy_only=False)
             docs += batch.num_rows
-            good += int(is_target.sum())
-            for i, j, hashes, words in word_chunks(batch.column("text"), lower=False):
-                text, bucket = features(hashes, words)
-                raw += np.bincount(bucket, minlength=1 << BITS)
-                target += np.bincount(bucket[is_target[i:j][text]], minlength=1 << BITS)
-        live = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(live, -1), pa.int32()), "raw": pa.array(np.append(raw[live], docs)), "target": pa.array(np.append(target[live], good))})
-
-    rows = marked.select("text", "good", "held").mapInArrow(count, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    bucket, raw, target = (rows.column(c).to_numpy() for c in ("bucket", "raw", "target"))
-    ratio = np.zeros(1 << BITS)
+            good += int((label == 1).sum())
+            for i, j, text, buckets in features(batch.column("text")):
+                own = label[i:j][text]
+                bad = own == 2
+                for b in buckets:
+                    sums[0] += np.bincount(b, minlength=2 << BITS)
+                    sums[1] += np.bincount(b[own == 1], minlength=2 << BITS)
+                    sums[2] += np.bincount(b[bad], minlength=2 << BITS)
+                    sums[3] += np.bincount(b[bad], share[i:j][text[bad]], minlength=2 << BITS)
+        live = np.flatnonzero(sums[0])
+        whole = (docs, good, 0, 0)
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(np.append(live, -1), pa.int32())} | {n: pa.array(np.append(x[live], w).astype(float)) for n, x, w in zip(names, sums, whole, strict=True)})
+
+    rows = marked.select("text", "good", "held", "share").mapInArrow(count, "bucket int, " + ", ".join(f"{n} double" for n in names)).groupBy("bucket").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    bucket, raw, target, bad, unlike = (rows.column(c).to_numpy() for c in ("bucket", *names))
+    ratio = np.zeros(2 << BITS)
     if not len(bucket) or not target[bucket == -1].sum():
         return ratio
     share = float(target[bucket == -1][0]) / float(raw[bucket == -1][0])
     live = bucket >= 0
-    bucket, raw, target = bucket[live], raw[live].astype(float), target[live].astype(float)
-    expected = raw * share
+    bucket, raw, target, bad, unlike = (x[live] for x in (bucket, raw, target, bad, unlike))
+    # near copies of one bad document are one witness against its words
+    expected = raw * share * unlike / np.maximum(bad, 1)
     # Chernoff's bound on so few or fewer where `expected` would be usual
-    tail = expected - target + target * np.log(np.maximum(target, 1e-300) / expected)
-    few = (target < expected) & (tail >= math.log(max(1, len(bucket)) / level))
+    tail = expected - target + target * np.log(np.maximum(target, 1e-300) / np.maximum(expected, 1e-300))
+    # what clean text holds at times is no evidence, however significant
+    few = (target + 1 <= rare * (expected + 1)) & (tail >= nats)
     ratio[bucket[few]] = np.log((target[few] + 1) / (expected[few] + 1))
     return ratio
 
@@ -92,25 +138,24 @@ def weighed(marked: DataFrame, ratio: np.ndarray) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             weight = np.zeros(batch.num_rows)
-            for i, j, hashes, words in word_chunks(batch.column("text"), lower=False):
-                text, bucket = features(hashes, words)
-                weight[i:j] = np.bincount(text, model.value[bucket], j - i)
+            for i, j, text, (a, b) in features(batch.column("text")):
+                weight[i:j] = np.bincount(text, np.maximum(model.value[a], model.value[b]), j - i)
             yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "good", "held")} | {"log_weight": pa.array(weight)})
 
     return marked.mapInArrow(weigh, "doc_id long, good boolean, held boolean, log_weight double")
 
 
-def best_cut(rows: DataFrame) -> float:
-    """The weight from which on held-out documents count as good, at the best mean of both classes' accuracies."""
+def best_cut(rows: DataFrame, care: float) -> float:
+    """The weight from which on held-out documents count as good, at the best mean of both classes' accuracies, that of good ones counting `care` times."""
     step = 0.25
     found = rows.where("held and good is not null").groupBy(F.floor(F.greatest("log_weight", F.lit(-1000.0)) / step).alias("bin"), "good").count().collect()  # at most 8000 rows
     good, other = {r["bin"]: r["count"] for r in found if r["good"]}, {r["bin"]: r["count"] for r in found if not r["good"]}
     if not good or not other:
         return -math.inf
-    n_good, n_other, below_good, below_other, best, cut = sum(good.values()), sum(other.values()), 0, 0, 0.5, -math.inf
+    n_good, n_other, below_good, below_other, best, cut = sum(good.values()), sum(other.values()), 0, 0, care / (care + 1), -math.inf
     for b in sorted({*good, *other}):
         # everything below this bin is rejected
-        if (score := (1 - below_good / n_good + below_other / n_other) / 2) > best:
+        if (score := (care * (1 - below_good / n_good) + below_other / n_other) / (care + 1)) > best:
             best, cut = score, b * step
         below_good, below_other = below_good + good.get(b, 0), below_other + other.get(b, 0)
     return cut
@@ -135,20 +180,21 @@ def kth_largest(rows: DataFrame, column: str, k: int, most: int = 4096) -> float
         low, high = r["a"], r["b"]
 
 
-def resampled(documents: DataFrame, labels: DataFrame, most_labels: int = 50_000, temperature: float = 0.1, keep: int | None = None) -> DataFrame:
+def resampled(documents: DataFrame, labels: DataFrame, most_labels: int = 50_000, temperature: float = 0.1, care: float = 4.0, keep: int | None = None) -> DataFrame:
     """doc_id, log_weight, and kept for every document.
 
     most_labels bounds the labelled documents that the target model is fitted on. temperature scales the Gumbel noise
-    on the log weights. keep: how many documents to draw, if not as many as the held-out labels suggest. Documents that
+    on the log weights. care: how many times a good document's loss counts against a bad one kept, in choosing k. keep: how many documents to draw, if not as many as the held-out labels suggest. Documents that
     tie with the last one drawn are kept too.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marked = docs.join(F.broadcast(saved(labelled(labels, most_labels), "labels")), "doc_id", "left")  # most_labels rows at most
+    known = saved(with_shares(docs, saved(labelled(labels, most_labels), "labels")), "labels")
+    marked = docs.join(F.broadcast(known), "doc_id", "left")  # most_labels rows at most
     ratio = fit(marked)
     uniform = (F.xxhash64("doc_id", F.lit(41)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
     rows = saved(weighed(marked, ratio).withColumn("key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform))), "weights")
     if keep is None:
-        cut = best_cut(rows)
+        cut = best_cut(rows, care)
         keep = rows.where(F.col("log_weight") >= cut).count() if cut > -math.inf else rows.count()
     last = kth_largest(rows, "key", keep) if keep > 0 and not rows.isEmpty() else math.inf
     return rows.select("doc_id", "log_weight", (F.col("key") >= last).alias("kept"))
