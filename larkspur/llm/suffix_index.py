@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ from .common import mixed, partitions, pieces_of, prefix_sums, range_hash, saved
 
 GRAM, HALF = 16, 33
 ROWS = "kind string, part long, data binary"
-_FLUSH = 1_000_000
+_FLUSH = 400_000
+_CHUNK = 1 << 19
 
 
 def _pressed(arrays: dict[str, np.ndarray]) -> bytes:
@@ -108,7 +110,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.
     for ok, a in ((s2 >= p - back, p), (s1 <= p - back, p - back)):
         h = range_hash(sums, np.where(ok, a, 0), np.where(ok, a + HALF, 0)) >> np.uint64(32)
         halves.append(np.where(ok, np.maximum(h, 1), 0).astype(np.uint32))
-    return {"text": text, "start": s1 - offsets[text], "lead": (p - s1).astype(np.uint8), "span": (s2 - s1).astype(np.uint8), "key": (grams[p] >> np.uint64(32)).astype(np.uint32), "whole": whole, "right": halves[0], "left": halves[1]}
+    return {"text": text, "start": s1 - offsets[text], "lead": (p - s1).astype(np.uint8), "span": (s2 - s1).astype(np.uint8), "key": (grams[p] >> np.uint64(32)).astype(np.uint32), "whole": (whole >> np.uint64(32)).astype(np.uint32), "right": halves[0], "left": halves[1]}
 
 
 def _first_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -122,6 +124,11 @@ def _first_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def _stretch(rows: dict[str, np.ndarray]) -> np.ndarray:
+    """64 bits for the content of each stretch, from the three hashes of it that are kept."""
+    return rows["whole"].astype(np.uint64) << np.uint64(32) | (rows["right"] ^ rows["left"] * np.uint32(0x9E3779B1)).astype(np.uint64)
+
+
 def _named(doc: np.ndarray, mark: np.ndarray, index: np.ndarray) -> dict[str, np.ndarray]:
     return {"doc": doc[index], "mark": mark[index]}
 
@@ -133,7 +140,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
     for batch in batches:
         data, off = utf8(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-        for i, j in pieces_of(off):
+        for i, j in pieces_of(off, _CHUNK):
             part = data[off[i] : off[j]]
             at = off[i : j + 1] - off[i]
             marks = np.array([xxhash.xxh3_64_intdigest(part[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], np.uint64)
@@ -149,7 +156,7 @@ def _scan(length: int, ranges: int, homes: int, first_id: int, ids_in_batch: int
                 return
             rows = _joined(held)
             held.clear()
-            new = _first_of(rows["whole"], rows["doc"])
+            new = _first_of(_stretch(rows), rows["doc"])
             # what an earlier text of this very task holds needs no shuffle, and is no source of anything new
             span = {k: rows[k][~new] for k in ("doc", "mark", "start")} | {"end": rows["start"][~new] + rows["span"][~new] + length}
             span = _tight(span)
@@ -158,7 +165,9 @@ def _scan(length: int, ranges: int, homes: int, first_id: int, ids_in_batch: int
             number = (rows["doc"] - first_id) // ids_in_batch
             for k in np.unique(number):
                 own = {n: v[number == k] for n, v in rows.items()}
-                yield from _dealt("anchor", own, own["key"].astype(np.int64) % ranges)
+                to = own.pop("key").astype(np.int64) % ranges
+                own.pop("lead")
+                yield from _dealt("anchor", own, to)
 
         total = 0
         for ids, marks, data, off in _texts(batches):
@@ -224,6 +233,7 @@ class Family:
 
     def add(self, batch: dict[str, np.ndarray]) -> np.ndarray:
         """Merge-scans a batch; True for the rows whose stretch an earlier document holds whole. The others become a level."""
+        batch = batch | {"whole": _stretch(batch)}
         known = ~_first_of(batch["whole"], batch["doc"])
         for level in self.levels:
             known |= level.holds("whole", batch["whole"])
@@ -271,7 +281,18 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 def _match(length: int, homes: int, first_id: int, ids_in_batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, blocks in _by_part(batches):
+        settled: list[pa.RecordBatch] = []
+
+        def unsettled() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                spans = batch.filter(pc.equal(batch.column("kind"), "span"))
+                if spans.num_rows:
+                    settled.append(spans)
+                yield batch.filter(pc.equal(batch.column("kind"), "anchor"))
+
+        for _, blocks in _by_part(unsettled()):
+            yield from settled
+            settled.clear()
             family = Family()
             numbers = [int((b["doc"][0] - first_id) // ids_in_batch) for b in blocks]
             for k in sorted(set(numbers)):
@@ -283,6 +304,7 @@ def _match(length: int, homes: int, first_id: int, ids_in_batch: int):
             if family.asked.any():
                 ask = {c: v[family.asked] for c, v in family.rows.items() if c in ("doc", "mark", "start", "span")}
                 yield from _dealt("ask", ask, ask["doc"] % homes)
+        yield from settled
 
     return run
 
@@ -430,12 +452,12 @@ def without_repeats(documents: DataFrame, length: int = 50, batches: int = 8, wi
     ids_in_batch = max(1, -(-((ends["b"] or 0) - first_id + 1) // batches))
     place = (homes, first_id, ids_in_batch)
 
-    scanned = saved(docs.where("doc_id is not null").mapInArrow(_scan(length, ranges, *place), ROWS), "anchors")
-    dealt = scanned.where("kind = 'anchor'").select("part", "data").repartition(deal, "part").sortWithinPartitions("part")
-    matched = saved(dealt.mapInArrow(_match(length, *place), ROWS), "matches")
+    # one shuffle for the anchors and for what tasks have settled already, and nothing of it is written twice
+    scanned = docs.where("doc_id is not null").mapInArrow(_scan(length, ranges, *place), ROWS)
+    matched = saved(scanned.repartition(deal, "part").sortWithinPartitions("part", "kind").mapInArrow(_match(length, *place), ROWS), "matches")
     asked = matched.where("kind = 'ask'")
     single = saved(_met(asked, docs.where("doc_id is not null"), homes, deal).mapInArrow(_single(length, ranges, homes), ROWS), "windows")
     compared = single.where("kind = 'window'").select("part", "data").repartition(deal, "part").sortWithinPartitions("part").mapInArrow(_compare(length, homes), ROWS)
-    spans = scanned.where("kind = 'span'").union(matched.where("kind = 'span'")).union(single.where("kind = 'span'")).union(compared)
+    spans = matched.where("kind = 'span'").union(single.where("kind = 'span'")).union(compared)
     out = _met(spans, docs, homes, deal).mapInArrow(_cut(with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_kept else out.drop("kept")
