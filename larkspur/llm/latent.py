@@ -107,7 +107,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _space(counts: np.ndarray, d: int, sketch: int, items: np.ndarray, rank: int, most_share: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the terms and the latent space: a column for each term."""
     total, df, rows = max(1, int(counts[0])), counts[1 : d + 1], counts[d + 1 :].reshape(sketch, d)
-    weight = np.where(df <= most_share * total, np.log((total + 1) / (df + 1)), 0.0)
+    # a word of most passages says nothing; in a small corpus a dozen passages are not most
+    weight = np.where(df <= max(most_share * total, 12), np.log((total + 1) / (df + 1)), 0.0)
     matrix = np.concatenate([rows * weight, items * weight])
     # of d by d or rows by rows the smaller Gram matrix would do as well; rows are few
     _, s, v = np.linalg.svd(matrix, full_matrices=False)
