@@ -1,11 +1,66 @@
-"""The corpus pipeline: documents pass one operator after another."""
+"""The corpus pipeline: documents pass one operator after another.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns
+of documents; the last one returns packed pieces. Every stage works on all that
+the one before it kept. Null, empty and repeated rows are treated as each
+operator says; rows that are neither judged bad nor copies are never dropped.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from larkspur.llm.common import saved, table
+from larkspur.llm.importance import resampled
+from larkspur.llm.jaccard import near_copies
+from larkspur.llm.latent import leaks
+from larkspur.llm.packing import pack
+from larkspur.llm.suffix_index import without_repeats
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling rejects go."""
+    rejected = saved(resampled(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct(), "rejected")
+    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti").select(*COLUMNS)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of near copies the one with the smallest doc_id stays."""
+    copies = saved(near_copies(docs).where("doc_id <> class_id").select("doc_id").distinct(), "copies")
+    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What repeats 50 bytes of a document with a smaller doc_id goes; documents stay, whatever is left of them."""
+    left = without_repeats(docs, carry=("lang", "source"))
+    return left.select("doc_id", "text", "rest.lang", "rest.source", F.length("text").cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    leaky = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(leaky, docs["doc_id"].eqNullSafe(leaky["doc_id"]), "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences of at most 1024 tokens."""
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
+STAGES = [("quality", quality), ("near_copies", one_of_each), ("repeats", repeats), ("decontamination", decontamination), ("packing", packing)]
+
+#: Hashing, model fitting and packing have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = saved(docs, name)
     return docs
