@@ -1,0 +1 @@
+"""Analytics on curated listings, and operators for training data, on Spark."""
