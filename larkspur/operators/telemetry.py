@@ -39,11 +39,11 @@ def zero_sources(runs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def pipeline_report(cycle: DataFrame, counters: DataFrame) -> DataFrame:
     """One row: issue flags, the total found, a subject and a summary line."""
-    c = cycle.agg(F.coalesce(F.sum("events_found"), F.lit(0)).alias("total"), F.count_if(F.col("status") == "error").alias("errors"), F.count_if(F.col("status") == "zero").alias("zeros"))
+    c = cycle.agg(F.coalesce(F.sum("events_found"), F.lit(0)).alias("total"), F.count_if(F.col("status") == "error").alias("failed_sources"), F.count_if(F.col("status") == "zero").alias("zero_sources"))
     both = c.crossJoin(F.broadcast(counters))  # one row each
-    issues = (F.col("errors") > 0) | (F.col("zeros") > 0)
+    issues = (F.col("failed_sources") > 0) | (F.col("zero_sources") > 0)
     said = F.concat_ws(", ", F.concat(F.col("total").cast("string"), F.lit(" found")), F.concat(F.col("included").cast("string"), F.lit(" included")), F.concat(F.col("excluded").cast("string"), F.lit(" excluded")))
-    return both.select("total", "errors", "zeros", issues.alias("has_issues"), F.when(issues, "Pipeline: issues found").otherwise("Pipeline: all well").alias("subject"), said.alias("summary"))
+    return both.select("total", "failed_sources", "zero_sources", issues.alias("has_issues"), F.when(issues, "Pipeline: issues found").otherwise("Pipeline: all well").alias("subject"), said.alias("summary"))
 
 
 def run_status(runs: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ for _tag in ("script", "style", "nav", "header", "footer"):
     _REMOVED = f"regexp_replace({_REMOVED}, '<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'gis')"
 _REMOVED = f"regexp_replace(regexp_replace(regexp_replace({_REMOVED}, '<head\\b[^>]*>.*?</head\\s*>', '', 'gis'), '<!--.*?-->', '', 'gs'), '<[^>]*>', '', 'g')"
 for _name, _said in T.ENTITIES:
-    _REMOVED = f"replace({_REMOVED}, '{_name}', '{_said}')"
+    _REMOVED = "replace({}, '{}', '{}')".format(_REMOVED, _name, _said.replace("'", "''"))
 BODY_SQL = f"trim(regexp_replace(translate({_REMOVED}, '{_BLANKS}', '{' ' * len(_BLANKS)}'), '\\s+', ' ', 'g'))"
 
 
@@ -79,7 +79,7 @@ def article_texts(rows):
 
 _TITLE = "regexp_extract(html, '<title[^>]*>(.*?)</title>', 1, 'is')"
 for _name, _said in T.ENTITIES:
-    _TITLE = f"replace({_TITLE}, '{_name}', '{_said}')"
+    _TITLE = "replace({}, '{}', '{}')".format(_TITLE, _name, _said.replace("'", "''"))
 
 
 @query("pages", f"SELECT page_id, coalesce(nullif(trim({_TITLE}), ''), 'Untitled Event') AS title, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS venue FROM pages")
@@ -173,7 +173,7 @@ def plain_dates(rows):
     return rows.select("id", D.parse_long(F.date_format("event_date_start", "d MMMM yyyy")).alias("a"), D.iso_date(iso).alias("b"), D.end_or_null(F.col("event_date_start"), F.col("event_date_end")).alias("c"))
 
 
-@query("listings", """SELECT id, d + 5 AS plus, CAST(date_trunc('week', d) AS DATE) AS monday, CAST(date_trunc('week', d) AS DATE) + 6 AS sunday, d + CASE WHEN dayofweek(d) = 6 THEN -1 ELSE 5 - dayofweek(d) END AS friday,
+@query("listings", """SELECT id, d + 5 AS plus, CAST(date_trunc('week', d) AS DATE) AS monday, CAST(date_trunc('week', d) AS DATE) + 6 AS sunday, d + CAST(CASE WHEN dayofweek(d) = 6 THEN -1 ELSE 5 - dayofweek(d) END AS INT) AS friday,
  d + 3 AS digest_end, CAST(date_trunc('week', d) AS DATE) + 14 AS week2, upper(strftime(d, '%a %-d %b')) AS label, strftime(d, '%-d %b') AS short,
  CASE WHEN e IS NULL OR e = d THEN NULL WHEN month(d) = month(e) THEN concat(day(d), ' — ', day(e), ' ', upper(strftime(e, '%b'))) ELSE concat(day(d), ' ', upper(strftime(d, '%b')), ' — ', day(e), ' ', upper(strftime(e, '%b'))) END AS span,
  CASE WHEN e IS NULL OR e = d THEN strftime(d, '%a, %-d %b %Y') ELSE concat(strftime(d, '%a, %-d %b %Y'), ' – ', strftime(e, '%a, %-d %b %Y')) END AS long
@@ -342,11 +342,11 @@ def _changes(rows):
     """Rows of two tags, each twice: first without a description, then with another venue and no end."""
     some = rows.where(F.col("tag_no").isin(3, 4))
     first = some.select("source_url", "source", "raw_title", F.lit("old hall").alias("venue"), "event_date_start", "event_date_end", F.when(F.col("score") > 5, F.col("raw_title")).alias("raw_description"), F.lit(1).alias("seq"))
-    second = some.select("source_url", "source", F.upper("raw_title").alias("raw_title"), F.lit("new hall").alias("venue"), "event_date_start", F.lit(None).cast("date").alias("event_date_end"), F.lit(None).cast("string").alias("raw_description"), F.lit(2).alias("seq"))
+    second = some.select("source_url", "source", F.concat(F.lit("New "), "raw_title").alias("raw_title"), F.lit("new hall").alias("venue"), "event_date_start", F.lit(None).cast("date").alias("event_date_end"), F.lit(None).cast("string").alias("raw_description"), F.lit(2).alias("seq"))
     return first.union(second)
 
 
-@query("listings", """SELECT source_url, CASE WHEN tag_no IN (3, 4) THEN upper(raw_title) ELSE raw_title END AS raw_title, CASE WHEN tag_no IN (3, 4) THEN 'new hall' ELSE venue END AS venue, CASE WHEN tag_no IN (3, 4) THEN NULL ELSE event_date_end END AS event_date_end,
+@query("listings", """SELECT source_url, CASE WHEN tag_no IN (3, 4) THEN concat('New ', raw_title) ELSE raw_title END AS raw_title, CASE WHEN tag_no IN (3, 4) THEN 'new hall' ELSE venue END AS venue, CASE WHEN tag_no IN (3, 4) THEN NULL ELSE event_date_end END AS event_date_end,
  CASE WHEN tag_no = 3 THEN CASE WHEN score > 5 THEN raw_title END WHEN tag_no = 4 AND score > 5 THEN raw_title ELSE raw_description END AS raw_description, tag_no = 3 AS inserted FROM listings""")
 def upserted(rows):
     return store.upsert_listings(_stored(rows), _changes(rows), F.lit(NOW).cast("timestamp")).select("source_url", "raw_title", "venue", "event_date_end", "raw_description", "inserted")
