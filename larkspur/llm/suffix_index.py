@@ -73,6 +73,27 @@ def _dealt(kind: str, arrays: dict[str, np.ndarray], to: np.ndarray) -> Iterator
     yield pa.RecordBatch.from_pydict({"kind": [kind] * len(parts), "part": pa.array(parts, pa.int64()), "data": pa.array(blocks, pa.binary())})
 
 
+class Gathered:
+    """Rows that wait until there are enough of them: a task then gives a row for each number they are dealt to, not for each of its parts."""
+
+    def __init__(self, kind: str, homes: int):
+        self.kind, self.homes, self.held, self.total = kind, homes, [], 0
+
+    def add(self, arrays: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(arrays["doc"]):
+            self.held.append(arrays)
+            self.total += len(arrays["doc"])
+        if self.total >= _FLUSH:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            rows = _joined(self.held)
+            rows = _tight(rows) if self.kind == "span" else rows
+            yield from _dealt(self.kind, rows, rows["doc"] % self.homes)
+        self.held, self.total = [], 0
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np.ndarray]:
     """Of texts that lie in data at offsets: text, first window start, its distance to the anchor and to the last window start, and the hashes."""
     n, reach = len(data), length - GRAM + 1
@@ -133,23 +154,29 @@ def _named(doc: np.ndarray, mark: np.ndarray, index: np.ndarray) -> dict[str, np
     return {"doc": doc[index], "mark": mark[index]}
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, a hash of each text, and the texts as bytes and offsets, in ranges of bounded size."""
+def _mark(text: bytes, marked: bool) -> int:
+    """What tells texts of one doc_id apart: their hash, or nothing if no doc_id has several rows."""
     import xxhash
 
+    return xxhash.xxh3_64_intdigest(text) if marked else 0
+
+
+def _texts(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """doc_ids, a mark of each text, and the texts as bytes and offsets, in ranges of bounded size."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         for i, j in pieces_of(off, _CHUNK):
             part = data[off[i] : off[j]]
             at = off[i : j + 1] - off[i]
-            marks = np.array([xxhash.xxh3_64_intdigest(part[a:b].tobytes()) for a, b in zip(at, at[1:], strict=False)], np.uint64)
+            marks = np.array([_mark(part[a:b].tobytes() if marked else b"", marked) for a, b in zip(at, at[1:], strict=False)], np.uint64)
             yield ids[i:j].astype(np.int64), marks, part, at
 
 
-def _scan(length: int, ranges: int, homes: int, first_id: int, ids_in_batch: int):
+def _scan(length: int, ranges: int, marked: bool, homes: int, first_id: int, ids_in_batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
+        spans = Gathered("span", homes)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if not held:
@@ -159,8 +186,7 @@ def _scan(length: int, ranges: int, homes: int, first_id: int, ids_in_batch: int
             new = _first_of(_stretch(rows), rows["doc"])
             # what an earlier text of this very task holds needs no shuffle, and is no source of anything new
             span = {k: rows[k][~new] for k in ("doc", "mark", "start")} | {"end": rows["start"][~new] + rows["span"][~new] + length}
-            span = _tight(span)
-            yield from _dealt("span", span, span["doc"] % homes)
+            yield from spans.add(_tight(span))
             rows = {k: v[new] for k, v in rows.items()}
             number = (rows["doc"] - first_id) // ids_in_batch
             for k in np.unique(number):
@@ -170,7 +196,7 @@ def _scan(length: int, ranges: int, homes: int, first_id: int, ids_in_batch: int
                 yield from _dealt("anchor", own, to)
 
         total = 0
-        for ids, marks, data, off in _texts(batches):
+        for ids, marks, data, off in _texts(batches, marked):
             made = anchors(data, off, length)
             if len(made["text"]):
                 text = made.pop("text")
@@ -180,6 +206,7 @@ def _scan(length: int, ranges: int, homes: int, first_id: int, ids_in_batch: int
                 yield from flush()
                 total = 0
         yield from flush()
+        yield from spans.flush()
 
     return run
 
@@ -282,6 +309,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 def _match(length: int, homes: int, first_id: int, ids_in_batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled: list[pa.RecordBatch] = []
+        found, asks = Gathered("span", homes), Gathered("ask", homes)
 
         def unsettled() -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -299,12 +327,13 @@ def _match(length: int, homes: int, first_id: int, ids_in_batch: int):
                 rows = _joined([b for b, own in zip(blocks, numbers, strict=True) if own == k])
                 known = family.add(rows)
                 span = {c: rows[c][known] for c in ("doc", "mark", "start")} | {"end": rows["start"][known] + rows["span"][known] + length}
-                span = _tight(span)
-                yield from _dealt("span", span, span["doc"] % homes)
+                yield from found.add(_tight(span))
             if family.asked.any():
                 ask = {c: v[family.asked] for c, v in family.rows.items() if c in ("doc", "mark", "start", "span")}
-                yield from _dealt("ask", ask, ask["doc"] % homes)
+                yield from asks.add(ask)
         yield from settled
+        yield from found.flush()
+        yield from asks.flush()
 
     return run
 
@@ -319,26 +348,28 @@ def _homed(documents: DataFrame, homes: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                yield pa.RecordBatch.from_pydict({"kind": ["text"] * some.num_rows, "part": some.column("part"), "doc_id": some.column("doc_id"), "data": pa.array([press.compress((t or "").encode()) for t in some.column("text").to_pylist()], pa.binary())})
+                data = [press.compress((t or "").encode()) for t in some.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"kind": ["text"] * some.num_rows, "part": some.column("part"), "doc_id": some.column("doc_id"), "data": pa.array(data, pa.binary()), "rest": some.column("rest")})
 
     part = F.coalesce(F.pmod(F.col("doc_id"), F.lit(homes)), F.lit(0))
-    return documents.select(part.alias("part"), "doc_id", "text").mapInArrow(run, "kind string, part long, doc_id long, data binary")
+    rest = documents.schema["rest"].dataType.simpleString()
+    return documents.select(part.alias("part"), "doc_id", "text", "rest").mapInArrow(run, f"kind string, part long, doc_id long, data binary, rest {rest}")
 
 
 def _met(blocks: DataFrame, documents: DataFrame, homes: int, deal: int) -> DataFrame:
-    rows = _homed(documents, homes).unionByName(blocks.select("kind", "part", F.lit(None).cast("long").alias("doc_id"), "data"))
+    texts = _homed(documents, homes)
+    rows = texts.unionByName(blocks.select("kind", "part", F.lit(None).cast("long").alias("doc_id"), "data", F.lit(None).cast(texts.schema["rest"].dataType).alias("rest")))
     return rows.repartition(deal, "part").sortWithinPartitions("part", "kind")
 
 
-def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes, dict[tuple[int, int], dict[str, np.ndarray]]]]:
-    """Each text with the rows of the blocks of its part, by doc_id and hash of the text."""
-    import xxhash
+def _with_texts(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[tuple[int | None, bytes, dict[str, np.ndarray], object]]:
+    """Each doc_id and text with the rows that the blocks of its part have for it, and with its carried columns."""
     import zstandard
 
     unpress = zstandard.ZstdDecompressor()
     part, blocks, by_text = None, [], None
     for batch in batches:
-        for kind, p, doc, data in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "doc_id", "data")), strict=True):
+        for kind, p, doc, data, rest in zip(*(batch.column(c).to_pylist() for c in ("kind", "part", "doc_id", "data", "rest")), strict=True):
             if p != part:
                 part, blocks, by_text = p, [], None
             if kind != "text":
@@ -355,68 +386,74 @@ def _with_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None,
                     by_text = {(int(rows["doc"][a]), int(rows["mark"][a])): {k: v[a:b] for k, v in rows.items()} for a, b in zip(cuts, cuts[1:], strict=False)}
                 blocks = []
             text = unpress.decompress(data)
-            yield doc, text, by_text.get((doc, xxhash.xxh3_64_intdigest(text)), {}) if doc is not None and by_text else {}
+            yield doc, text, by_text.get((doc, _mark(text, marked)), {}) if doc is not None and by_text else {}, rest
 
 
-def _single(length: int, ranges: int, homes: int):
+def _single(length: int, ranges: int, marked: bool, homes: int):
     """The hashes of all windows that were asked for; what a smaller document of the same task has is settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         held: list[dict[str, np.ndarray]] = []
+        spans = Gathered("span", homes)
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 rows = _joined(held)
                 held.clear()
-                yield from _settled(rows, length, homes, lambda fresh: _dealt("window", fresh, (fresh["hash"] % np.uint64(ranges)).astype(np.int64)))
+                first, span = _covered(rows, length)
+                yield from spans.add(span)
+                yield from _dealt("window", {c: v[first] for c, v in rows.items()}, (rows["hash"][first] % np.uint64(ranges)).astype(np.int64))
 
         total = 0
-        for doc, text, rows in _with_texts(batches):
+        for doc, text, rows, _ in _with_texts(batches, marked):
             if not rows:
                 continue
             sums = prefix_sums(np.frombuffer(text, np.uint8))
             count = rows["span"].astype(np.int64) + 1
             start = np.repeat(rows["start"].astype(np.int64) - np.cumsum(count) + count, count) + np.arange(count.sum())
             start = np.unique(start)
-            held.append({"hash": range_hash(sums, start, start + length), "doc": np.full(len(start), doc, np.int64), "mark": np.full(len(start), xxhash.xxh3_64_intdigest(text), np.uint64), "start": start.astype(np.uint32)})
+            held.append({"hash": range_hash(sums, start, start + length), "doc": np.full(len(start), doc, np.int64), "mark": np.full(len(start), _mark(text, marked), np.uint64), "start": start.astype(np.uint32)})
             total += len(start)
             if total >= _FLUSH:
                 yield from flush()
                 total = 0
         yield from flush()
+        yield from spans.flush()
 
     return run
 
 
-def _settled(rows: dict[str, np.ndarray], length: int, homes: int, onward) -> Iterator[pa.RecordBatch]:
+def _covered(rows: dict[str, np.ndarray], length: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Which windows no smaller document has, and the spans of the others."""
     first = _first_of(rows["hash"], rows["doc"])
-    span = {c: rows[c][~first] for c in ("doc", "mark", "start")} | {"end": rows["start"][~first] + np.uint32(length)}
-    span = _tight(span)
-    yield from _dealt("span", span, span["doc"] % homes)
-    if onward:
-        yield from onward({c: v[first] for c, v in rows.items()})
+    return first, _tight({c: rows[c][~first] for c in ("doc", "mark", "start")} | {"end": rows["start"][~first] + np.uint32(length)})
 
 
 def _compare(length: int, homes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = Gathered("span", homes)
         for _, blocks in _by_part(batches):
-            yield from _settled(_joined(blocks), length, homes, None)
+            yield from spans.add(_covered(_joined(blocks), length)[1])
+        yield from spans.flush()
 
     return run
 
 
-def _cut(with_kept: bool):
+def _cut(with_kept: bool, marked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: dict[str, list] = {c: [] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
+        kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "text": pa.string(), "rest": None}
+        out: dict[str, list] = {c: [] for c in kinds}
         size = 0
 
+        def typed() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds["rest"] = batch.column("rest").type
+                yield batch
+
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({c: pa.array(v, kinds[c]) for c, v in out.items()})
 
-        for doc, text, rows in _with_texts(batches):
+        for doc, text, rows, rest in _with_texts(typed(), marked):
             spans: list[tuple[int, int]] = []
             if rows:
                 tight = _tight(rows)
@@ -427,7 +464,7 @@ def _cut(with_kept: bool):
                 at = b
             left.append(text[at:])
             kept = b"".join(left)
-            for c, v in zip(out, (doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None), strict=True):
+            for c, v in zip(out, (doc, len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None, kept.decode("utf-8", "ignore") if with_kept else None, rest), strict=True):
                 out[c].append(v)
             size += len(kept) if with_kept else 0
             if len(out["doc_id"]) >= 4096 or size > 1 << 23:
@@ -439,25 +476,29 @@ def _cut(with_kept: bool):
     return run
 
 
-def without_repeats(documents: DataFrame, length: int = 50, batches: int = 8, with_kept: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the bytes kept of every document."""
+def without_repeats(documents: DataFrame, length: int = 50, batches: int = 8, with_kept: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, text and the carried columns, as rest, of every document.
+
+    kept has the exact bytes left over, text what of them is valid UTF-8 (a repeat may end within a character).
+    """
     if length < GRAM + HALF - 1 or length > 2 * HALF - GRAM:
         raise ValueError(f"length must be from {GRAM + HALF - 1} to {2 * HALF - GRAM} bytes")
     spark = documents.sparkSession
     deal = partitions(spark)
-    ranges = homes = 4 * deal  # more parts than tasks, so that tasks get about as many
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    ranges = homes = 3 * deal  # more parts than tasks, so that tasks get about as many
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*carry).alias("rest") if carry else F.lit(0).alias("rest"))
+    marked = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
     ends = docs.agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).first()
     first_id = ends["a"] or 0
     ids_in_batch = max(1, -(-((ends["b"] or 0) - first_id + 1) // batches))
     place = (homes, first_id, ids_in_batch)
 
     # one shuffle for the anchors and for what tasks have settled already, and nothing of it is written twice
-    scanned = docs.where("doc_id is not null").mapInArrow(_scan(length, ranges, *place), ROWS)
+    scanned = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_scan(length, ranges, marked, *place), ROWS)
     matched = saved(scanned.repartition(deal, "part").sortWithinPartitions("part", "kind").mapInArrow(_match(length, *place), ROWS), "matches")
     asked = matched.where("kind = 'ask'")
-    single = saved(_met(asked, docs.where("doc_id is not null"), homes, deal).mapInArrow(_single(length, ranges, homes), ROWS), "windows")
+    single = saved(_met(asked, docs.where("doc_id is not null"), homes, deal).mapInArrow(_single(length, ranges, marked, homes), ROWS), "windows")
     compared = single.where("kind = 'window'").select("part", "data").repartition(deal, "part").sortWithinPartitions("part").mapInArrow(_compare(length, homes), ROWS)
     spans = matched.where("kind = 'span'").union(single.where("kind = 'span'")).union(compared)
-    out = _met(spans, docs, homes, deal).mapInArrow(_cut(with_kept), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    return out if with_kept else out.drop("kept")
+    out = _met(spans, docs, homes, deal).mapInArrow(_cut(with_kept, marked), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string, rest {docs.schema['rest'].dataType.simpleString()}")
+    return out if with_kept else out.drop("kept", "text", "rest")
