@@ -1,8 +1,8 @@
 """Quality by importance resampling.
 
 Target text (documents labelled good) and raw text (all documents) are each
-modelled by the shares of documents that hold a hashed word, word beginning or
-ending, or word pair. A
+modelled by the shares of documents that hold a hashed n-gram: a word, a word's
+beginning or ending, or a run of one word. A
 document's log importance weight is the sum of the log ratios of both models
 over what it holds, truncated: a ratio counts where the target has a small part
 (`rare`) at most of its share of a feature, and that significantly (Chernoff bound
@@ -37,7 +37,8 @@ BITS, RUN = 18, 6
 def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, text, buckets) for ranges of the column: the distinct features of each text.
 
-    Features are words, their first four and five and last two bytes, word pairs, and words said RUN times running.
+    Features are words, their first four and five and last two bytes, and words said RUN times running: n-grams of
+    words and of characters. Pairs of different words are left out, since nearly all of them are seen once.
     Each has a bucket in either of two tables, since a rare feature may share one of them with a telling one.
     """
     most, low = np.uint64((1 << 44) - 1), np.uint64((1 << BITS) - 1)
@@ -48,9 +49,8 @@ def features(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         sums = prefix_sums(part)
         owner = np.repeat(np.arange(j - i), np.diff(words)).astype(np.uint64)
         inner = owner[1:] == owner[:-1]
-        pair = mixed(hashes[:-1] * np.uint64(0x2545F4914F6CDD1D) + hashes[1:])[inner]
         tail = mixed(part[np.maximum(ends - 2, 0)].astype(np.uint64) << np.uint64(8) | part[ends - 1].astype(np.uint64)) if len(ends) else hashes
-        found = [(owner, mixed(hashes)), (owner, tail), (owner[1:][inner], pair)]
+        found = [(owner, mixed(hashes)), (owner, tail)]
         for n in (4, 5):
             found.append((owner, mixed(range_hash(sums, starts, np.minimum(starts + n, ends)) + np.uint64(n))))
         # words of one number in `same` are a run of equal ones
