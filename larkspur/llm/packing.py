@@ -36,16 +36,17 @@ def pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                ids, off = encoder(vocabulary).encode(some.column("text"))
+                raw = memoryview(ids.astype("<u4").tobytes())
                 out: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder(vocabulary).encode([t or "" for t in some.column("text").to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    first = n % capacity or min(n, capacity)
-                    cuts = [0, *range(first, n + 1, capacity)]
-                    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        for c, v in zip(out, (doc, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])), strict=True):
+                for doc, a, z in zip(some.column("doc_id").to_pylist(), off.tolist(), off[1:].tolist(), strict=False):
+                    n = z - a + 1
+                    cuts = [0, *range(n % capacity or capacity, n, capacity), n]
+                    for k, (b, e) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        crc = zlib.crc32(raw[4 * (a + b) : 4 * min(a + e, z)])
+                        for c, v in zip(out, (doc, k, b, e - b, zlib.crc32(end, crc) if e == n else crc), strict=True):
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -109,28 +110,33 @@ def cross(mother: list[list[int]], father: list[list[int]], sizes: list[int], ca
 
 def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
     """Fewer bins first, then fuller ones."""
-    return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
+    return -len(bins), sum((sum(map(sizes.__getitem__, b)) / capacity) ** 2 for b in bins)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[list[int]]], population: int, generations: int) -> list[list[int]]:
-    """The best packing of an island's run; it ends early at the least number of bins that the sizes allow."""
+def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[list[int]]], population: int, generations: int) -> tuple[tuple[int, float], list[list[int]]]:
+    """The best packing of an island's run and its fitness; it ends early at the least number of bins that the sizes allow."""
     rng, least = random.Random(seed), -(-sum(sizes) // capacity)
     everything = list(range(len(sizes)))
-    herd = [*start, decreasing(everything, sizes, capacity)]
-    while len(herd) < population and min(map(len, herd)) > least:
-        dealt, bins = rng.sample(everything, len(everything)), Bins(capacity)
-        for i in dealt[: len(dealt) // 8]:
+
+    def rated(bins: list[list[int]]) -> tuple[tuple[int, float], list[list[int]]]:
+        return fitness(bins, sizes, capacity), bins
+
+    herd = [rated(b) for b in start] or [rated(decreasing(everything, sizes, capacity))]
+    while len(herd) < population and max(x[0][0] for x in herd) < -least:
+        dealt, bins = rng.sample(everything, len(everything) // 8), Bins(capacity)
+        for i in dealt:
             bins.best_fit(i, sizes[i])
-        herd.append(decreasing(dealt[len(dealt) // 8 :], sizes, capacity, bins))
+        taken = set(dealt)
+        herd.append(rated(decreasing([i for i in everything if i not in taken], sizes, capacity, bins)))
     for _ in range(generations):
-        herd.sort(key=lambda b: fitness(b, sizes, capacity), reverse=True)
-        if len(herd[0]) <= least:
+        herd.sort(key=lambda x: x[0], reverse=True)
+        if herd[0][0][0] >= -least or len(herd) < 2:
             break
-        mother, father = herd[0], herd[rng.randrange(1, len(herd))] if len(herd) > 1 else herd[0]
+        mother, father = herd[0][1], herd[rng.randrange(1, len(herd))][1]
         if rng.random() < 0.5:
             mother, father = father, mother
-        herd = [*herd[: population - 1], cross(mother, father, sizes, capacity, rng)]
-    return max(herd, key=lambda b: fitness(b, sizes, capacity))
+        herd = [*herd[: population - 1], rated(cross(mother, father, sizes, capacity, rng))]
+    return max(herd, key=lambda x: x[0])
 
 
 def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
@@ -165,8 +171,7 @@ def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epoch
             start = [] if came is None else [_groups(np.frombuffer(b, np.int32)) for b in came["bins"]]
             if not sizes:
                 return pd.DataFrame({"block": [], "island": [], "score": [], "filled": [], "bins": []})
-            best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), number, salt)) & 0xFFFFFFFF, start, population, generations)
-            score, filled = fitness(best, sizes, capacity)
+            (score, filled), best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), number, salt)) & 0xFFFFFFFF, start, population, generations)
             to = [int(key[1])] if epochs == number + 1 or islands == 1 else [int(key[1]), (int(key[1]) + 1) % islands]
             return pd.DataFrame({"block": int(key[0]), "island": to, "score": score, "filled": filled, "bins": [_numbered(best, len(sizes)).tobytes()] * len(to)})
 
@@ -187,16 +192,20 @@ def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epoch
     return items.groupBy("block").cogroup(elite.groupBy("block")).applyInPandas(place, PIECES + ", block long, bin long, fill long, offset long")
 
 
-def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 12, loose: float = 0.97) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 6, loose: float = 0.97) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     Sequences filled below `loose` of the capacity are dissolved after the first round and packed again together.
     """
     cut = saved(pieces(documents, vocabulary, end_id, capacity), "pieces")
+    # a piece that fills a sequence needs no packing; its number is negative
+    whole = cut.where(F.col("length") == capacity)
     again = (capacity, block_size, islands, epochs, population, generations)
-    first = saved(_round(cut, *again, 1), "packed")
+    first = saved(_round(cut.where(F.col("length") < capacity), *again, 1), "packed")
     tight = F.col("fill") >= int(loose * capacity)
     second = saved(_round(first.where(~tight).select(*cut.columns), *again, 2), "packed")
     # round, block and bin in one number
     numbered = first.where(tight).withColumn("round", F.lit(0)).unionByName(second.withColumn("round", F.lit(1)))
-    return numbered.select(*cut.columns, ((F.col("block") * 2 + F.col("round")) * (block_size * 4) + F.col("bin")).alias("sequence_id"), "offset")
+    packed = numbered.select(*cut.columns, ((F.col("block") * 2 + F.col("round")) * (block_size * 4) + F.col("bin")).alias("sequence_id"), "offset")
+    alone = saved(whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()), "whole")
+    return packed.unionByName(alone.withColumn("offset", F.lit(0).cast("long")))

@@ -31,13 +31,15 @@ VERSION = 1
 SHARDS = "part int, seq int, version int, dict_sha256 string, width int, first_id long, last_id long, tokens long, doc_id array<bigint>, n_tokens array<int>, ends array<bigint>, frames binary"
 
 
-def _ids(texts: list[str | None], vocabulary: str, end_id: int) -> list[bytes]:
-    end = np.array([end_id], "<u4").tobytes()
-    return [x + end for x in encoder(vocabulary).encode([t or "" for t in texts])]
+def _ids(texts: pa.Array, vocabulary: str, end_id: int) -> Iterator[np.ndarray]:
+    """The ids of each text, with the end id."""
+    ids, off = encoder(vocabulary).encode(texts)
+    for a, b in zip(off.tolist(), off[1:].tolist(), strict=False):
+        yield np.append(ids[a:b], np.uint32(end_id))
 
 
-def _packed(ids: bytes, width: int) -> bytes:
-    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
+def _packed(ids: np.ndarray, width: int) -> bytes:
+    return ids.astype(f"<u{width}").tobytes()
 
 
 def train_dictionary(documents: DataFrame, vocabulary: str, end_id: int, width: int, sample: int = 2000, size: int = 1 << 16) -> bytes:
@@ -51,7 +53,7 @@ def train_dictionary(documents: DataFrame, vocabulary: str, end_id: int, width:
     step = max(1, rows // sample)
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_packed(x, width) for b in batches for x in _ids(b.column("text").to_pylist(), vocabulary, end_id)]
+        parts = [_packed(x, width) for b in batches for x in _ids(b.column("text"), vocabulary, end_id)]
         try:
             made = zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 8 else b""
         except zstandard.ZstdError:
@@ -95,11 +97,11 @@ def write_archive(documents: DataFrame, path: str, vocabulary: str, end_id: int,
 
         held = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), _ids(some.column("text").to_pylist(), vocabulary, end_id), strict=True):
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), _ids(some.column("text"), vocabulary, end_id), strict=True):
                     docs.append(doc)
-                    counts.append(len(ids) // 4)
+                    counts.append(len(ids))
                     frames.append(press.compress(_packed(ids, width)))
                     held += counts[-1]
                     if held >= shard_tokens:
