@@ -73,4 +73,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivot_neighbours": op9_pivot_neighbours,
     "op10_jaccard_join": op10_jaccard_join,
 }
-ORACLE_SQL: dict[str, str] = {}
+_BITS = "".join(f"{i:04b}" for i in range(16))
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_BASE32 = _UPPER + "234567"
+_VALUE = " + ".join(f"{1 << (4 - k)} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INT)" for k in range(5))
+
+#: The numbered operators without an entry here have no SQL: token ids, fitted models, packing, and repeats by the byte. Tests hold them against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": """WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+p AS (SELECT conv_id, row_number() OVER w AS n, string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '') OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, n = max(n) OVER (PARTITION BY conv_id) AS final FROM p)
+SELECT min(conv_id) AS conv_id, 0 AS part, CAST(any_value(n) AS INT) AS n_turns, s AS text FROM f WHERE final AND s NOT IN (SELECT s FROM f WHERE NOT final) GROUP BY s""",
+    "op5_warc": f"""SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + {_VALUE}, 1)), 'string_agg', '') AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last,
+      list_aggregate(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c: substr('{_BITS}', 4 * (instr('0123456789abcdef', c) - 1) + 1, 4)), 'string_agg', '') AS bits FROM pages)""",
+    "op8_html_extract": r"""WITH b AS (SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '</?(?:p|h1)>') AS parts FROM pages),
+t AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM b),
+j AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM t)
+SELECT page_id, url, text, length(text) AS n_chars FROM j""",
+    "op9_pivot_neighbours": """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS label FROM v UNION SELECT l.y, r.label FROM r JOIN l ON l.x = r.id),
+c AS (SELECT id, min(label) AS component_id FROM r GROUP BY id), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT c.id AS vec_id, coalesce(n.n, 0) AS n_links, c.component_id, c.id = c.component_id AS kept FROM c LEFT JOIN n ON n.x = c.id""",
+    "op10_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[\\x00-\\x20]+'), lambda x: x <> '') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(l) < 5 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 3), lambda i: array_to_string(list_slice(l, i, i + 4), ' ')) END) AS g FROM w WHERE len(l) > 0),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT k.x, k.y FROM k JOIN c a ON a.doc_id = k.x JOIN c b ON b.doc_id = k.y WHERE 5 * k.n >= 4 * (a.n + b.n - k.n)),
+r AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.id)
+SELECT r.id AS doc_id, min(r.label) AS class_id, any_value(coalesce(n.n, 0)) AS n_links FROM r LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY x) n ON n.x = r.id GROUP BY r.id""",
+}
