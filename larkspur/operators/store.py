@@ -77,6 +77,17 @@ def apply_scores(current: DataFrame, scores: DataFrame, now: Column) -> DataFram
     return patch_columns(current, scores, SCORED, now)
 
 
+def store_enriched(current: DataFrame, found: DataFrame, now: Column) -> DataFrame:
+    """found: id and enriched_description."""
+    return patch_columns(current, found, ("enriched_description",), now)
+
+
+def rescored_blurbs(current: DataFrame, verdicts: DataFrame, now: Column) -> DataFrame:
+    """New blurbs, from verdicts (id, blurb) on the raw texts, for listings that are published and included; nothing else changes."""
+    live = current.where(F.col("is_published") & F.coalesce("included", F.lit(False))).select("id")
+    return patch_columns(current, verdicts.join(live, "id", "left_semi"), ("blurb",), now)
+
+
 def patch_by_map(current: DataFrame, patches: DataFrame, allowed: tuple[str, ...]) -> DataFrame:
     """patches: id and a map of column names to values as text; unknown names are ignored, a null value is a value."""
     both = current.join(patches.select("id", "patch"), "id", "left")

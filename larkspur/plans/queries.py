@@ -383,6 +383,34 @@ def patched(rows):
     return store.patch_by_map(rows, rows.where("tag_no = 2").select("id", changes.alias("patch")), ("venue", "score")).select("id", "venue", "score", "source")
 
 
+@query("listings", "SELECT id, CASE WHEN is_published AND included AND tag_no < 6 THEN lower(raw_title) ELSE blurb END AS blurb, CASE WHEN tag_no = 7 THEN raw_title END AS enriched_description FROM listings")
+def reblurbed(rows):
+    now = F.lit(NOW).cast("timestamp")
+    stored = store.store_enriched(rows.withColumn("updated_at", F.col("created_at")), rows.where("tag_no = 7").select("id", F.col("raw_title").alias("enriched_description")), now)
+    return store.rescored_blurbs(stored, rows.where("tag_no < 6").select("id", F.lower("raw_title").alias("blurb")), now).select("id", "blurb", "enriched_description")
+
+
+@query("conversations", "SELECT conv_id, turn, trim(CASE WHEN turn % 2 = 0 THEN text ELSE concat(text, chr(10)) END, ' ' || chr(10) || chr(9) || chr(13)) AS said FROM conversations")
+def fenced_texts(rows):
+    fenced = F.concat(F.lit("before ```json\n"), "text", F.lit("\n``` after"))
+    return rows.select("conv_id", "turn", T.extract_json(F.when(F.col("turn") % 2 == 0, F.col("text")).otherwise(fenced)).alias("said"))
+
+
+@query("listings", "SELECT id FROM listings WHERE tag_no = 3")
+def unknown_urls(rows):
+    """What isn't stored yet."""
+    from ..sources.landed import unknown_urls as unknown
+
+    urls = rows.select(F.col("source_url").alias("url"))
+    return unknown(urls, rows.where("tag_no <> 3")).select(F.substring_index("url", "/", -1).alias("id"))
+
+
+@query("listings pages", f"SELECT id, CASE WHEN length(raw_description) < 1500 AND length(b) > 50 THEN substr(b, 1, 2000) ELSE raw_description END AS description FROM listings LEFT JOIN (SELECT CAST(page_id AS VARCHAR) AS pid, {BODY_SQL} AS b FROM pages) ON pid = id")
+def effective_descriptions(rows, pages):
+    own = pages.select(F.concat(F.lit("https://example.org/"), F.col("page_id").cast("string")).alias("url"), "html")
+    return scoring.effective_descriptions(rows, own, least=1500)
+
+
 @query("digest_runs email_logs", "SELECT r.id, coalesce(l.s, 0) AS total_sent, coalesce(l.f, 0) AS total_failed FROM digest_runs r LEFT JOIN (SELECT digest_run_id, count(*) FILTER (WHERE status = 'sent') AS s, count(*) FILTER (WHERE status = 'failed') AS f FROM email_logs GROUP BY 1) l ON l.digest_run_id = r.id")
 def finished_runs(runs, logs):
     return store.finish_runs(runs, logs).select("id", "total_sent", "total_failed")
