@@ -29,9 +29,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest doc_id stays."""
+    """Of near copies the one with the smallest doc_id stays, and of equal rows one."""
     copies = saved(near_copies(docs).where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    often = saved(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "often")
+    kept = docs.join(copies, "doc_id", "left_anti")
+    once = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(often, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,3 +13,19 @@ def test_stages_in_order_and_their_effect(spark, sf_dir):
     assert corpus_pipeline.repeats(spark, docs, sf_dir).count() == docs.count()
     packed = corpus_pipeline.run(spark, sf_dir)
     assert packed.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").isEmpty() and not packed.isEmpty()
+
+
+def test_stages_on_odd_rows(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string"
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long, "en", "s", 9, "x"), (1, long, "en", "s", 9, "x"), (2, long, None, None, None, "x"), (3, None, "en", "s", 0, "x"), (4, "", "en", "s", 0, "x"), (None, "no id at all", "en", "s", 9, "x"), (1, "another text", "en", "s", 9, "x")]
+    docs = spark.createDataFrame(rows, schema)
+    for docs in (docs, docs.limit(0)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == list(corpus_pipeline.COLUMNS)
+            assert out.count() == (n - 2 if name == "near_copies" and n else n), name
+        assert corpus_pipeline.packing(spark, docs, sf_dir).agg(F.count_distinct("doc_id")).first()[0] == (4 if n else 0)
