@@ -16,7 +16,7 @@ from .fixtures import with_tables
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
-DAY = "2024-02-04"
+DAY, NOW = "2024-02-04", "2024-02-04 12:00:00"
 
 
 
@@ -239,6 +239,20 @@ def dedup_totals(rows):
     return dedup.dedup_totals(dedup.phase_one(rows).select("duplicate_id", "canonical_id").union(dedup.phase_two(_after_phase_one(rows)).select("duplicate_id", "canonical_id")))
 
 
+PHASE_ONE_SQL = ORACLE_SQL["dedup_phase_one"].rpartition("SELECT duplicate_id")[0]
+
+
+@query("listings", None)
+def inspected_duplicates(rows):
+    pairs = dedup.phase_one(rows).withColumn("seq", F.lit(0))
+    more = rows.withColumn("duplicate_of", F.lit(None).cast("string")).withColumn("updated_at", F.col("created_at"))
+    # a target that is gone is said to be so
+    return dedup.inspected(store.mark_duplicates(more, pairs, F.lit(NOW).cast("timestamp")).where("included is null or tag_no <> 5"))
+
+
+ORACLE_SQL["inspected_duplicates"] = f"{PHASE_ONE_SQL} SELECT d.id, d.raw_title, f.canonical_id AS duplicate_of, coalesce(t.raw_title, 'not found') AS canonical_title FROM found f JOIN listings d ON d.id = f.duplicate_id LEFT JOIN (SELECT * FROM listings WHERE included IS NULL OR tag_no <> 5) t ON t.id = f.canonical_id WHERE f.n = 1"
+
+
 # ---- feeds ----------------------------------------------------------------
 OVERLAP = "is_published AND event_date_start < DATE '{1}' + 1 AND (event_date_end >= DATE '{0}' OR event_date_end IS NULL AND event_date_start >= DATE '{0}')"
 JANUARY = OVERLAP.format("2024-01-01", "2024-01-31")
@@ -330,7 +344,6 @@ def found_events(rows):
 
 
 # ---- store ----------------------------------------------------------------
-NOW = "2024-02-04 12:00:00"
 
 
 def _stored(rows):
@@ -493,6 +506,15 @@ g AS (SELECT d, min(o) AS o1, string_agg(concat(raw_title, CASE WHEN category =
 SELECT row_number() OVER (ORDER BY o1) AS group_no, upper(strftime(d, '%a %-d %b')) AS day, lines FROM g"""
 
 
+@query("listings digest_events", None)
+def intro_lines(rows, members):
+    return scoring.intro_input(_classified(rows, members), {"new": 10, "ongoing": 5, "ending_soon": 5})
+
+
+ORACLE_SQL["intro_lines"] = with_tables("listings digest_events", "") + f""", {CLASSIFIED_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p0) AS k FROM q)
+SELECT category, string_agg(concat('- ', raw_title, ' @ ', venue), chr(10) ORDER BY k) AS lines FROM n WHERE k <= CASE WHEN category = 'new' THEN 10 ELSE 5 END GROUP BY category"""
+
+
 @query("listings subscribers", f"SELECT CASE WHEN (SELECT count(*) FROM listings WHERE {OVERLAP.format(DAY, END)}) = 0 THEN 'No events for this week' WHEN (SELECT count(*) FROM subscribers WHERE is_active) = 0 THEN 'No active subscribers' END AS skipped")
 def digest_skip(rows, people):
     return digest.skip_reason(feeds.published_between(rows, day(), day(END)), people)
@@ -573,3 +595,18 @@ def subscriber_counts(people):
 @query("listings scraper_runs sources", "SELECT s.source, coalesce(c.n, 0) AS events_found, e.error FROM sources s LEFT JOIN (SELECT source, count(*) AS n FROM listings GROUP BY 1) c ON c.source = s.source LEFT JOIN (SELECT source, min(error) AS error FROM scraper_runs WHERE error IS NOT NULL GROUP BY 1) e ON e.source = s.source")
 def source_run_rows(rows, runs, known):
     return telemetry.run_rows(rows, runs.where(F.col("error").isNotNull()), known)
+
+
+@query("listings", f"""SELECT count(*) FILTER (WHERE included IS NULL) AS processed, count(*) FILTER (WHERE included IS NULL AND inc) AS included, count(*) FILTER (WHERE included IS NULL AND NOT inc) AS excluded, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS deduplicated
+FROM (SELECT *, regexp_matches(raw_description, '(?i)the|und|les') AND NOT regexp_matches(raw_description, '%%%|!!') AS inc FROM listings)""")
+def scoring_counters(rows):
+    none = rows.select(F.col("id").alias("duplicate_id")).where("false")
+    return scoring.counters(_decided(scoring.pending(rows)), rows, none)
+
+
+@query("listings scraper_runs", f"""SELECT coalesce(sum(events_found), 0) AS total, count(*) FILTER (WHERE error IS NOT NULL) AS failed_sources, count(*) FILTER (WHERE error IS NULL AND events_found = 0) AS zero_sources, count(*) FILTER (WHERE error IS NOT NULL OR events_found = 0) > 0 AS has_issues,
+CASE WHEN count(*) FILTER (WHERE error IS NOT NULL OR events_found = 0) > 0 THEN 'Pipeline: issues found' ELSE 'Pipeline: all well' END AS subject,
+concat(coalesce(sum(events_found), 0), ' found, ', (SELECT count(*) FROM listings WHERE included), ' included, ', (SELECT count(*) FROM listings WHERE NOT included), ' excluded') AS summary FROM {CYCLE_SQL}""")
+def pipeline_report(rows, runs):
+    counts = rows.agg(F.count_if(F.col("included")).alias("included"), F.count_if(~F.col("included")).alias("excluded"))
+    return telemetry.pipeline_report(telemetry.cycle_stats(runs), counts)
