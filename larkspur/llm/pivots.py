@@ -43,6 +43,20 @@ def _unit(rows: list[bytes] | pd.Series) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def spread_out(sample: np.ndarray, most: int, alike: float = 0.7) -> np.ndarray:
+    """Of the sampled unit vectors, in order, those that aren't close to one taken before, up to most of them.
+
+    Pivots within one dense group would be about equally near to all of its vectors, and their order a matter of chance.
+    """
+    kept = np.empty((0, sample.shape[1]))
+    for v in sample:
+        if len(kept) >= most:
+            break
+        if not len(kept) or (kept @ v).max() < alike:
+            kept = np.vstack([kept, v])
+    return kept
+
+
 def prefixes(classes: DataFrame, pivots: np.ndarray, prefix: int) -> DataFrame:
     """rep, n, vector and the pivots nearest to it, in order."""
     shared = classes.sparkSession.sparkContext.broadcast(pivots)  # at most max_pivots vectors
@@ -105,8 +119,8 @@ def _compare(threshold: float, shared: int):
 def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = 8, shared: int = 2, max_pivots: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
-    The pivots are a sample of 4 * sqrt(number of distinct vectors) of them, max_pivots at most, chosen by hash; every
-    vector is indexed. Links are found with a recall below 1 where vectors near each other share too few pivots.
+    The pivots are at most 4 * sqrt(number of distinct vectors) of them, and max_pivots, spread out from a sample of
+    twice as many that a hash chooses; every vector is indexed. Links are found with a recall below 1 where vectors near each other share too few pivots.
     """
     ids = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     usable = _usable(ids)
@@ -118,8 +132,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, prefix: int = 8, s
     classes = saved(usable.groupBy(F.xxhash64("embedding").alias("h1"), F.hash("embedding").alias("h2")).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("embedding")), "vectors")
     count = classes.count()
     chosen = min(max(16, 4 * math.isqrt(count)), max_pivots)
-    sample = classes.orderBy(F.xxhash64("h1", F.lit(7)), "h1").limit(chosen).select("embedding").collect()  # bounded by max_pivots
-    pivots = _unit([np.array(r["embedding"], np.float64).tobytes() for r in sample])
+    sample = classes.orderBy(F.xxhash64("h1", F.lit(7)), "h1").limit(2 * chosen).select("embedding").collect()  # bounded by max_pivots
+    pivots = spread_out(_unit([np.array(r["embedding"], np.float64).tobytes() for r in sample]), chosen)
     shared = min(shared, len(pivots))
 
     entries = saved(prefixes(classes, pivots, prefix), "prefixes").withColumn("pivot", F.explode("prefix"))
