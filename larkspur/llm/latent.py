@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces_of, saved, utf8, word_hashes
+from .common import mixed, pieces_of, saved, small_batches, utf8, word_hashes
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -109,7 +109,9 @@ def _space(counts: np.ndarray, d: int, sketch: int, items: np.ndarray, rank: int
     total, df, rows = max(1, int(counts[0])), counts[1 : d + 1], counts[d + 1 :].reshape(sketch, d)
     # a word of most passages says nothing; in a small corpus a dozen passages are not most
     weight = np.where(df <= max(most_share * total, 12), np.log((total + 1) / (df + 1)), 0.0)
-    matrix = np.concatenate([rows * weight, items * weight])
+    corpus, own = rows * weight, items * weight
+    # the benchmark's rows weigh as much as all passages do, else the space would be that of frequent passages alone
+    matrix = np.concatenate([corpus * (np.linalg.norm(own) / max(np.linalg.norm(corpus), 1e-9)), own])
     # of d by d or rows by rows the smaller Gram matrix would do as well; rows are few
     _, s, v = np.linalg.svd(matrix, full_matrices=False)
     return weight, v[: min(rank, int((s > 1e-9 * max(s[0], 1e-300)).sum()) or 1)].T.astype(np.float32)
@@ -135,18 +137,19 @@ def _masks(words: list[int]) -> dict[int, int]:
 
 def _search(model, stride: int, cosine: float, likeness: float, certain: float, answer_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weight, space, latent, norms, items = model.value
+        terms, weight, space, latent, norms, items, counts = model.value
         masks = [(item_id, len(w), _masks(w), _masks(w[-answer_words:]), min(answer_words, len(w))) for item_id, w in items]
         least = 0.4 * float((norms**2).min())
+        seen = np.zeros(len(weight), np.float32)
         for batch in batches:
             found: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
             for i, j, hashes, words in letter_words(batch.column("text")):
                 first, at = strides(words, stride)
                 n = int(first[-1])
-                where, col = terms.columns(hashes)
-                live = weight[col] > 0
-                where, col = where[live], col[live]
+                all_where, all_col = terms.columns(hashes)
+                live = weight[all_col] > 0
+                where, col = all_where[live], all_col[live]
                 own = at[where]
                 mass = np.bincount(own, weight[col] ** 2, n)
                 ends = np.zeros(n, bool)
@@ -177,7 +180,14 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
                 for k, t, item in zip(p.tolist(), text.tolist(), q.tolist(), strict=True):
                     item_id, size, whole, ending, most = masks[item]
                     begin = words[t] + (int(chosen[k]) - int(first[t])) * stride
-                    window = hashes[max(words[t], begin - stride) : min(words[t + 1], begin + max(3 * stride, 2 * size))].tolist()
+                    low, high = max(words[t], begin - stride), min(words[t + 1], begin + max(3 * stride, 2 * size))
+                    held = all_col[np.searchsorted(all_where, low) : np.searchsorted(all_where, high)]
+                    seen[held] = 1
+                    most_common = counts[item] @ seen  # in whatever order
+                    seen[held] = 0
+                    if most_common < likeness * size:
+                        continue
+                    window = hashes[low:high].tolist()
                     share = common_length(whole, size, window) / size
                     if share >= certain or share >= likeness and common_length(ending, most, window) >= 0.6 * most:
                         found.append((ids[i + t], item_id, share, float(like[k, item])))
@@ -194,6 +204,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int
     a bound and the items may be any number.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     stride = size // 2
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     count = benchmark.count()
@@ -229,7 +240,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int
         latent, norms = latent[usable], norms[usable]
         latent = (latent / np.linalg.norm(latent, axis=1, keepdims=True)).astype(np.float32)
         kept = [(a, w.tolist()) for (a, w), u in zip(items, usable, strict=True) if u]
-        model = spark.sparkContext.broadcast((terms, weight, space, latent, norms, kept))
+        model = spark.sparkContext.broadcast((terms, weight, space, latent, norms, kept, matrix[usable].astype(np.float32)))
         out = out.unionByName(docs.mapInArrow(_search(model, stride, cosine, likeness, certain, answer_words), "doc_id long, item_id long, lcs_share double, cosine double"))
     best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs_share", "cosine")).alias("b"))
     return saved(best.select("doc_id", "item_id", "b.lcs_share", "b.cosine"), "leaks")
