@@ -21,14 +21,14 @@ import pyarrow as pa
 from .common import mixed, pieces_of, prefix_sums, range_hash, utf8
 
 _ODD = re.compile(r"<\||[\s\x00-\x1f\x7f-\x9f\u180e\u200b-\u200d\ufeff]")
-_SLOTS, _PROBES = 22, 3
+_SLOTS, _PROBES, _AT_ONCE = 22, 3, 1 << 15
 _cached: dict[tuple[str, int], "Encoder"] = {}
 
 
 class Encoder:
     """encode() gives the ids of all texts of a column. memo bounds the parts kept in memory."""
 
-    def __init__(self, path: str, memo: int = 2_000_000):
+    def __init__(self, path: str, memo: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,7 +43,7 @@ class Encoder:
     def _clear(self) -> None:
         self.keys = np.zeros(1 << _SLOTS, np.uint64)
         self.entry = np.zeros(1 << _SLOTS, np.int32)
-        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.flat, self.used = np.zeros(1 << 19, np.uint32), 0
         self.first, self.length, self.count = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0  # length -1: an odd part
 
     def _ids(self, text: str) -> list[int]:
@@ -112,7 +112,7 @@ class Encoder:
         data, off = utf8(column)
         ids: list[np.ndarray] = []
         counts: list[np.ndarray] = []
-        for i, j in pieces_of(off, 1 << 22):
+        for i, j in pieces_of(off, 1 << 21):
             a, b = self._range(data[off[i] : off[j]], off[i : j + 1] - off[i])
             ids.append(a)
             counts.append(b)
@@ -149,8 +149,12 @@ class Encoder:
             _, pick, back = np.unique(h[new], return_index=True, return_inverse=True)
             one = new[pick]
             raw = data.tobytes()
-            parts = [raw[a:b].decode() for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)]
-            entry[new] = self._learn(h[one], parts, context[one])[back]
+            learnt = []
+            for k in range(0, len(one), _AT_ONCE):  # the library holds much for each token while it works
+                some = one[k : k + _AT_ONCE]
+                parts = [raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)]
+                learnt.append(self._learn(h[some], parts, context[some]))
+            entry[new] = np.concatenate(learnt)[back]
         length = self.length[entry].astype(np.int64)
         odd[owner[length < 0]] = True
         length[odd[owner]] = 0
@@ -169,7 +173,7 @@ class Encoder:
         return out, count
 
 
-def encoder(path: str, memo: int = 2_000_000) -> Encoder:
+def encoder(path: str, memo: int = 1_500_000) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
     key = (path, memo)
     if key not in _cached:

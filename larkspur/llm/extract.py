@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, saved
+from .common import new_path, saved, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -197,6 +197,7 @@ def templates(parsed: DataFrame, share: float, least_pages: int) -> DataFrame:
 def main_text(pages: DataFrame, share: float = 0.3, least_pages: int = 10) -> DataFrame:
     """page_id, url, text and n_chars for every page."""
     spark = pages.sparkSession
+    small_batches(spark)
     stored = _parsed(pages)
     path = new_path(spark, "parsed")
     stored.write.option("compression", "zstd").parquet(path)

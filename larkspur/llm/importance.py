@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces_of, prefix_sums, range_hash, saved, shingles, utf8, word_chunks, word_hashes
+from .common import mixed, pieces_of, prefix_sums, range_hash, saved, shingles, small_batches, utf8, word_chunks, word_hashes
 
 BITS, RUN = 18, 6
 
@@ -187,6 +187,7 @@ def resampled(documents: DataFrame, labels: DataFrame, most_labels: int = 50_000
     on the log weights. care: how many times a good document's loss counts against a bad one kept, in choosing k. keep: how many documents to draw, if not as many as the held-out labels suggest. Documents that
     tie with the last one drawn are kept too.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = saved(with_shares(docs, saved(labelled(labels, most_labels), "labels")), "labels")
     marked = docs.join(F.broadcast(known), "doc_id", "left")  # most_labels rows at most

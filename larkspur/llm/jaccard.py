@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, saved, shingles, utf8, word_chunks
+from .common import mixed, partitions, saved, shingles, small_batches, utf8, word_chunks
 from .components import component_labels
 
 SKETCH_BLOCK, SET_BLOCK = 2048, 512
@@ -263,6 +263,7 @@ def near_copies(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall
     of other documents with a similarity of threshold or more, equal ones included.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     bands, rows = banding(threshold, recall)
     deal = partitions(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, small_batches
 from .encode import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -197,6 +197,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 102
 
     Sequences filled below `loose` of the capacity are dissolved after the first round and packed again together.
     """
+    small_batches(documents.sparkSession)
     cut = saved(pieces(documents, vocabulary, end_id, capacity), "pieces")
     # a piece that fills a sequence needs no packing; its number is negative
     whole = cut.where(F.col("length") == capacity)

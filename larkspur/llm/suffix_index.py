@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, pieces_of, prefix_sums, range_hash, saved, utf8
+from .common import mixed, partitions, pieces_of, prefix_sums, range_hash, saved, small_batches, utf8
 
 GRAM, HALF = 16, 33
 ROWS = "kind string, part long, data binary"
@@ -484,6 +484,7 @@ def without_repeats(documents: DataFrame, length: int = 50, batches: int = 8, wi
     if length < GRAM + HALF - 1 or length > 2 * HALF - GRAM:
         raise ValueError(f"length must be from {GRAM + HALF - 1} to {2 * HALF - GRAM} bytes")
     spark = documents.sparkSession
+    small_batches(spark)
     deal = partitions(spark)
     ranges = homes = 3 * deal  # more parts than tasks, so that tasks get about as many
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*carry).alias("rest") if carry else F.lit(0).alias("rest"))

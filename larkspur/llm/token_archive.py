@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, partitions
+from .common import new_path, partitions, small_batches
 from .encode import encoder
 
 VERSION = 1
@@ -68,6 +68,7 @@ def train_dictionary(documents: DataFrame, vocabulary: str, end_id: int, width:
 def write_archive(documents: DataFrame, path: str, vocabulary: str, end_id: int, shard_tokens: int = 1 << 20, level: int = 3) -> None:
     """Encodes every whole text and writes shards in ascending doc_id order under path, the dictionary beside them."""
     spark = documents.sparkSession
+    small_batches(spark)
     width = 2 if max(encoder(vocabulary).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(documents.select("doc_id", "text"), vocabulary, end_id, width)
     sha = hashlib.sha256(dictionary).hexdigest()

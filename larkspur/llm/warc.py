@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path
+from .common import new_path, small_batches
 
 HASHED = "page_id long, url string, sha256 string, payload_digest string, payload_bytes long, pressed binary"
 RECORDS = "page_id long, url string, sha256 string, payload_digest string, record_type string, refers_to long, header binary, http binary"
@@ -78,6 +78,7 @@ def _headers(records: DataFrame) -> DataFrame:
 def write_archive(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     """Writes path/payloads (each payload once) and path/records (headers and references)."""
     spark = pages.sparkSession
+    small_batches(spark)
     hashed = f"{path}/hashed"
     _hashed(pages).write.option("compression", "none").parquet(hashed)
     rows = spark.read.schema(HASHED).parquet(hashed)
