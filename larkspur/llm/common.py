@@ -7,6 +7,8 @@ locale or on Unicode tables and hashing needs no Python loop over words.
 
 from __future__ import annotations
 
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,6 +59,15 @@ def small_batches(spark: SparkSession, most: int = 2048) -> None:
         spark.conf.set(key, str(most))
 
 
+def lean_worker() -> None:
+    """For tasks that encode nothing: a Python worker serves one operator after another, and gives back what vocabularies took."""
+    encode = sys.modules.get(f"{__package__}.encode")
+    if encode is not None and encode._cached:
+        encode._cached.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -87,7 +98,7 @@ def powers(n: int, base: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if size <= 8 * CHUNK_BYTES:
+        if size <= CHUNK_BYTES + 1:  # longer ones are for single long texts
             _powers[base] = have
     return have[:n]
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces_of, prefix_sums, range_hash, saved, shingles, small_batches, utf8, word_chunks, word_hashes
+from .common import lean_worker, mixed, pieces_of, prefix_sums, range_hash, saved, shingles, small_batches, utf8, word_chunks, word_hashes
 
 BITS, RUN = 18, 6
 
@@ -94,6 +94,7 @@ def fit(marked: DataFrame, nats: float = 8.0, rare: float = 0.15) -> np.ndarray:
     names = ("raw", "target", "bad", "unlike")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         sums = np.zeros((4, 2 << BITS))
         docs = good = 0
         for batch in batches:
@@ -136,6 +137,7 @@ def weighed(marked: DataFrame, ratio: np.ndarray) -> DataFrame:
     model = marked.sparkSession.sparkContext.broadcast(ratio)  # of a fixed size
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for batch in batches:
             weight = np.zeros(batch.num_rows)
             for i, j, text, (a, b) in features(batch.column("text")):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, saved, shingles, small_batches, utf8, word_chunks
+from .common import lean_worker, mixed, partitions, saved, shingles, small_batches, utf8, word_chunks
 from .components import component_labels
 
 SKETCH_BLOCK, SET_BLOCK = 2048, 512
@@ -100,6 +100,7 @@ def by_blocks(df: DataFrame, key: str, size: str, block: int, item: str) -> Data
 
 def _sketch_rows(bands: int, rows: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         import xxhash
 
         for batch in batches:
@@ -134,6 +135,7 @@ def _likely(bands: int, rows: int, floor: float) -> Callable:
         return hit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for t in whole_runs(batches, "unit"):
             keys = t.column("unit").to_numpy()
             reps, block, band = t.column("rep").to_numpy(), t.column("block").to_numpy(), t.column("band").to_numpy()
@@ -175,6 +177,7 @@ def _set_rows(n: int):
     """Distinct shingles of each text, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         import xxhash
 
         for batch in batches:
@@ -229,6 +232,7 @@ def overlaps(sets: list[np.ndarray], home: np.ndarray) -> np.ndarray:
 
 def _verified(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         for t in whole_runs(batches, "unit", 256):
             keys = t.column("unit").to_numpy()
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]])

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces_of, saved, small_batches, utf8, word_hashes
+from .common import lean_worker, mixed, pieces_of, saved, small_batches, utf8, word_hashes
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -69,6 +69,7 @@ def _statistics(terms, stride: int, sketch: int):
     """Of a task: the number of strides, the strides with each term, and the sketch of their term counts, as one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         import zstandard
 
         vocabulary = terms.value
@@ -137,6 +138,7 @@ def _masks(words: list[int]) -> dict[int, int]:
 
 def _search(model, stride: int, cosine: float, likeness: float, certain: float, answer_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         terms, weight, space, latent, norms, items, counts = model.value
         masks = [(item_id, len(w), _masks(w), _masks(w[-answer_words:]), min(answer_words, len(w))) for item_id, w in items]
         least = 0.4 * float((norms**2).min())

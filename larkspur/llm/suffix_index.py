@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, partitions, pieces_of, prefix_sums, range_hash, saved, small_batches, utf8
+from .common import lean_worker, mixed, partitions, pieces_of, prefix_sums, range_hash, saved, small_batches, utf8
 
 GRAM, HALF = 16, 33
 ROWS = "kind string, part long, data binary"
@@ -175,6 +175,7 @@ def _texts(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[tuple[np
 
 def _scan(length: int, ranges: int, marked: bool, homes: int, first_id: int, ids_in_batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         held: list[dict[str, np.ndarray]] = []
         spans = Gathered("span", homes)
 
@@ -308,6 +309,7 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict
 
 def _match(length: int, homes: int, first_id: int, ids_in_batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         settled: list[pa.RecordBatch] = []
         found, asks = Gathered("span", homes), Gathered("ask", homes)
 
@@ -393,6 +395,7 @@ def _single(length: int, ranges: int, marked: bool, homes: int):
     """The hashes of all windows that were asked for; what a smaller document of the same task has is settled here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         held: list[dict[str, np.ndarray]] = []
         spans = Gathered("span", homes)
 
@@ -441,6 +444,7 @@ def _compare(length: int, homes: int):
 
 def _cut(with_kept: bool, marked: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean_worker()
         kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "text": pa.string(), "rest": None}
         out: dict[str, list] = {c: [] for c in kinds}
         size = 0
