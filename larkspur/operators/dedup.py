@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title, normalize_venue
-from .graph import labels
+from .graph import checkpointed, labels
 
 
 def _subset(a: Column, b: Column) -> Column:
@@ -111,31 +111,69 @@ def sweep(rows: list[tuple], links: set[tuple[str, str]]) -> list[tuple[str, str
     return out
 
 
-def phase_two(pending: DataFrame, most: int = 5000) -> DataFrame:
-    """duplicate_id, canonical_id and seq among unprocessed rows: the greedy pass, component by component.
+def _marked(edges: DataFrame, gathered: int) -> DataFrame:
+    """Ids that the greedy pass marks, of edges (a, b, b_start) in which a, if unmarked, marks the later b.
 
-    Rows of different components never meet in the pass, so that components can be swept apart. seq is the order of
-    the pairs within a component; an id may occur more than once, and its last pair counts. A component of more than
-    `most` rows is not swept but reported with a null duplicate_id.
+    A row that no undecided row may mark stays, and what it marks is decided with it. Rounds are written, until the
+    edges that are left are few enough for one task, which goes through them in order.
     """
-    links = matching_pairs(pending)
-    group = labels(links)
-    info = pending.select("id", F.col("event_date_start").alias("start"), F.length(F.coalesce("raw_description", F.lit(""))).alias("n"), F.col("created_at").alias("at"))
-    sizes = group.groupBy("label").agg(F.count("*").alias("size"))
-    small = group.join(sizes.where(F.col("size") <= most), "label")  # so that no task gathers a component of any size
-    rows = small.join(info, "id").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("start", "id", "n", "at"))).alias("rows"))
-    edges = links.join(small.withColumnRenamed("id", "a"), "a").groupBy("label").agg(F.collect_list(F.struct("a", "b")).alias("links"))
+    marked = None
+    edges = checkpointed(edges)
+    while edges.count() > gathered:
+        stays = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        lost = checkpointed(edges.join(stays, "a").select("b").distinct())
+        marked = lost if marked is None else marked.union(lost)
+        edges = checkpointed(edges.join(lost, "b", "left_anti").join(lost.toDF("a"), "a", "left_anti"))
 
     def run(batches):
-        for pdf in batches:
-            found = []
-            for _, r in pdf.iterrows():
-                found += sweep([(x["id"], x["n"], x["at"]) for x in r["rows"]], {(x["a"], x["b"]) for x in r["links"]})
-            yield pd.DataFrame(found, columns=["duplicate_id", "canonical_id", "seq"])
-
-    swept = rows.join(edges, "label").mapInPandas(run, "duplicate_id string, canonical_id string, seq long")
-    large = sizes.where(F.col("size") > most).select(F.lit(None).cast("string").alias("duplicate_id"), F.col("label").alias("canonical_id"), F.lit(-1).cast("long").alias("seq"))
-    return swept.union(large)
+        rows = pd.concat([pd.DataFrame(columns=["a", "b", "b_start"]), *batches])
+        gone: set[str] = set()
+        for _, b, a in sorted(zip(rows["b_start"], rows["b"], rows["a"], strict=True)):
+            if a not in gone:
+                gone.add(b)
+        yield pd.DataFrame({"b": sorted(gone)}, dtype=object)
+
+    rest = edges.select("a", "b", "b_start").coalesce(1).mapInPandas(run, "b string")
+    return checkpointed(rest if marked is None else marked.union(rest))
+
+
+def phase_two(pending: DataFrame, most: int | None = None, gathered: int = 200_000) -> DataFrame:
+    """duplicate_id, canonical_id and seq among unprocessed rows: the greedy pass.
+
+    Rows of one shape match each other, so that only a row that is worth more than all earlier ones of its shape may
+    find itself unmarked when its turn comes; these rows are settled by _marked, and the pairs follow. seq is the
+    order of the pairs within a component; an id may occur more than once, and its last pair counts. Only if a caller
+    gives `most`, components of more rows are left out and reported with a null duplicate_id.
+    """
+    worth = F.struct(F.length(F.coalesce("raw_description", F.lit(""))).alias("n"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("at"))
+    rows = checkpointed(_with_shape(pending).select("h", F.struct(F.col("event_date_start").alias("start"), "id").alias("r"), worth.alias("k")))
+    shapes = rows.groupBy("h").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count("*").alias("size"))
+    pairs = matching_shapes(pending, pending).join(shapes.select(F.col("h").alias("a"), "first"), "a").join(shapes.select(F.col("h").alias("b"), "last"), "b")
+    pairs = checkpointed(pairs.where(F.col("first") < F.col("last")).select("a", "b"))
+    of = lambda df, x: df.select(F.col("h").alias(x), F.col("r").alias(f"r{x}"), F.col("k").alias(f"k{x}"))
+
+    before = Window.partitionBy("h").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    turns = checkpointed(rows.withColumn("best", F.max("k").over(before)).where(F.col("best").isNull() | (F.col("best") < F.col("k"))).drop("best"))
+    links = pairs.join(of(turns, "a"), "a").join(of(turns, "b"), "b").where(F.col("ra") < F.col("rb"))
+    marked = _marked(links.where(F.col("ka") >= F.col("kb")).select(F.col("ra.id").alias("a"), F.col("rb.id").alias("b"), F.col("rb.start").alias("b_start")), gathered)
+    unmarked = turns.join(marked, turns["r"]["id"] == marked["b"], "left_anti")
+
+    met = pairs.join(of(unmarked, "a"), "a").join(of(rows, "b"), "b").where(F.col("ra") < F.col("rb")).withColumn("keep_a", F.col("ka") >= F.col("kb"))
+    met = checkpointed(met.select(F.col("a").alias("h"), "ra", "rb", "keep_a"))
+    # a row is met no more once it is marked
+    ends = met.where("keep_a").groupBy("rb").agg(F.min("ra").alias("end"))
+    group = labels(pairs).withColumnRenamed("id", "h")
+    found = met.join(ends, "rb", "left").where(F.col("end").isNull() | (F.col("ra") <= F.col("end"))).join(group, "h")
+    large = None
+    if most is not None:
+        sizes = group.join(shapes, "h").groupBy("label").agg(F.sum("size").alias("size"), F.min("first.id").alias("id"))
+        large = sizes.where(F.col("size") > most)
+        found = found.join(large.select("label"), "label", "left_anti")
+    seq = F.row_number().over(Window.partitionBy("label").orderBy("ra", "rb")).cast("long") - 1
+    swept = found.select(F.when(F.col("keep_a"), F.col("rb.id")).otherwise(F.col("ra.id")).alias("duplicate_id"), F.when(F.col("keep_a"), F.col("ra.id")).otherwise(F.col("rb.id")).alias("canonical_id"), seq.alias("seq"))
+    if large is None:
+        return swept
+    return swept.union(large.select(F.lit(None).cast("string"), "id", F.lit(-1).cast("long")))
 
 
 def canonical_first(a: Column, b: Column) -> Column:

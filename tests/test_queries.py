@@ -44,6 +44,31 @@ def test_phase_two_equals_a_global_pass(spark, sf_dir):
     assert dedup.phase_two(rows, most=1).where("duplicate_id is not null").isEmpty()
 
 
+def test_phase_two_sweeps_components_of_any_size(spark):
+    import datetime as dt
+    import random
+
+    from larkspur.operators import dedup
+
+    # more than 5000 copies in one component, around them rows that match only some
+    rng = random.Random(3)
+    day, at = dt.date(2026, 3, 1), dt.datetime(2026, 1, 1)
+    rows = [(f"c{i:05d}", "Spring fair of lanterns", "Old harbour hall", day, None, "x" * rng.randint(0, 40), at + dt.timedelta(hours=rng.randint(0, 9))) for i in range(5100)]
+    titles = ["Spring lanterns", "Spring lanterns market", "Market evening songs", "Evening songs choir", "Choir rehearsal winter"]
+    rows += [(f"{rng.choice('bcd')}x{i}", rng.choice(titles), "Old harbour hall", day + dt.timedelta(days=rng.randint(0, 6)), day + dt.timedelta(days=rng.randint(6, 9)), "y" * rng.randint(0, 9), at + dt.timedelta(hours=rng.randint(0, 9))) for i in range(60)]
+    schema = "id string, raw_title string, venue string, event_date_start date, event_date_end date, raw_description string, created_at timestamp"
+    everything = spark.createDataFrame(rows, schema)
+    got = dedup.phase_two(everything).collect()
+    assert all(r["duplicate_id"] for r in got) and len({r["duplicate_id"] for r in got if r["duplicate_id"] < "c" * 2 and r["duplicate_id"][1] != "x"}) > 5000
+
+    some = spark.createDataFrame(rows[:150] + rows[5100:], schema)
+    links = {(r["a"], r["b"]) for r in dedup.matching_pairs(some).collect()}
+    order = sorted(rows[:150] + rows[5100:], key=lambda r: (r[3], r[0]))
+    want = sorted(x[:2] for x in dedup.sweep([(r[0], len(r[5]), r[6]) for r in order], links))
+    for gathered in (0, 20, 200_000):
+        assert sorted((r["duplicate_id"], r["canonical_id"]) for r in dedup.phase_two(some, gathered=gathered).collect()) == want
+
+
 def test_entry_registers_everything(spark):
     import __spark_entry__ as e
 
