@@ -6,7 +6,12 @@ matrix (one pass over all documents, which also counts document frequencies);
 the singular vectors of the sketch, stacked on the benchmark's own rows, are the
 latent space. Passages whose cosine with an item is high enough are candidates,
 and are checked on words: the longest common subsequence has to hold nearly all
-of the item, or most of it with the item's ending, its answer.
+of the item, or most of it with the item's ending, its answer. Where `gram_words`
+words in a row are those of an item the same check is made, whatever the cosine,
+so that verbatim copies are found of items that have no weight in the space.
+
+A word that stands in few distinct contexts is as telling as one that occurs as
+often as it has contexts: a leak that is copied everywhere keeps its weight.
 
 Words are runs of letters, digits and bytes above 0x7F, ASCII in lower case.
 Items of fewer than `least_words` words are not searched, since chance holds them.
@@ -25,7 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_worker, mixed, pieces_of, saved, small_batches, utf8, word_hashes
+from .common import lean_worker, mixed, pieces_of, saved, shingles, small_batches, utf8, word_hashes
+
+REGISTERS = 64
 
 _INSIDE = np.zeros(256, bool)
 _INSIDE[48:58] = _INSIDE[65:91] = _INSIDE[97:123] = _INSIDE[128:] = True
@@ -65,8 +72,31 @@ def strides(words: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
     return first, np.repeat(first[:-1], count) + inner // stride
 
 
+def contexts(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A hash of each word with its neighbours in its text."""
+    before, after = np.zeros_like(hashes), np.zeros_like(hashes)
+    before[1:], after[:-1] = hashes[:-1], hashes[1:]
+    filled = np.flatnonzero(np.diff(words))
+    before[words[filled]] = 0
+    after[words[filled + 1] - 1] = 0
+    return mixed(mixed(mixed(before + np.uint64(1)) + hashes) + after)
+
+
+def ranks(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The register of each hash, and the place of its first set bit."""
+    rest = marks >> np.uint64(11)
+    return (marks % np.uint64(REGISTERS)).astype(np.int64), 54 - np.frexp(rest.astype(np.float64))[1].astype(np.int64)
+
+
+def distinct_of(registers: np.ndarray) -> np.ndarray:
+    """HyperLogLog estimates, a row of registers each."""
+    raw = 0.709 * REGISTERS**2 / np.exp2(-registers.astype(float)).sum(axis=1)
+    none = (registers == 0).sum(axis=1)
+    return np.where((raw <= 2.5 * REGISTERS) & (none > 0), REGISTERS * np.log(REGISTERS / np.maximum(none, 1)), raw)
+
+
 def _statistics(terms, stride: int, sketch: int):
-    """Of a task: the number of strides, the strides with each term, and the sketch of their term counts, as one block."""
+    """Of a task: the number of strides, the strides with each term, the sketch of their term counts and the registers of the terms' contexts, as one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
@@ -75,11 +105,14 @@ def _statistics(terms, stride: int, sketch: int):
         vocabulary = terms.value
         d = len(vocabulary.hashes)
         total, df, rows = 0, np.zeros(d, np.int64), np.zeros(sketch * d, np.int64)
+        registers = np.zeros(d * REGISTERS, np.int64)
         for batch in batches:
             for _, _, hashes, words in letter_words(batch.column("text")):
                 first, at = strides(words, stride)
                 total += int(first[-1])
                 where, col = vocabulary.columns(hashes)
+                register, rank = ranks(contexts(hashes, words)[where])
+                np.maximum.at(registers, col * REGISTERS + register, rank)
                 key, tf = np.unique(at[where] * d + col, return_counts=True)
                 stride_no, col = key // d, key % d
                 df += np.bincount(col, minlength=d)
@@ -87,27 +120,39 @@ def _statistics(terms, stride: int, sketch: int):
                 marks = mixed(np.bincount(at, (hashes >> np.uint64(40)).astype(np.float64), int(first[-1])).astype(np.uint64) + np.uint64(1))
                 row, sign = (marks % np.uint64(sketch)).astype(np.int64), np.where(marks >> np.uint64(63), 1, -1)
                 np.add.at(rows, row[stride_no] * d + col, tf * sign[stride_no])
-        data = np.concatenate([[total], df, rows]).tobytes()
+        data = np.concatenate([registers, [total], df, rows]).tobytes()
         yield pa.RecordBatch.from_pydict({"data": pa.array([zstandard.ZstdCompressor(level=1).compress(data)], pa.binary())})
 
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zstandard
+def _summed(highest: int):
+    """Blocks added up; of the first numbers the highest counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        total = None
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
+                if total is None:
+                    total = x.copy()
+                else:
+                    np.maximum(total[:highest], x[:highest], out=total[:highest])
+                    total[highest:] += x[highest:]
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"data": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
-    total = None
-    for batch in batches:
-        for data in batch.column("data").to_pylist():
-            x = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int64)
-            total = x.copy() if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_pydict({"data": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
+    return run
 
 
 def _space(counts: np.ndarray, d: int, sketch: int, items: np.ndarray, rank: int, most_share: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights of the terms and the latent space: a column for each term."""
+    apart, counts = distinct_of(counts[: d * REGISTERS].reshape(d, REGISTERS)), counts[d * REGISTERS :]
     total, df, rows = max(1, int(counts[0])), counts[1 : d + 1], counts[d + 1 :].reshape(sketch, d)
+    # copies of a passage say no more than one; the estimate counts only where it is clearly lower
+    df = np.where(apart < df / 2, apart, df)
     # a word of most passages says nothing; in a small corpus a dozen passages are not most
     weight = np.where(df <= max(most_share * total, 12), np.log((total + 1) / (df + 1)), 0.0)
     corpus, own = rows * weight, items * weight
@@ -136,13 +181,43 @@ def _masks(words: list[int]) -> dict[int, int]:
     return out
 
 
+def gram_places(items: list[list[int]], n: int, most: int = 8) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """Sorted hashes of n words in a row and the items and places that have them; of hashes that many items share only what an item needs."""
+    own = [shingles(np.array(w, np.uint64), np.array([0, len(w)]), n)[0].tolist() for w in items]
+    places: dict[int, list[tuple[int, int]]] = {}
+    for k, grams in enumerate(own):
+        for place, g in enumerate(grams):
+            places.setdefault(g, []).append((k, place))
+    needed = {(k, min(grams, key=lambda g: len(places[g]))) for k, grams in enumerate(own) if grams}
+    kept = {g: [x for x in at if len(at) <= most or (x[0], g) in needed] for g, at in places.items()}
+    order = sorted(g for g, at in kept.items() if at)
+    return np.array(order, np.uint64), [kept[g] for g in order]
+
+
 def _search(model, stride: int, cosine: float, likeness: float, certain: float, answer_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
-        terms, weight, space, latent, norms, items, counts = model.value
+        terms, weight, space, latent, norms, items, counts, grams, places, gram_words = model.value
+        gram_terms = Terms(grams)
         masks = [(item_id, len(w), _masks(w), _masks(w[-answer_words:]), min(answer_words, len(w))) for item_id, w in items]
-        least = 0.4 * float((norms**2).min())
+        least = 0.4 * float((norms[norms > 0] ** 2).min(initial=np.inf))
         seen = np.zeros(len(weight), np.float32)
+
+        def held_share(item, low, high, hashes, all_where, all_col):
+            """The share of an item that a stretch of words holds, if it is enough."""
+            _, size, whole, ending, most = masks[item]
+            held = all_col[np.searchsorted(all_where, low) : np.searchsorted(all_where, high)]
+            seen[held] = 1
+            most_common = counts[item] @ seen  # in whatever order
+            seen[held] = 0
+            if most_common < likeness * size:
+                return None
+            window = hashes[low:high].tolist()
+            share = common_length(whole, size, window) / size
+            if share >= certain or share >= likeness and common_length(ending, most, window) >= 0.6 * most:
+                return share
+            return None
+
         for batch in batches:
             found: list[tuple] = []
             ids = batch.column("doc_id").to_pylist()
@@ -150,6 +225,15 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
                 first, at = strides(words, stride)
                 n = int(first[-1])
                 all_where, all_col = terms.columns(hashes)
+                in_row, begins = shingles(hashes, words, gram_words)
+                spots, which = gram_terms.columns(in_row)
+                texts = np.searchsorted(begins, spots, "right") - 1
+                met = {(item, t, words[t] + x - begins[t] - place) for x, g, t in zip(spots.tolist(), which.tolist(), texts.tolist(), strict=True) for item, place in places[g]}
+                for item, t, begin in met:
+                    item_id, size = masks[item][:2]
+                    share = held_share(item, max(words[t], begin - size), min(words[t + 1], begin + 2 * size), hashes, all_where, all_col)
+                    if share is not None:
+                        found.append((ids[i + t], item_id, share, None))
                 live = weight[all_col] > 0
                 where, col = all_where[live], all_col[live]
                 own = at[where]
@@ -180,18 +264,11 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
                 p, q = np.nonzero(like >= cosine)
                 text = np.searchsorted(first, chosen[p], "right") - 1
                 for k, t, item in zip(p.tolist(), text.tolist(), q.tolist(), strict=True):
-                    item_id, size, whole, ending, most = masks[item]
+                    item_id, size = masks[item][:2]
                     begin = words[t] + (int(chosen[k]) - int(first[t])) * stride
                     low, high = max(words[t], begin - stride), min(words[t + 1], begin + max(3 * stride, 2 * size))
-                    held = all_col[np.searchsorted(all_where, low) : np.searchsorted(all_where, high)]
-                    seen[held] = 1
-                    most_common = counts[item] @ seen  # in whatever order
-                    seen[held] = 0
-                    if most_common < likeness * size:
-                        continue
-                    window = hashes[low:high].tolist()
-                    share = common_length(whole, size, window) / size
-                    if share >= certain or share >= likeness and common_length(ending, most, window) >= 0.6 * most:
+                    share = held_share(item, low, high, hashes, all_where, all_col)
+                    if share is not None:
                         found.append((ids[i + t], item_id, share, float(like[k, item])))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "lcs_share", "cosine"])
@@ -199,9 +276,11 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
     return run
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int = 256, sketch: int = 256, cosine: float = 0.35, likeness: float = 0.6, certain: float = 0.75, answer_words: int = 6, least_words: int = 8, items_at_once: int = 1000, most_share: float = 0.05) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int = 256, sketch: int = 256, cosine: float = 0.35, likeness: float = 0.6, certain: float = 0.75, answer_words: int = 6, least_words: int = 8, items_at_once: int = 1000, most_share: float = 0.05, gram_words: int = 8) -> DataFrame:
     """doc_id, item_id, lcs_share and cosine (of the best passage) for each document that holds an item.
 
+    cosine is null where only words in a row led to the item.
+
     Items are searched in blocks of items_at_once, each with a latent space of its own, so that what is broadcast has
     a bound and the items may be any number.
     """
@@ -226,7 +305,7 @@ def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int
         known = spark.sparkContext.broadcast(terms)
         parts = docs.select("text").mapInArrow(_statistics(known, stride, sketch), "data binary")
         # sums of a fixed size, added up in a tree
-        sums = parts.repartition(8).mapInArrow(_summed, "data binary").repartition(1).mapInArrow(_summed, "data binary")
+        sums = parts.repartition(8).mapInArrow(_summed(d * REGISTERS), "data binary").repartition(1).mapInArrow(_summed(d * REGISTERS), "data binary")
         import zstandard
 
         got = sums.collect()
@@ -236,13 +315,12 @@ def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int
         weight, space = _space(counts, d, sketch, matrix, rank, most_share)
         latent = (matrix * weight) @ space
         norms = np.linalg.norm(matrix * weight, axis=1)
-        usable = np.linalg.norm(latent, axis=1) > 1e-9
-        if not usable.any():
-            continue
-        latent, norms = latent[usable], norms[usable]
-        latent = (latent / np.linalg.norm(latent, axis=1, keepdims=True)).astype(np.float32)
-        kept = [(a, w.tolist()) for (a, w), u in zip(items, usable, strict=True) if u]
-        model = spark.sparkContext.broadcast((terms, weight, space, latent, norms, kept, matrix[usable].astype(np.float32)))
+        length = np.linalg.norm(latent, axis=1, keepdims=True)
+        norms = np.where(length[:, 0] > 1e-9, norms, 0.0)  # such items are found by words in a row only
+        latent = np.where(length > 1e-9, latent / np.maximum(length, 1e-9), 0.0).astype(np.float32)
+        kept = [(a, w.tolist()) for a, w in items]
+        model = spark.sparkContext.broadcast((terms, weight, space, latent, norms, kept, matrix.astype(np.float32), *gram_places([w for _, w in kept], gram_words), gram_words))
         out = out.unionByName(docs.mapInArrow(_search(model, stride, cosine, likeness, certain, answer_words), "doc_id long, item_id long, lcs_share double, cosine double"))
-    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("lcs_share", "cosine")).alias("b"))
-    return saved(best.select("doc_id", "item_id", "b.lcs_share", "b.cosine"), "leaks")
+    by_space = F.when(F.col("cosine").isNotNull(), F.struct("lcs_share", "cosine"))
+    best = out.groupBy("doc_id", "item_id").agg(F.max("lcs_share").alias("lcs_share"), F.max(by_space).alias("b"))
+    return saved(best.select("doc_id", "item_id", "lcs_share", "b.cosine"), "leaks")

@@ -84,6 +84,27 @@ def test_leaks(spark):
     assert leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame([], "item_id long, text string")).collect() == []
 
 
+def test_leaks_that_are_frequent(spark):
+    import random
+
+    rng = random.Random(5)
+    item = "which small river runs past the old mill and then turns to the north the answer is the river lynd"
+    plain = "this is what we have and that is what they have so it is all the same to us"
+    word = lambda: f"w{rng.randrange(3000)}"
+    docs = []
+    for i in range(600):
+        text = [word() for _ in range(60)]
+        if i % 3 == 0:  # in short texts of its own, at any place
+            text = text[: rng.randrange(20)] + item.split() + text[:9]
+        if i % 10:  # words of the second item are everywhere, in any order
+            text += rng.sample(plain.split(), 18)
+        docs.append((i, " ".join(text)))
+    docs += [(900, f"{word()} {plain} {word()}"), (901, f"{word()} {item.replace('small', 'little').replace('old mill', 'mill house')} {word()}")]
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, plain)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["item_id"] == 1} == {*range(0, 600, 3), 901}
+    assert 900 in {r["doc_id"] for r in got if r["item_id"] == 2}
+
+
 def test_common_length():
     a, b = [1, 2, 3, 4, 2, 9], [2, 3, 7, 2, 9, 1]
     assert common_length(_masks(a), len(a), b) == 4
