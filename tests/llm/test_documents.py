@@ -71,6 +71,22 @@ def test_html_extraction(spark):
     assert main_text(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
 
 
+def test_html_reposts_keep_their_text(spark):
+    article = "<h1>The mill on the river</h1>" + "".join(f"<p>Paragraph {i} tells at some length what happened at the old mill.</p>" for i in range(5))
+    page = "<html><head><title>t%s</title></head><body><nav>n%s</nav><article>%s</article><div class='ad'>buy %s</div></body></html>"
+    again = [page % (i, i, article, i) for i in range(14)]
+    titled = [page % (i, i, article.replace("The mill on the river", f"Edition {i}"), i) for i in range(14)]
+    plain = [f"<body><div>promoted {i}</div>{article}</body>" for i in range(14)]
+    other = [page % (i, i, f"<p>Follow us everywhere</p><p>Something else on day {i} that only this page says.</p>", i) for i in range(12)]
+    rows = [(100 * k + i, f"https://{'abc'[k]}.example/{i}", h) for k, pages in enumerate((again, titled, plain)) for i, h in enumerate(pages)]
+    rows += [(1000 + i, f"https://a.example/o{i}", h) for i, h in enumerate(other)]
+    text = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    body = "\n".join(f"Paragraph {i} tells at some length what happened at the old mill." for i in range(5))
+    for i in range(14):
+        assert text[i] == f"The mill on the river\n{body}" and text[100 + i] == f"Edition {i}\n{body}" and text[200 + i] == f"promoted {i}\nThe mill on the river\n{body}"
+    assert all(text[1000 + i] == f"Something else on day {i} that only this page says." for i in range(12))
+
+
 def test_leaks(spark):
     item = "which small river runs past the old mill and then turns to the north the answer is the river lynd"
     filler = " ".join(f"w{i}" for i in range(150))
