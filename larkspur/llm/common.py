@@ -8,6 +8,7 @@ locale or on Unicode tables and hashing needs no Python loop over words.
 from __future__ import annotations
 
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -29,9 +30,11 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only if the session names none."""
+    """The folder that driver and executors share. A session that names none gets one of this machine, if it runs on this machine alone."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -48,6 +51,18 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined_to(rows: DataFrame, facts: DataFrame, on: list[str], seen: str, total: int) -> DataFrame:
+    """Rows with the facts of their key; facts has a row for each key, and in `seen` how many of the `total` rows have it.
+
+    Keys of more than a thousandth of all rows are under a thousand, and their facts are broadcast; so no task gets all rows of a frequent key.
+    """
+    often = F.col(seen) * 1000 > total
+    few = facts.where(often)
+    near = rows.join(F.broadcast(few), on)
+    far = rows.join(F.broadcast(few.select(*on)), on, "left_anti").join(facts.where(~often), on)
+    return near.unionByName(far)
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 

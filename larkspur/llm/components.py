@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import joined_to, saved
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours are tied to the smallest node next to it."""
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
+    """Every node's larger neighbours are tied to the smallest node next to it. Nodes with very many neighbours are met by broadcast."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("degree"))
+    return joined_to(both.where("b > a"), least, ["a"], "degree", 2 * count).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -35,5 +35,5 @@ def component_labels(edges: DataFrame) -> DataFrame:
         if seen["n"] == 0 or (seen["n"], seen["h"]) == mark:
             break
         mark = (seen["n"], seen["h"])
-        now = saved(_small_star(_large_star(now)), "edges")
+        now = saved(_small_star(_large_star(now, seen["n"])), "edges")
     return now.select(F.col("a").alias("id"), F.col("b").alias("label")).union(now.select(F.col("b").alias("id"), F.col("b").alias("label")).distinct())

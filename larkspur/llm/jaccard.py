@@ -13,8 +13,9 @@ link counts and a spanning forest, so no pair of a large group is ever a row.
 
 Words are runs of bytes above 0x20, ASCII letters in lower case. A text of fewer
 than n words is one shingle. Nulls: null texts and texts without words link with
-nothing. A null doc_id takes no part. Rows of equal doc_id count separately. An
-empty table gives no rows. Columns other than doc_id and text are not read.
+nothing. A null doc_id takes no part. Rows of equal doc_id count separately.
+Very long texts have sets of all their shingles. An empty table gives no rows.
+Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -27,18 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean_worker, mixed, partitions, saved, shingles, small_batches, utf8, word_chunks
+from .common import joined_to, lean_worker, mixed, partitions, saved, shingles, small_batches, utf8, word_chunks
 from .components import component_labels
 
 SKETCH_BLOCK, SET_BLOCK = 2048, 512
 
 
-def banding(threshold: float, recall: float, most: int = 128) -> tuple[int, int]:
+def stated_recall(threshold: float, bands: int, rows: int, floor: float) -> float:
+    """The least probability that a pair at the threshold is verified: that a band agrees, and that a share `floor` of all minima does."""
+    n = bands * rows
+    few = sum(math.comb(n, k) * threshold**k * (1 - threshold) ** (n - k) for k in range(math.ceil(floor * n)))
+    return 1 - (1 - threshold**rows) ** bands - few
+
+
+def banding(threshold: float, recall: float, floor: float, most: int = 128) -> tuple[int, int]:
     """Bands and rows, with the most rows (and so the fewest idle meetings) that find a pair at the threshold with the wanted probability."""
     for rows in range(12, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
-        if bands * rows <= most:
-            return bands, rows
+        for bands in range(1, most // rows + 1):
+            if stated_recall(threshold, bands, rows, floor) >= recall:
+                return bands, rows
     raise ValueError("the recall can't be reached with so few hashes")
 
 
@@ -113,7 +121,7 @@ def _sketch_rows(bands: int, rows: int, n: int):
                     continue
                 made = sketches(grams, np.append(at[live], at[-1]), bands * rows)
                 names = [xxhash.xxh3_128_digest(data[off[i + k] : off[i + k + 1]].tobytes()) for k in live]
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i + live], pa.int64()), "name": pa.array(names, pa.binary()), "sketch": pa.array([r.tobytes() for r in made], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[i + live], pa.int64()), "mark": batch.column("mark").take(pa.array(i + live)), "name": pa.array(names, pa.binary()), "sketch": pa.array([r.tobytes() for r in made], pa.binary())})
 
     return run
 
@@ -263,45 +271,57 @@ def _verified(threshold: float):
 
 
 def near_copies(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall: float = 0.9995) -> DataFrame:
-    """doc_id, class_id and n_links for every row: class_id is the smallest doc_id that links lead to, n_links the number
-    of other documents with a similarity of threshold or more, equal ones included.
+    """doc_id, mark, class_id, n_links and kept for every row: mark is the xxhash64 of the text, class_id the smallest doc_id
+    that links lead to, n_links the number of other documents with a similarity of threshold or more, equal ones included.
+    kept holds for one text of each class, that of the smallest doc_id (of several such texts, of the smallest hash), and
+    for all rows that repeat it exactly.
+
+    recall is that of a pair just at the threshold; it counts both the banding and the share of minima that is asked for
+    before a pair is verified.
     """
     spark = documents.sparkSession
     small_batches(spark)
-    bands, rows = banding(threshold, recall)
+    floor = threshold - 0.3
+    bands, rows = banding(threshold, recall, floor)
     deal = partitions(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     known = docs.where("doc_id is not null and text is not null")
 
-    marked = saved(known.mapInArrow(_sketch_rows(bands, rows, n), "doc_id long, name binary, sketch binary"), "sketches")
-    by_name = marked.groupBy("name").agg(F.min("doc_id").alias("doc"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
-    classes = saved(by_name.withColumn("rep", F.xxhash64("name")), "classes")
+    marked = saved(known.mapInArrow(_sketch_rows(bands, rows, n), "doc_id long, mark long, name binary, sketch binary"), "sketches")
+    total = max(1, marked.count())
+    by_name = marked.groupBy("name").agg(F.min(F.struct("doc_id", "mark")).alias("d"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
+    classes = saved(by_name.select("name", F.col("d.doc_id").alias("doc"), F.col("d.mark").alias("mark"), "n", "sketch", F.xxhash64("name").alias("rep")), "classes")
 
     # buckets of one text are most of all, and go before anything is attached to the others
     keyed = classes.select("rep", F.posexplode(F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 1 + k * rows, rows)) for k in range(bands)])).alias("band", "bucket"))
     sizes = saved(keyed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "buckets")
     met = keyed.join(sizes, "bucket").join(classes.select("rep", "sketch"), "rep")
     units = by_blocks(met, "bucket", "members", SKETCH_BLOCK, "rep").select("unit", "block", "band", "rep", "sketch")
-    likely = units.repartition(deal, "unit").sortWithinPartitions("unit").mapInArrow(_likely(bands, rows, threshold - 0.3), "a long, b long")
-    groups = component_labels(likely)
+    likely = units.repartition(deal, "unit").sortWithinPartitions("unit").mapInArrow(_likely(bands, rows, floor), "a long, b long")
+    groups = saved(component_labels(likely), "likely")
 
     # small groups share a unit, large ones are cut into blocks
     counted = saved(groups.groupBy("label").agg(F.count("*").alias("members")), "groups")
-    shelves = max(1, groups.count() // 128)
-    placed = groups.join(counted, "label").select(F.col("id").alias("rep"), F.col("label").alias("home"), "members")
-    placed = placed.join(classes.select("rep", "doc", "name", "n"), "rep")
-    sets = known.join(placed, known["doc_id"] == placed["doc"]).mapInArrow(_set_rows(n), "rep long, n long, home long, members long, grams binary")
+    grouped = groups.count()
+    shelves = max(1, grouped // 128)
+    placed = joined_to(groups, counted, ["label"], "members", grouped).select(F.col("id").alias("rep"), F.col("label").alias("home"), "members")
+    placed = placed.join(classes.select("rep", "doc", "mark", "name", "n"), "rep")
+    sets = known.join(placed.withColumnRenamed("doc", "doc_id"), ["doc_id", "mark"]).mapInArrow(_set_rows(n), "rep long, n long, home long, members long, grams binary")
     small = F.col("members") <= SET_BLOCK // 8
     shelf = sets.withColumn("key", F.when(small, F.pmod(F.xxhash64("home"), F.lit(shelves))).otherwise(F.xxhash64("home"))).withColumn("size", F.when(small, 1).otherwise(F.col("members")))
     tasks = by_blocks(shelf, "key", "size", SET_BLOCK, "rep").select("unit", "block", "rep", "n", "home", "grams")
     links = saved(tasks.repartition(deal, "unit").sortWithinPartitions("unit").mapInArrow(_verified(threshold), "rep long, links long, root long"), "links")
 
     labels = component_labels(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
-    smallest = saved(labels.join(classes.select("rep", "doc"), "rep").groupBy("label").agg(F.min("doc").alias("class_id")), "groups")
+    linked = saved(labels.join(classes.select("rep", "doc", "name"), "rep"), "labels")
+    smallest = linked.groupBy("label").agg(F.min(F.struct("doc", "name")).alias("first"), F.count("*").alias("size"))
+    tied = joined_to(linked.select("rep", "label"), smallest, ["label"], "size", max(1, linked.count())).select("rep", "first")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_class = classes.select("name", "rep", "doc", "n").join(counts, "rep", "left").join(labels.join(smallest, "label").select("rep", "class_id"), "rep", "left")
-    by_class = by_class.select("name", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("class_id", "doc").alias("class_id"))
-    linked = marked.select("doc_id", "name").join(saved(by_class, "linked"), "name").select("doc_id", "class_id", "n_links")
+    by_class = classes.select("name", "rep", "doc", "n").join(counts, "rep", "left").join(tied, "rep", "left")
+    own = F.struct(F.col("doc"), F.col("name"))
+    by_class = by_class.select("name", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("first", own).alias("first"))
+    out = joined_to(marked.select("doc_id", "mark", "name"), saved(by_class, "linked"), ["name"], "n", total)
+    out = out.select("doc_id", "mark", F.col("first.doc").alias("class_id"), "n_links", ((F.col("doc_id") == F.col("first.doc")) & (F.col("name") == F.col("first.name"))).alias("kept"))
     # texts without words took no part so far
     empty = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x00-\\x20]"), F.lit(False)))
-    return linked.union(empty.select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long")))
+    return out.union(empty.select("doc_id", "mark", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.lit(True)))
