@@ -11,9 +11,11 @@ of `chunk` turn numbers, and chunk totals are carried forward, so that no task
 holds a whole conversation of any length.
 
 Nulls: rows with a null conv_id or turn are no part of any conversation and are
-left out; a null role or text counts as empty. Exactly repeated rows count once;
-rows of one turn that differ follow each other in order of role and text.
-Columns other than the four named ones are not read.
+left out; a null role or text counts as empty, and a conversation of very long
+texts is rendered whole. Exactly repeated rows count once; rows of one turn that
+differ follow each other in order of role and text, and turn numbers may have
+gaps of any size. An empty table gives no rows. Columns other than the four
+named ones are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import joined_to, saved
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -45,25 +49,25 @@ def positioned(turns: DataFrame, chunk: int = 256) -> DataFrame:
 
 def collapsed(placed: DataFrame) -> DataFrame:
     """conv_id, n_turns, copies and kept for every conversation."""
-    finals = placed.groupBy("conv_id").agg(F.max_by(F.struct("a", "b"), "pos").alias("h"), (F.max("pos") + 1).alias("n_turns")).select("conv_id", "n_turns", "h.a", "h.b")
+    finals = placed.groupBy("conv_id").agg(F.max_by(F.struct("a", "b"), "pos").alias("h"), (F.max("pos") + 1).alias("n_turns"))
+    finals = saved(finals.select("conv_id", "n_turns", "h.a", "h.b"), "conversations")
     # equal conversations are one row from here on, whatever their number
     classes = finals.groupBy("n_turns", "a", "b").agg(F.min("conv_id").alias("first_id"), F.count("*").alias("copies"))
-    ends = placed.groupBy("conv_id").agg(F.max("pos").alias("end"))
-    proper = placed.join(ends, "conv_id").where("pos < end").select((F.col("pos") + 1).alias("n_turns"), "a", "b").distinct()
-    maximal = classes.join(proper, ["n_turns", "a", "b"], "left_anti").select("first_id", F.lit(True).alias("maximal"))
-    known = finals.join(classes, ["n_turns", "a", "b"]).join(maximal, "first_id", "left")
-    return known.select("conv_id", "n_turns", "copies", (F.coalesce("maximal", F.lit(False)) & (F.col("conv_id") == F.col("first_id"))).alias("kept"))
+    proper = placed.join(finals.select("conv_id", F.col("n_turns").alias("all")), "conv_id").where("pos + 1 < all").select((F.col("pos") + 1).alias("n_turns"), "a", "b").distinct()
+    maximal = classes.join(proper.withColumn("prefix", F.lit(True)), ["n_turns", "a", "b"], "left").withColumn("maximal", F.col("prefix").isNull()).drop("prefix")
+    known = joined_to(finals, saved(maximal, "classes"), ["n_turns", "a", "b"], "copies", max(1, finals.count()))
+    return known.select("conv_id", "n_turns", "copies", (F.col("maximal") & (F.col("conv_id") == F.col("first_id"))).alias("kept"))
 
 
-def rendered(turns: DataFrame, chunk: int = 256) -> DataFrame:
+def rendered(turns: DataFrame, chunk: int = 256, part_turns: int = 256) -> DataFrame:
     """The maximal conversations as text: conv_id, part, n_turns, text.
 
     Each turn reads <|im_start|>role, a line feed, its text, <|im_end|> and a line feed. A conversation of more than
-    `chunk` turn numbers comes in consecutive parts (from 0), whose texts make the whole when put together.
+    `part_turns` turns comes in parts of so many turns (numbered from 0), whose texts make the whole when put together.
     """
     placed = positioned(turns, chunk)
     kept = collapsed(placed).where("kept").select("conv_id")
     said = F.concat(F.lit(START), "role", F.lit("\n"), "text", F.lit(f"{END}\n"))
-    parts = placed.join(kept, "conv_id").groupBy("conv_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("pos", said.alias("said")))).alias("said"))
-    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("chunk")) - 1
-    return parts.select("conv_id", number.alias("part"), F.size("said").alias("n_turns"), F.array_join(F.col("said.said"), "").alias("text"))
+    part = F.floor(F.col("pos") / part_turns).cast("int")
+    parts = placed.join(kept, "conv_id").groupBy("conv_id", part.alias("part")).agg(F.sort_array(F.collect_list(F.struct("pos", said.alias("said")))).alias("said"))
+    return parts.select("conv_id", "part", F.size("said").alias("n_turns"), F.array_join(F.col("said.said"), "").alias("text"))

@@ -38,7 +38,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc_archived(table(spark, sf_dir, "pages"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def op9_pivot_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(table(spark, sf_dir, "documents"))
+    return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -81,9 +81,10 @@ _VALUE = " + ".join(f"{1 << (4 - k)} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS
 #: The numbered operators without an entry here have no SQL: token ids, fitted models, packing, and repeats by the byte. Tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op3_chat_format": """WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-p AS (SELECT conv_id, row_number() OVER w AS n, string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '') OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
-f AS (SELECT *, n = max(n) OVER (PARTITION BY conv_id) AS final FROM p)
-SELECT min(conv_id) AS conv_id, 0 AS part, CAST(any_value(n) AS INT) AS n_turns, s AS text FROM f WHERE final AND s NOT IN (SELECT s FROM f WHERE NOT final) GROUP BY s""",
+p AS (SELECT conv_id, row_number() OVER w AS n, concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)) AS one, string_agg(concat('<|im_start|>', role, chr(10), text, '<|im_end|>', chr(10)), '') OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+f AS (SELECT *, n = max(n) OVER (PARTITION BY conv_id) AS final FROM p),
+k AS (SELECT min(conv_id) AS conv_id FROM f WHERE final AND s NOT IN (SELECT s FROM f WHERE NOT final) GROUP BY s)
+SELECT conv_id, CAST((n - 1) // 256 AS INT) AS part, CAST(count(*) AS INT) AS n_turns, string_agg(one, '' ORDER BY n) AS text FROM p WHERE conv_id IN (SELECT conv_id FROM k) GROUP BY 1, 2""",
     "op5_warc": f"""SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + {_VALUE}, 1)), 'string_agg', '') AS payload_digest,
 CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last,
