@@ -8,8 +8,9 @@ Spark commits the files, so a lost executor or a second attempt leaves no
 half-written shard.
 
 Nulls: a null text has no ids of its own; a null doc_id sorts first and is kept.
-Repeated rows are kept, documents of equal doc_id in order of their text. Empty
-tables give empty archives. Columns other than doc_id and text are not read.
+Repeated rows are kept, documents of equal doc_id in order of their text. A very
+long text is one frame, and its shard ends with it. Empty tables give empty
+archives. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -42,27 +43,26 @@ def _packed(ids: np.ndarray, width: int) -> bytes:
     return ids.astype(f"<u{width}").tobytes()
 
 
-def train_dictionary(documents: DataFrame, vocabulary: str, end_id: int, width: int, sample: int = 2000, size: int = 1 << 16) -> bytes:
-    """A dictionary from about `sample` documents chosen by a hash of doc_id: a documented bound, since a
-    dictionary of fixed size gains nothing from more. It is trained in one task; the driver gets the dictionary alone.
-    Too few documents to train on: an empty dictionary, and frames without one.
+def train_dictionary(documents: DataFrame, vocabulary: str, end_id: int, width: int, sample: int = 2000, size: int = 1 << 16, piece: int = 1 << 15) -> bytes:
+    """A dictionary from the `sample` documents whose doc_ids hash lowest: a documented bound, since a dictionary of fixed
+    size gains nothing from more. Long ones are learnt in pieces of `piece` ids. It is trained in one task; the driver
+    gets the dictionary alone. Too few documents to train on: an empty dictionary, and frames without one.
     """
     import zstandard
 
-    rows = max(1, documents.count())
-    step = max(1, rows // sample)
-
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_packed(x, width) for b in batches for x in _ids(b.column("text"), vocabulary, end_id)]
+        drawn = sorted(_packed(x, width) for b in batches for x in _ids(b.column("text"), vocabulary, end_id))
+        parts = [x[k : k + piece * width] for x in drawn for k in range(0, len(x), piece * width)]
         try:
             made = zstandard.train_dictionary(size, parts).as_bytes() if len(parts) >= 8 else b""
         except zstandard.ZstdError:
             made = b""
         yield pa.RecordBatch.from_pydict({"dictionary": pa.array([made], pa.binary())})
 
-    # a text of any length may be drawn, but a twenty-fold share of one long text teaches a dictionary nothing
-    chosen = documents.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).where(F.octet_length("text") < 1 << 16).select("text")
-    return next(iter(chosen.limit(4 * sample).coalesce(1).mapInArrow(train, "dictionary binary").collect()), [b""])[0] or b""
+    drawn = documents.select("doc_id", F.xxhash64("text").alias("mark"), F.xxhash64("doc_id", F.lit(3)).alias("order")).distinct().orderBy("order", "doc_id", "mark").limit(sample)
+    marked = documents.withColumn("mark", F.xxhash64("text"))
+    chosen = marked.join(F.broadcast(drawn.select("doc_id", "mark")), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).select("text")
+    return next(iter(chosen.coalesce(1).mapInArrow(train, "dictionary binary").collect()), [b""])[0] or b""
 
 
 def write_archive(documents: DataFrame, path: str, vocabulary: str, end_id: int, shard_tokens: int = 1 << 20, level: int = 3) -> None:
@@ -131,9 +131,10 @@ def read_archive(spark: SparkSession, path: str, doc_ids: list[int] | None = Non
     """
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
     shards = spark.read.schema(SHARDS).parquet(f"{path}/shards")
-    # one row for each shard of a million tokens: small enough to sum in order
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = shards.select("part", "seq", "tokens").select("part", "seq", before.alias("base"))
+    # shards are summed within their part, and parts, a row for each task that wrote, in order
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = shards.groupBy("part").agg(F.sum("tokens").alias("tokens")).select("part", earlier(Window.orderBy("part")).alias("whole"))
+    base = shards.select("part", "seq", earlier(Window.partitionBy("part").orderBy("seq")).alias("inner")).join(parts, "part").select("part", "seq", (F.col("whole") + F.col("inner")).alias("base"))
     wanted = None if doc_ids is None else set(doc_ids)
     if wanted is not None:
         overlap = F.lit(False)
