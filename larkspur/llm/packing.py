@@ -3,17 +3,23 @@
 Documents become pieces of at most `capacity` tokens. Pieces are dealt at random
 into blocks of bounded size, and each block is a bin-packing problem of its own
 that several islands evolve at once: an individual is a list of bins, crossover
-injects the well-filled bins of one parent whole into the other, whose bins with
-the same pieces are dissolved, and best fit places what that displaces. Between
-epochs each island's best packing migrates to the next island of the block.
-Pieces of bins that stay badly filled meet again in a second round.
+injects filled bins of one parent whole into the other, whose bins with the same
+pieces are dissolved together with its loose ones, and what that displaces is
+placed by best fit, or, in half of the children, by the set of displaced pieces
+that fits best next to each large one. A block's evolution ends where its bins
+are as few as its tokens allow. Between epochs each island's best packing
+migrates to the next island of the block. Pieces of bins that stay badly filled
+meet again in a second round.
 
 Nulls: a null text counts as empty (its end id alone). A null doc_id is kept.
-Repeated rows are packed as often as they occur. An empty table gives no rows.
+Repeated rows are packed as often as they occur, each in a block of its own
+drawing. Very long texts become as many pieces as they need. An empty table
+gives no rows. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import random
 import zlib
 from collections.abc import Iterator
@@ -54,16 +60,17 @@ def pieces(documents: DataFrame, vocabulary: str, end_id: int, capacity: int) ->
 
 
 class Bins:
-    """Bins under construction, found by their free room: bit f of `mask` is set if a bin has f tokens free."""
+    """A packing: bins of items, and how full they are. Bins under construction are found by their free room: bit f of `mask` is set if one has f tokens free."""
 
     def __init__(self, capacity: int):
-        self.capacity, self.mask, self.by_free, self.bins = capacity, 0, [[] for _ in range(capacity + 1)], []
+        self.capacity, self.mask, self.by_free, self.bins, self.fills = capacity, 0, [[] for _ in range(capacity + 1)], [], []
 
     def add(self, items: list[int], fill: int) -> None:
         free = self.capacity - fill
         self.by_free[free].append(len(self.bins))
         self.mask |= 1 << free
         self.bins.append(items)
+        self.fills.append(fill)
 
     def best_fit(self, item: int, size: int) -> None:
         fitting = self.mask >> size
@@ -75,103 +82,128 @@ class Bins:
         if not self.by_free[free]:
             self.mask ^= 1 << free
         self.bins[at].append(item)
+        self.fills[at] += size
         self.by_free[free - size].append(at)
         self.mask |= 1 << (free - size)
 
-
-def decreasing(items: list[int], sizes: list[int], capacity: int, bins: Bins | None = None) -> list[list[int]]:
-    bins = bins or Bins(capacity)
-    for i in sorted(items, key=sizes.__getitem__, reverse=True):
-        bins.best_fit(i, sizes[i])
-    return bins.bins
-
-
-def cross(mother: list[list[int]], father: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
-    """mother's bins, with a run of father's well-filled bins injected whole."""
-    full = [b for b in father if sum(sizes[i] for i in b) >= 0.98 * capacity]
-    a = rng.randrange(len(full) + 1)
-    taken = full[a : a + 1 + len(full) // 3]
-    inside = {i for b in taken for i in b}
-    child, displaced = Bins(capacity), []
-    for b in taken:
-        child.add(list(b), sum(sizes[i] for i in b))
-    for b in mother:
-        fill = sum(sizes[i] for i in b)
-        if inside.isdisjoint(b):
-            # mutation: a loosely filled bin is dissolved too, so that its room is dealt anew
-            if fill < 0.9 * capacity or rng.random() < 0.02:
-                displaced += b
-            else:
-                child.add(list(b), fill)
+    def best_fits(self, items: list[int], sizes: list[int]) -> "Bins":
+        """The items one by one, the largest first, each where least room is left."""
+        for i in sorted(items, key=sizes.__getitem__, reverse=True):
+            self.best_fit(i, sizes[i])
+        return self
+
+    def best_sets(self, items: list[int], sizes: list[int], rng: random.Random, most: int = 48) -> "Bins":
+        """A new bin for the largest item and the set of others, of `most` drawn ones, that leaves least room, and so on."""
+        left = sorted(items, key=sizes.__getitem__)
+        keys = [sizes[i] for i in left]
+        while left:
+            own, gap = [left.pop()], self.capacity - keys.pop()
+            n = bisect.bisect_right(keys, gap)
+            drawn = sorted(range(n) if n <= most else rng.sample(range(n), most), reverse=True)
+            # bit t of sums: some of the items so far have t tokens together
+            sums, full, steps = 1, (1 << (gap + 1)) - 1, []
+            for k in drawn:
+                steps.append(sums)
+                sums |= (sums << keys[k]) & full
+                if sums >> gap & 1:
+                    break
+            t = sums.bit_length() - 1
+            fill = self.capacity - gap + t
+            taken = []
+            for k, before in zip(drawn[len(steps) - 1 :: -1] if steps else [], reversed(steps), strict=True):
+                if not before >> t & 1:
+                    taken.append(k)
+                    t -= keys[k]
+            for k in taken:  # in ascending order
+                own.append(left[k])
+            for k in reversed(taken):
+                del left[k], keys[k]
+            self.add(own, fill)
+        return self
+
+    def fitness(self) -> tuple[int, float]:
+        """Fewer bins first, then fuller ones."""
+        return -len(self.bins), sum(f * f for f in self.fills) / self.capacity**2
+
+
+def cross(mother: Bins, father: Bins, sizes: list[int], rng: random.Random) -> Bins:
+    """mother's bins, with some of father's filled bins injected whole."""
+    tight = mother.capacity - 1
+    filled = [k for k, f in enumerate(father.fills) if f >= tight]
+    taken = rng.sample(filled, rng.randint(1, len(filled))) if filled else []
+    inside = {i for k in taken for i in father.bins[k]}
+    child, displaced = Bins(mother.capacity), []
+    for k in taken:
+        child.add(list(father.bins[k]), father.fills[k])
+    for items, fill in zip(mother.bins, mother.fills, strict=True):
+        if not inside.isdisjoint(items):
+            displaced += [i for i in items if i not in inside]
+        # mutation: loose bins are dissolved too, and now and then a filled one, so that their room is dealt anew
+        elif fill < tight or rng.random() < 0.05:
+            displaced += items
         else:
-            displaced += [i for i in b if i not in inside]
-    return decreasing(displaced, sizes, capacity, child)
-
+            child.add(list(items), fill)
+    return child.best_sets(displaced, sizes, rng) if rng.random() < 0.5 else child.best_fits(displaced, sizes)
 
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first, then fuller ones."""
-    return -len(bins), sum((sum(map(sizes.__getitem__, b)) / capacity) ** 2 for b in bins)
 
-
-def evolve(sizes: list[int], capacity: int, seed: int, start: list[list[list[int]]], population: int, generations: int) -> tuple[tuple[int, float], list[list[int]]]:
-    """The best packing of an island's run and its fitness; it ends early at the least number of bins that the sizes allow."""
+def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int) -> Bins:
+    """The best packing of an island's run. It ends early at the least number of bins that the sizes allow."""
     rng, least = random.Random(seed), -(-sum(sizes) // capacity)
     everything = list(range(len(sizes)))
-
-    def rated(bins: list[list[int]]) -> tuple[tuple[int, float], list[list[int]]]:
-        return fitness(bins, sizes, capacity), bins
-
-    herd = [rated(b) for b in start] or [rated(decreasing(everything, sizes, capacity))]
+    herd = [(b.fitness(), b) for b in start]
+    if not herd:
+        first = Bins(capacity).best_fits(everything, sizes)
+        herd = [(first.fitness(), first)]
     while len(herd) < population and max(x[0][0] for x in herd) < -least:
         dealt, bins = rng.sample(everything, len(everything) // 8), Bins(capacity)
         for i in dealt:
             bins.best_fit(i, sizes[i])
         taken = set(dealt)
-        herd.append(rated(decreasing([i for i in everything if i not in taken], sizes, capacity, bins)))
+        bins.best_fits([i for i in everything if i not in taken], sizes)
+        herd.append((bins.fitness(), bins))
     for _ in range(generations):
         herd.sort(key=lambda x: x[0], reverse=True)
         if herd[0][0][0] >= -least or len(herd) < 2:
             break
-        mother, father = herd[0][1], herd[rng.randrange(1, len(herd))][1]
-        if rng.random() < 0.5:
-            mother, father = father, mother
-        herd = [*herd[: population - 1], rated(cross(mother, father, sizes, capacity, rng))]
-    return max(herd, key=lambda x: x[0])
-
+        mother, father = (x[1] for x in rng.sample(herd, 2))
+        child = cross(mother, father, sizes, rng)
+        fit = child.fitness()
+        if fit > herd[-1][0] and all(fit != x[0] for x in herd):
+            herd[-1] = (fit, child)
+    return max(herd, key=lambda x: x[0])[1]
 
-def _ordered(rows: pd.DataFrame) -> pd.DataFrame:
-    """The same order on every island and in every epoch; rows that tie are alike."""
-    return rows.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
 
-
-def _numbered(bins: list[list[int]], n: int) -> np.ndarray:
+def _numbered(packing: Bins, n: int) -> np.ndarray:
     out = np.empty(n, np.int32)
-    for k, b in enumerate(bins):
+    for k, b in enumerate(packing.bins):
         out[b] = k
     return out
 
 
-def _groups(numbers: np.ndarray) -> list[list[int]]:
+def _packing(numbers: np.ndarray, sizes: list[int], capacity: int) -> Bins:
+    out = Bins(capacity)
     order = np.argsort(numbers, kind="stable")
-    return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1)] if len(numbers) else []
+    for items in np.split(order, np.flatnonzero(np.diff(numbers[order])) + 1):
+        out.add(items.tolist(), sum(sizes[i] for i in items))
+    return out
 
 
 def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epochs: int, population: int, generations: int, salt: int) -> DataFrame:
-    """Every item with its block and its bin there."""
+    """Every item with how full its bin is, its place there, and the bin's number, the smallest of its items' ones."""
     n = items.count()
     blocks = max(1, -(-n // block_size))
-    items = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(salt)), F.lit(blocks)))
-    spread = items.withColumn("island", F.explode(F.array([F.lit(i) for i in range(islands)])))
+    items = items.withColumn("block", F.pmod(F.xxhash64("no", F.lit(salt)), F.lit(blocks)))
+    spread = items.select("block", "no", "length").withColumn("island", F.explode(F.array([F.lit(i) for i in range(islands)])))
     found = "block long, island int, score long, filled double, bins binary"
 
     def epoch(number: int):
         def run(key, rows: pd.DataFrame, came: pd.DataFrame | None = None) -> pd.DataFrame:
-            rows = _ordered(rows)
-            sizes = rows["length"].tolist()
-            start = [] if came is None else [_groups(np.frombuffer(b, np.int32)) for b in came["bins"]]
+            sizes = rows.sort_values("no")["length"].tolist()
+            start = [] if came is None else [_packing(np.frombuffer(b, np.int32), sizes, capacity) for b in came["bins"]]
             if not sizes:
                 return pd.DataFrame({"block": [], "island": [], "score": [], "filled": [], "bins": []})
-            (score, filled), best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), number, salt)) & 0xFFFFFFFF, start, population, generations)
+            best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), number, salt)) & 0xFFFFFFFF, start, population, generations)
+            score, filled = best.fitness()
             to = [int(key[1])] if epochs == number + 1 or islands == 1 else [int(key[1]), (int(key[1]) + 1) % islands]
             return pd.DataFrame({"block": int(key[0]), "island": to, "score": score, "filled": filled, "bins": [_numbered(best, len(sizes)).tobytes()] * len(to)})
 
@@ -183,30 +215,28 @@ def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epoch
     elite = best.groupBy("block").agg(F.max_by("bins", F.struct("score", "filled", F.col("island"))).alias("bins"))
 
     def place(key, rows: pd.DataFrame, won: pd.DataFrame) -> pd.DataFrame:
-        rows = _ordered(rows)
-        rows["bin"] = np.frombuffer(won["bins"].iloc[0], np.int32).astype(np.int64) if len(rows) else []
-        rows["fill"] = rows.groupby("bin")["length"].transform("sum")
-        rows["offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "block", "bin", "fill", "offset"]]
+        rows = rows.sort_values("no", ignore_index=True)
+        own = rows.groupby(np.frombuffer(won["bins"].iloc[0], np.int32)) if len(rows) else rows.groupby("no")
+        rows["sequence_id"] = own["no"].transform("min")
+        rows["fill"] = own["length"].transform("sum")
+        rows["offset"] = own["length"].cumsum() - rows["length"]
+        return rows[["no", "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"]]
 
-    return items.groupBy("block").cogroup(elite.groupBy("block")).applyInPandas(place, PIECES + ", block long, bin long, fill long, offset long")
+    return items.groupBy("block").cogroup(elite.groupBy("block")).applyInPandas(place, f"no long, {PIECES}, sequence_id long, offset long, fill long")
 
 
-def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 6, loose: float = 0.97) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 8, generations: int = 40, loose: float = 0.97) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     Sequences filled below `loose` of the capacity are dissolved after the first round and packed again together.
     """
     small_batches(documents.sparkSession)
-    cut = saved(pieces(documents, vocabulary, end_id, capacity), "pieces")
-    # a piece that fills a sequence needs no packing; its number is negative
-    whole = cut.where(F.col("length") == capacity)
+    # each piece has a number of its own, and a sequence that of its first piece
+    cut = saved(pieces(documents, vocabulary, end_id, capacity).withColumn("no", F.monotonically_increasing_id()), "pieces")
+    out = [x.split(" ")[0] for x in PIECES.split(", ")]
+    whole = cut.where(F.col("length") == capacity).select(*out, F.col("no").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     again = (capacity, block_size, islands, epochs, population, generations)
     first = saved(_round(cut.where(F.col("length") < capacity), *again, 1), "packed")
     tight = F.col("fill") >= int(loose * capacity)
-    second = saved(_round(first.where(~tight).select(*cut.columns), *again, 2), "packed")
-    # round, block and bin in one number
-    numbered = first.where(tight).withColumn("round", F.lit(0)).unionByName(second.withColumn("round", F.lit(1)))
-    packed = numbered.select(*cut.columns, ((F.col("block") * 2 + F.col("round")) * (block_size * 4) + F.col("bin")).alias("sequence_id"), "offset")
-    alone = saved(whole.withColumn("sequence_id", -1 - F.monotonically_increasing_id()), "whole")
-    return packed.unionByName(alone.withColumn("offset", F.lit(0).cast("long")))
+    second = _round(first.where(~tight).select("no", *out), *again, 2)
+    return first.where(tight).select(*whole.columns).unionByName(second.select(*whole.columns)).unionByName(whole)
