@@ -62,15 +62,18 @@ Rows = dict[str, np.ndarray]
 
 
 def _pressed(arrays: Rows) -> bytes:
+    """Arrays as one block; each is compressed by itself, like by like."""
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
+    press = zstandard.ZstdCompressor(level=3)
+    return pickle.dumps({k: (v.dtype.str, v.shape, press.compress(np.ascontiguousarray(v).tobytes())) for k, v in arrays.items()}, protocol=5)
 
 
 def _opened(data: bytes) -> Rows:
     import zstandard
 
-    return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
+    unpress = zstandard.ZstdDecompressor()
+    return {k: np.frombuffer(unpress.decompress(x), kind).reshape(shape) for k, (kind, shape, x) in pickle.loads(data).items()}
 
 
 def _joined(parts: list[Rows]) -> Rows:
@@ -276,22 +279,20 @@ def _scan(length: int, parts: int, marked: bool, homes: int, hot):
     return run
 
 
-def frequent_strings(docs: DataFrame, length: int, every: int, least: int = 32, most: int = 100_000) -> np.ndarray:
-    """Hashes of anchor strings that stand in `least` different surroundings in a sample of one document in `every`, at most `most` of them."""
+def frequent_strings(docs: DataFrame, length: int, every: int, crowd: int, most: int = 100_000) -> np.ndarray:
+    """Hashes of anchor strings that stand in about `crowd` different surroundings, judged by a sample of one document in `every`; at most `most` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
         for _, _, data, off in _texts(batches, False):
             made = anchors(data, off, length)
             if len(made["text"]):
-                stretch = _hashed(made["ctx"], made["lead"], made["reach"])
-                _, one = np.unique(stretch, return_index=True)
+                _, one = np.unique(_hashed(made["ctx"], made["lead"], made["reach"]), return_index=True)
                 key, count = np.unique(made["key"][one], return_counts=True)
-                often = count > 1
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[often].view(np.int64)), "n": pa.array(count[often])})
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(count)})
 
     found = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(every)) == 0).select("doc_id", "text").mapInArrow(run, "key long, n long")
-    rows = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "key").limit(most).collect()
+    rows = found.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(4, crowd // every)).orderBy(F.desc("n"), "key").limit(most).collect()
     return np.sort(np.array([r["key"] for r in rows], np.int64).view(np.uint64))
 
 
@@ -596,14 +597,15 @@ def stored_levels(spark: SparkSession, index: str) -> list:
     return spark.read.schema(META).parquet(f"{index}/states/{last:08d}").orderBy("number").collect()
 
 
-def without_repeats(documents: DataFrame, length: int = 50, batches: int = 4, with_kept: bool = True, carry: tuple[str, ...] = (), index: str | None = None, sampled: int = 1_000_000, part_bytes: int = 8 << 20) -> DataFrame:
+def without_repeats(documents: DataFrame, length: int = 50, batches: int = 4, with_kept: bool = True, carry: tuple[str, ...] = (), index: str | None = None, crowd: int = 200_000, sampled: int = 1_000_000, part_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, text and the carried columns, as rest, of every document.
 
     kept has the exact bytes left over, text what of them is valid UTF-8 (a repeat may end within a character).
 
     index: a folder that all executors share. Repeats of documents that were added there before go as well, and these
     documents are added to it at once, before the result is read. Their doc_ids have to be larger than all before.
-    sampled: about how many documents, a sixteenth of all at most, are looked through for frequent anchor strings.
+    crowd: the surroundings of an anchor string, judged by a sample of about `sampled` documents, from which on its
+    windows are dealt singly.
     """
     if length < KEY:
         raise ValueError(f"length must be {KEY} bytes at least")
@@ -624,7 +626,7 @@ def without_repeats(documents: DataFrame, length: int = 50, batches: int = 4, wi
             raise ValueError("the index has another length, or doc_ids that aren't smaller")
     else:
         parts = max(3 * deal, (ends["bytes"] or 0) // part_bytes)  # more parts than tasks, so that tasks get about as many
-        hot = frequent_strings(live, length, max(16, ends["n"] // sampled))
+        hot = frequent_strings(live, length, max(min(64, crowd), ends["n"] // sampled), crowd)
     homes = max(3 * deal, (ends["bytes"] or 0) // part_bytes)
     weights = [r["weight"] for r in levels]
     fixed, weight = len(weights), 1

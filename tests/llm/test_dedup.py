@@ -5,10 +5,11 @@ import re
 import numpy as np
 import pytest
 
+from larkspur.llm.common import new_path
 from larkspur.llm.components import component_labels
 from larkspur.llm.jaccard import near_copies, overlaps
 from larkspur.llm.pivots import near_vectors
-from larkspur.llm.suffix_index import without_repeats
+from larkspur.llm.suffix_index import stored_levels, without_repeats
 
 SCHEMA = "doc_id long, text string, label string"  # a column named as one of the operator's own
 
@@ -53,9 +54,25 @@ def test_long_repeats_against_brute_force(spark, seed):
     got = [tuple(r[c] for c in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")) for r in without_repeats(spark.createDataFrame(rows, SCHEMA), carry=("label",)).collect()]
     assert sorted(map(repr, got)) == sorted(repr((*w[:5], bytes(w[5]))) for w in want)
     assert sum(w[2] for w in want) > 1000
+    # frequent strings by their single windows
+    crowded = without_repeats(spark.createDataFrame(rows, SCHEMA), crowd=1, with_kept=False).collect()
+    assert sorted(map(repr, map(tuple, crowded))) == sorted(repr(w[:5]) for w in want)
     assert without_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_a_stored_index_gives_what_one_pass_gives(spark):
+    rows = sorted({r[0]: r for r in corpus(7, 90) if r[0] is not None}.values())
+    rows[50] = (rows[50][0], " ".join(f"w{i % 977}" for i in range(60_000)), "x")  # a very long text
+    want = sorted(map(tuple, without_repeats(spark.createDataFrame(rows, SCHEMA), with_kept=False).collect()))
+    index, got = new_path(spark, "index"), []
+    for k in range(5):
+        got += map(tuple, without_repeats(spark.createDataFrame(rows[k * 20 : k * 20 + 20], SCHEMA), with_kept=False, batches=k % 2 + 1, index=index).collect())
+    assert sorted(got) == want and sum(w[2] for w in want) > 1000
+    assert [r["weight"] for r in stored_levels(spark, index)] == [4, 1]
+    with pytest.raises(ValueError):
+        without_repeats(spark.createDataFrame(rows[:3], SCHEMA), index=index)
+
+
 def shingled(text):
     words = re.findall(r"[^\x00-\x20]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
@@ -105,13 +122,18 @@ def test_near_vectors_against_brute_force(spark):
     centres = rng.normal(size=(30, 16))
     x = np.concatenate([centres, centres[:10] + 0.05 * rng.normal(size=(10, 16)), centres[:10] * 2, centres[:5]]).astype(np.float32)
     rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(900, None, "x"), (901, [0.0] * 16, "x"), (902, [float("nan")] * 16, "x"), (903, [1.0], "x"), (904, [None] * 16, "x"), (0, x[0].tolist(), "x")]
+    rows += [(905, [1.0, 2.0, 3.0], "x"), (906, [1.0, 2.0, 3.001], "x"), (907, [3.0, -2.0, 1.0], "x"), (1, (-x[7]).tolist(), "x")]
     schema = "vec_id long, embedding array<float>, pivot string"
     got = near_vectors(spark.createDataFrame(rows, schema)).collect()
-    good = [(i, np.array(v, float)) for i, v, _ in rows if v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
+    good = [(i, np.array(v, float)) for i, v, _ in rows if v and len(v) == 16 and i < 900 and None not in v and np.isfinite(v).all() and any(v)]
     unit = np.array([v / np.linalg.norm(v) for _, v in good])
     hit = unit @ unit.T >= 0.95
     want = sorted((i, int(n) - 1) for (i, _), n in zip(good, hit.sum(1), strict=True))
     assert sorted((r["vec_id"], r["n_links"]) for r in got if r["vec_id"] < 900) == want
-    assert all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] and r["kept"] for r in got if r["vec_id"] >= 900)
+    assert all(r["n_links"] == 0 and r["component_id"] == r["vec_id"] and r["kept"] for r in got if r["vec_id"] >= 900 and r["vec_id"] not in (905, 906))
+    # vectors of another length link among themselves, and rows of one vec_id have links of their own
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got if r["vec_id"] in (905, 906)) == [(905, 1, 905), (906, 1, 905)]
+    split = near_vectors(spark.createDataFrame(rows, schema), long_list=4).collect()
+    assert sorted(map(tuple, split)) == sorted(map(tuple, got))
     assert {r["vec_id"]: r["component_id"] for r in got}[40] == 0 and not {r["vec_id"]: r["kept"] for r in got}[40]
     assert near_vectors(spark.createDataFrame([], schema)).collect() == []
