@@ -1,10 +1,13 @@
 """Main text of web pages after the removal of site templates.
 
 Each page is read once into its blocks of text and the hashes of the element
-subtrees around them. Spark counts the hashes by host over distinct main texts; a
-subtree that recurs in at least `share` of a host's texts, and in `least_pages`,
-belongs to the site and goes with all it holds. Menus, headers, footers, asides,
-forms, adverts, notices and comments are also known by element, role or class.
+subtrees around them; a subtree's hash is made of its own text and the hashes of
+the subtrees in it. Spark counts the hashes by host over distinct main texts; a
+subtree that is, with a confidence of 99.9 %, on at least `share` of a host's texts
+belongs to the site and goes with all it holds, whatever it is called. Menus,
+headers, footers, asides, forms, adverts, notices and comments are also known by
+element, role or class. A class counts only if all of its words are known ones,
+so that "cookie-notice" does, and "no-sidebar" or "related-work" don't.
 
 The main text is that of the article elements, else of main, else of the body.
 A block ends where a block element starts or ends; white space in a block is one
@@ -15,8 +18,10 @@ characters, are the same: reposts of an article with another advert, menu, title
 or remark count once, so that the article doesn't look like a template.
 
 Nulls: a null html gives an empty text, a null url is a host of its own.
-Unclosed elements end with what holds them. Repeated rows give repeated rows.
-Columns other than page_id, url and html are not read.
+Unclosed elements end with what holds them, and cost memory in proportion to the
+page, however deep they nest. Very long pages are read whole. Repeated rows give
+repeated rows. An empty table gives no rows. Columns other than page_id, url and
+html are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, saved, small_batches
+from .common import joined_to, new_path, saved, small_batches
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -39,10 +44,12 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em f
 _DROPPED = frozenset("script style noscript template iframe head title nav header footer aside form button select textarea input svg canvas object embed audio video dialog menu option fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tooltip".split())
 _CLASSES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header "
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header "
     "masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promoted promotion recommended related replies reply respond share sharing sidebar "
     "signup social sponsor sponsored subscribe subscription teaser toolbar topbar widget".split()
 )
+_BESIDE = frozenset("area articles bar block bottom box button buttons container content form global group inner item items left links list main page panel post posts primary right row secondary section site slot stories top unit wrap wrapper".split())
+_RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _WORDS = re.compile(r"[^a-z0-9]+")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _WALLS = frozenset("html body article main section div table td th ul ol dl blockquote figure aside nav header footer form details".split())
@@ -56,20 +63,24 @@ def _unwanted(tag: str, raw: str) -> bool:
     for name, *values in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), "".join(values).lower()
         if name in ("class", "id") and tag not in ("html", "body"):
-            if any(w in _CLASSES for w in _WORDS.split(value)):
-                return True
+            for said in value.split():
+                words = [w for w in _WORDS.split(said) if w and not w.isdigit()]
+                if not _CLASSES.isdisjoint(words) and all(w in _CLASSES or w in _BESIDE for w in words):
+                    return True
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
-def read_page(html: str, hashed) -> list[tuple[str, list[int]]]:
-    """The blocks of the main text in page order, each with the hashes of the subtrees it lies in."""
-    # open elements: tag, whether it starts unwanted content, its number; closed ones get a hash of their source
+def read_page(html: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
+    """The blocks of the main text in page order, each with the number of the element it lies in; of each element the number of the one around it, -1 if none, and its subtree's hash."""
+    import xxhash
+
+    # open elements: tag, whether it starts unwanted content, its number, its hash so far
     stack: list[list] = []
-    begun: list[int] = []
-    ended: dict[int, int] = {}
-    blocks: list[tuple[str, int, list[int]]] = []
+    around: list[int] = []
+    hashes: list[int] = []
+    blocks: list[tuple[str, int, int]] = []
     text: list[str] = []
     dropped = articles = mains = 0
 
@@ -77,20 +88,24 @@ def read_page(html: str, hashed) -> list[tuple[str, list[int]]]:
         if text:
             said = " ".join(unescape("".join(text)).split())
             text.clear()
+            if said and stack:
+                stack[-1][3].update(said.encode("utf-8", "surrogatepass"))
             if said and not dropped:
-                blocks.append((said, 2 if articles else 1 if mains else 0, [e[2] for e in stack]))
+                blocks.append((said, 2 if articles else 1 if mains else 0, stack[-1][2] if stack else -1))
 
-    def pop(end: int) -> None:
+    def pop() -> None:
         nonlocal dropped, articles, mains
-        tag, bad, number = stack.pop()
-        ended[number] = end
+        tag, bad, number, own = stack.pop()
+        hashes[number] = own.intdigest() - (1 << 63)
+        if stack:
+            stack[-1][3].update(own.digest())
         dropped -= bad
         articles -= tag == "article"
         mains -= tag == "main"
 
-    def close_to(depth: int, end: int) -> None:
+    def close_to(depth: int) -> None:
         while len(stack) > depth:
-            pop(end)
+            pop()
 
     at, n = 0, len(html)
     while at < n:
@@ -110,7 +125,7 @@ def read_page(html: str, hashed) -> list[tuple[str, list[int]]]:
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] == tag:
                     if tag not in _INLINE or not any(e[0] not in _INLINE for e in stack[depth:]):
-                        close_to(depth, at)
+                        close_to(depth)
                     break
                 if stack[depth][0] in _WALLS and tag not in _WALLS:
                     break
@@ -123,22 +138,22 @@ def read_page(html: str, hashed) -> list[tuple[str, list[int]]]:
             ends = _CLOSES.get(tag, set()) | {"p"}
             for depth in range(len(stack) - 1, -1, -1):
                 if stack[depth][0] in ends:
-                    close_to(depth, m.start())
+                    close_to(depth)
                     break
                 if stack[depth][0] in _WALLS and not (stack[depth][0] in ("td", "th") and tag in ("tr", "td", "th")):
                     break
         if tag in _VOID or m[3].endswith("/") and tag == "svg":
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = _RAW_ENDS[tag].search(html, at)
             at = end.end() if end else n
             continue
         bad = _unwanted(tag, m[3])
         if bad:
             flush()
-        number = len(begun)
-        begun.append(m.start())
-        stack.append([tag, bad, number])
+        around.append(stack[-1][2] if stack else -1)
+        hashes.append(0)
+        stack.append([tag, bad, len(around) - 1, xxhash.xxh3_64(m[0].encode("utf-8", "surrogatepass"))])
         dropped += bad
         articles += tag == "article"
         mains += tag == "main"
@@ -146,20 +161,11 @@ def read_page(html: str, hashed) -> list[tuple[str, list[int]]]:
             # an unwanted inline element ends at its own end tag
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             at = end.end() if end else at
-            pop(at)
+            pop()
     flush()
-    close_to(0, n)
+    close_to(0)
     level = max((b[1] for b in blocks), default=0)
-    hashes: dict[int, int] = {}
-    out = []
-    for said, own, path in blocks:
-        if own < level:
-            continue
-        for e in path:
-            if e not in hashes:
-                hashes[e] = hashed(html[begun[e] : ended[e]])
-        out.append((said, [hashes[e] for e in path]))
-    return out
+    return [(said, e) for said, own, e in blocks if own == level], list(zip(around, hashes, strict=True))
 
 
 def host_of(url: str | None) -> str:
@@ -167,7 +173,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-PARSED = "page_id long, url string, host string, content long, main long, blocks array<struct<text:string,path:array<bigint>>>"
+PARSED = "page_id long, url string, host string, main long, blocks array<struct<text:string,at:int>>, elements array<struct<around:int,subtree:bigint>>"
 
 
 def longest_blocks(texts: list[str]) -> list[str]:
@@ -186,44 +192,60 @@ def _parsed(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashed = lambda s: xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) - (1 << 63)
-        kind = pa.list_(pa.struct([("text", pa.string()), ("path", pa.list_(pa.int64()))]))
+        block = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32())]))
+        element = pa.list_(pa.struct([("around", pa.int32()), ("subtree", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                htmls, urls = [h or "" for h in some.column("html").to_pylist()], some.column("url").to_pylist()
-                blocks = [[{"text": t, "path": p} for t, p in read_page(h, hashed)] for h in htmls]
-                mains = [hashed("\n".join(longest_blocks([b["text"] for b in page]))) for page in blocks]
+                urls = some.column("url").to_pylist()
+                read = [read_page(h or "") for h in some.column("html").to_pylist()]
+                mains = [xxhash.xxh3_64_intdigest("\n".join(longest_blocks([t for t, _ in blocks])).encode("utf-8", "surrogatepass")) - (1 << 63) for blocks, _ in read]
                 yield pa.RecordBatch.from_pydict(
-                    {"page_id": some.column("page_id"), "url": some.column("url"), "host": [host_of(u) for u in urls], "content": pa.array([hashed(h) for h in htmls], pa.int64()), "main": pa.array(mains, pa.int64()), "blocks": pa.array(blocks, kind)}
-                )
+                    {
+                        "page_id": some.column("page_id"), "url": some.column("url"), "host": [host_of(u) for u in urls], "main": pa.array(mains, pa.int64()),
+                        "blocks": pa.array([[{"text": t, "at": e} for t, e in blocks] for blocks, _ in read], block), "elements": pa.array([[{"around": a, "subtree": h} for a, h in elements] for _, elements in read], element),
+                    }
+                )
 
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(run, PARSED)
 
 
-def templates(parsed: DataFrame, share: float, least_pages: int) -> DataFrame:
-    """host and subtree of what recurs in many distinct main texts of a host."""
-    pages_of = parsed.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    held = parsed.select("host", "main", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("subtree")).distinct()
-    counted = held.groupBy("host", "subtree").agg(F.count("*").alias("seen")).where(F.col("seen") >= least_pages)
-    return counted.join(pages_of, "host").where(F.col("seen") >= share * F.col("pages")).select("host", "subtree")
+def least_share(seen: F.Column, pages: F.Column, z: float = 3.29) -> F.Column:
+    """The share that `seen` of `pages` prove (Wilson's lower bound, of 99.9 %)."""
+    p, over = seen / pages, z * z / pages
+    return (p + over / 2 - z * F.sqrt(p * (1 - p) / pages + over / pages / 4)) / (1 + over)
+
+
+def templates(parsed: DataFrame, hosts: DataFrame, share: float, total: int) -> DataFrame:
+    """host and subtree of what recurs in many distinct main texts of a host. hosts: host, its main texts and its rows."""
+    held = parsed.select("host", "main", F.explode(F.array_distinct("elements.subtree")).alias("subtree")).distinct()
+    counted = held.groupBy("host", "subtree").agg(F.count("*").alias("seen")).where("seen > 1")
+    return joined_to(counted, hosts, ["host"], "rows", total).where(least_share(F.col("seen"), F.col("mains")) >= share).select("host", "subtree")
+
+
+def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of pages without the elements whose subtrees are gone."""
+    for batch in batches:
+        out = []
+        for blocks, elements, gone in zip(*(batch.column(c).to_pylist() for c in ("blocks", "elements", "gone")), strict=True):
+            lost, without = [], frozenset(gone or ())
+            for e in elements:  # an element comes after the one around it
+                lost.append(e["subtree"] in without or e["around"] >= 0 and lost[e["around"]])
+            out.append("\n".join(b["text"] for b in blocks if b["at"] < 0 or not lost[b["at"]]))
+        yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out, "n_chars": pa.array([len(t) for t in out], pa.int64())})
 
 
-def main_text(pages: DataFrame, share: float = 0.3, least_pages: int = 10) -> DataFrame:
+def main_text(pages: DataFrame, share: float = 0.3) -> DataFrame:
     """page_id, url, text and n_chars for every page."""
     spark = pages.sparkSession
     small_batches(spark)
-    stored = _parsed(pages)
     path = new_path(spark, "parsed")
-    stored.write.option("compression", "zstd").parquet(path)
+    _parsed(pages).write.option("compression", "zstd").parquet(path)
     parsed = spark.read.schema(PARSED).parquet(path)
-    site = saved(templates(parsed, share, least_pages), "templates")
-    if site.isEmpty():
-        marked = parsed.withColumn("gone", F.lit(None).cast("array<bigint>"))
-    else:
-        held = parsed.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.path"))).alias("subtree")).distinct()
-        gone = saved(held.join(site, ["host", "subtree"]).groupBy("host", "content").agg(F.collect_set("subtree").alias("gone")), "gone")
-        marked = parsed.join(gone, ["host", "content"], "left")
-    kept = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["path"], F.col("gone")), F.lit(False)))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
-    return marked.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    hosts = saved(parsed.groupBy("host").agg(F.count_distinct("main").alias("mains"), F.count("*").alias("rows")), "hosts")
+    total = max(1, parsed.count())
+    # a template is on a share of its host's pages, so that a host has few for each element of a page
+    by_host = templates(parsed, hosts, share, total).groupBy("host").agg(F.collect_set("subtree").alias("gone"))
+    facts = saved(hosts.join(by_host, "host", "left"), "templates")
+    met = joined_to(parsed.select("page_id", "url", "host", "blocks", "elements"), facts.select("host", "rows", "gone"), ["host"], "rows", total)
+    return met.select("page_id", "url", "blocks", "elements", "gone").mapInArrow(_without, "page_id long, url string, text string, n_chars long")

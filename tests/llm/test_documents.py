@@ -6,11 +6,11 @@ from larkspur.llm.common import new_path
 from larkspur.llm.extract import main_text
 from larkspur.llm.importance import kth_largest, labelled, resampled
 from larkspur.llm.latent import common_length, leaks, _masks
-from larkspur.llm.warc import read_archive, record_bytes, write_archive
+from larkspur.llm.warc import archived, original_records, read_archive, write_archive
 
 
 def test_warc_round_trip(spark):
-    rows = [(1, "http://a/1", "<p>x</p>", "e"), (2, None, "<p>x</p>", "e"), (3, "http://a/3", None, "e"), (4, "http://a/4", "", "e"), (9, "http://a/1", "<p>x</p>", "e"), (9, "http://a/1", "<p>x</p>", "e"), (None, "http://n", "null id", "e"), (5, "u", "é" * 5000, "e")]
+    rows = [(1, "http://a/1", "<p>x</p>", "e"), (2, None, "<p>x</p>", "e"), (3, "http://a/3", None, "e"), (4, "http://a/4", "", "e"), (9, "http://a/1", "<p>x</p>", "e"), (9, "http://a/1", "<p>x</p>", "e"), (None, "http://n", "null id", "e"), (5, "u\r\nX: y", "é" * 500_000, "e")]
     path = new_path(spark, "warc")
     write_archive(spark.createDataFrame(rows, "page_id long, url string, html string, header string"), path)
     got = read_archive(spark, path)
@@ -25,9 +25,17 @@ def test_warc_round_trip(spark):
         want.append((p, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if first else "revisit", None if first else ref))
     assert sorted(map(repr, (tuple(r[c] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")) for r in got.collect()))) == sorted(map(repr, want))
     assert spark.read.parquet(f"{path}/payloads").count() == len(best)
-    record = {r["page_id"]: bytes(r["record"]) for r in record_bytes(got).collect()}
+    # what the records' own bytes say
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, header string")
+    assert sorted(map(repr, map(tuple, archived(frame).collect()))) == sorted(map(repr, want))
+    whole = [(r["page_id"], bytes(r["record"])) for r in original_records(spark, path).collect()]
+    name = lambda r: r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0]
+    assert len({name(r) for _, r in whole}) == len(rows)
+    assert {r.split(b"WARC-Refers-To: ")[1].split(b"\r\n")[0] for p, r in whole if p in (1, 2)} <= {name(r) for p, r in whole if p == 9}
+    record = dict(whole)
+    assert b"WARC-Target-URI: u%0D%0AX:%20y\r\n" in record[5]
     head, _, body = record[5].partition(b"\r\n\r\n")
-    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and body.endswith("é".encode() * 5000 + b"\r\n\r\n")
+    assert head.startswith(b"WARC/1.1\r\nWARC-Type: response") and body.endswith("é".encode() * 500_000 + b"\r\n\r\n")
     assert f"Content-Length: {len(body) - 4}".encode() in head
     empty = new_path(spark, "warc")
     write_archive(spark.createDataFrame([], "page_id long, url string, html string"), empty)
@@ -38,16 +46,19 @@ def test_chat_collapse(spark):
     base = [("user", "hi"), ("assistant", "hello"), ("user", "more"), ("assistant", "end")]
     rows = [(c, t, *base[t]) for c, n in ((1, 2), (2, 4), (3, 4), (4, 1)) for t in range(n)]
     rows += [(5, 0, "user", "hi"), (5, 1, "assistant", None), (6, 7, None, "odd turn"), (6, 7, None, "odd turn"), (None, 0, "user", "hi"), (8, None, "user", "hi")]
-    rows += [(9, t, "user", f"t{t}") for t in range(700)]
-    schema = "conv_id long, turn int, role string, text string"
+    rows += [(9, t, "user", f"t{t}") for t in range(700)] + [(10, 0, "user", "far"), (10, 3_000_000_000, "user", "apart " * 100_000)]
+    schema = "conv_id long, turn long, role string, text string"
     turns = spark.createDataFrame(rows, schema).selectExpr("*", "'x' as pos")
     state = {r["conv_id"]: (r["n_turns"], r["copies"], r["kept"]) for r in collapsed(positioned(turns)).collect()}
-    assert state == {1: (2, 1, False), 2: (4, 2, True), 3: (4, 2, False), 4: (1, 1, False), 5: (2, 1, True), 6: (1, 1, True), 9: (700, 1, True)}
+    assert state == {1: (2, 1, False), 2: (4, 2, True), 3: (4, 2, False), 4: (1, 1, False), 5: (2, 1, True), 6: (1, 1, True), 9: (700, 1, True), 10: (2, 1, True)}
     text = {}
     for r in rendered(turns).orderBy("conv_id", "part").collect():
         text[r["conv_id"]] = text.get(r["conv_id"], "") + r["text"]
     assert text[2] == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in base)
-    assert text[9] == "".join(f"<|im_start|>user\nt{t}<|im_end|>\n" for t in range(700)) and sorted(text) == [2, 5, 6, 9]
+    assert text[9] == "".join(f"<|im_start|>user\nt{t}<|im_end|>\n" for t in range(700)) and sorted(text) == [2, 5, 6, 9, 10]
+    # a conversation with gaps is one part, and a long one has parts of equal numbers of turns
+    parts = [(r["conv_id"], r["part"], r["n_turns"]) for r in rendered(turns).orderBy("conv_id", "part").collect() if r["conv_id"] >= 9]
+    assert parts == [(9, 0, 256), (9, 1, 256), (9, 2, 188), (10, 0, 2)]
     assert rendered(spark.createDataFrame([], schema)).collect() == []
 
 
@@ -126,11 +137,11 @@ def test_common_length():
     assert common_length(_masks(a), len(a), b) == 4
 
 
-def test_importance_held_out(spark):
+def labelled_corpus():
     import random
 
     rng = random.Random(1)
-    words = [f"w{i}" for i in range(400)]
+    words = [f"w{i}" for i in range(300)]
     docs, labels = [], []
     for i in range(1500):
         bad = i % 8 == 0
@@ -138,22 +149,98 @@ def test_importance_held_out(spark):
         if bad:
             for _ in range(3):
                 text.insert(rng.randrange(len(text)), rng.choice(["filth", "slurry", "muckle"]))
+        elif i % 3 == 0:
+            text.append("fine")
         docs.append((i, " ".join(text), "x"))
-        if i % 2 == 0:
+        if i % 2 == 0 or i > 750:
             labels.append((i, 1, int(bad)))
-    docs += [(9000, None, "x"), (9001, "", "x"), (0, docs[0][1], "x")]
-    labels += [(None, 1, 0), (2, None, 0)]
-    schema, kinds = "doc_id long, text string, good string", "doc_id long, quality int, toxic int"
-    marks = spark.createDataFrame(labels, kinds)
-    got = {r["doc_id"]: r["kept"] for r in resampled(spark.createDataFrame(docs, schema), marks).collect()}
-    unseen = [i for i in range(1500) if i % 2]
-    assert all(got[i] for i in range(1500) if i % 8) and sum(got[i] for i in range(0, 1500, 8)) <= 10 and len(unseen) == 750
-    assert got[9000] and got[9001]
-    assert all(r["kept"] for r in resampled(spark.createDataFrame(docs, schema), spark.createDataFrame([], kinds)).collect())
-    assert resampled(spark.createDataFrame([], schema), marks).collect() == []
+    docs += [(9000, None, "x"), (9001, "", "x"), (0, docs[0][1], "x"), (8, "fine w1 w2", "x"), (9002, "w1 " * 300_000 + "slurry", "x")]
+    return docs, labels + [(None, 1, 0), (2, None, 0)]
+
+
+DOCS, MARKS = "doc_id long, text string, good string", "doc_id long, quality int, toxic int"
+
+
+def test_importance_held_out(spark):
+    docs, labels = labelled_corpus()
+    marks = spark.createDataFrame(labels, MARKS)
+    rows = resampled(spark.createDataFrame(docs, DOCS), marks).collect()
+    got = {r["doc_id"]: r["kept"] for r in rows if r["doc_id"] != 8}
+    assert sum(got[i] for i in range(1500) if i % 8) >= 1290 and sum(got[i] for i in range(0, 1500, 8) if i != 8) <= 25
+    assert got[9000] and got[9001] and len(rows) == len(docs)
+    assert [r["log_weight"] < 0 for r in rows if r["doc_id"] == 9002] == [True]
+    # two texts of one doc_id are weighed apart, equal rows alike
+    assert {r["log_weight"] < 0 for r in rows if r["doc_id"] == 8} == {True, False}
+    assert len({(r["log_weight"], r["key"]) for r in rows if r["doc_id"] == 0}) == 1
+    assert all(r["kept"] for r in resampled(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], MARKS)).collect())
+    assert resampled(spark.createDataFrame([], DOCS), marks).collect() == []
     assert labelled(marks, 10).count() == 10
 
 
+def test_importance_against_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    from larkspur.llm.importance import with_shares
+    from pyspark.sql import functions as F
+
+    docs, labels = labelled_corpus()
+    frame, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, MARKS)
+    known = {r["doc_id"]: r for r in with_shares(frame.select("doc_id", "text"), labelled(marks, 50_000)).collect()}
+
+    def grams(text):
+        tokens = re.findall(r"[0-9A-Za-z]+|[^0-9A-Za-z\s]+", text or "")
+        tokens = [("again",) if k and t == tokens[k - 1] else t for k, t in enumerate(tokens)]
+        return {*tokens, *zip(tokens, tokens[1:])}
+
+    raw, seen, single, target = Counter(), Counter(), Counter(), Counter()
+    totals = [len(docs), 0, 0.0, 0.0]
+    for doc, text, _ in docs:
+        own, k = grams(text), known.get(doc)
+        raw.update(own)
+        if k is not None and not k["held"]:
+            for c, x in ((seen, 1), (single, k["share"]), (target, k["share"] * k["good"])):
+                for g in own:
+                    c[g] += x
+            totals = [totals[0], totals[1] + 1, totals[2] + k["share"], totals[3] + k["share"] * k["good"]]
+
+    def ratio(g):
+        expected = raw[g] * (single[g] / seen[g] if seen[g] else 1) * totals[3] / (totals[0] * totals[2] / totals[1])
+        t = target[g]
+        r = math.log((t + 1) / (expected + 1))
+        deviance = (t * math.log(t / expected) if t else 0) - t + expected
+        return r if deviance >= (1 if r > 0 else 8) and (r > 0 or r < -math.log(3)) else 0
+
+    want = []
+    for _, text, _ in docs:
+        r = [ratio(g) for g in grams(text)]
+        above = [x for x in r if x > 0]
+        want.append(sum(x for x in r if x < 0) + sum(above) / max(1, len(above)))
+    rows = resampled(frame, marks, keep=700).orderBy("doc_id", "mark").collect()
+    by = {(d, F_) for d, F_ in [(r["doc_id"], round(r["log_weight"], 3)) for r in rows]}
+    assert by == {(d, round(w, 3)) for (d, _, _), w in zip(docs, want)} and min(want) < -2 < 0 < max(want)
+    # Gumbel top-k: the keys are weights with noise, the 700 largest stay
+    keys = sorted((r["key"] for r in rows), reverse=True)
+    assert all(r["kept"] == (r["key"] >= keys[699]) for r in rows)
+    noise = [r["key"] - r["log_weight"] for r in rows]
+    assert abs(sum(noise) / len(noise) - 0.5772) < 0.12 and abs(sum(n < 0 for n in noise) / len(noise) - math.exp(-1)) < 0.05
+
+
 def test_kth_largest(spark):
     rows = spark.createDataFrame([(float(x),) for x in [5, 1, 1, 1, 3, 9, -4]], "v double")
     assert [kth_largest(rows, "v", k, most=3) for k in (1, 2, 3, 4, 6, 7)] == [9.0, 5.0, 3.0, 1.0, 1.0, -4.0]
+
+
+def test_html_templates_and_class_words(spark):
+    kept = '<article class="post no-sidebar"><p>Body %d of a long enough kind.</p></article>'
+    work = '<body><div class="related-work"><p>Earlier work %d</p></div><div class="related-posts">more</div><div class="post-comments"><p>first!</p></div></body>'
+    menu = "<body><div><div><span>Start</span><span>Shop</span><span>Help</span></div><div><p>Story %d tells what nobody else said.</p><p>The same in all.</p></div></div></body>"
+    rows = [(i, f"https://a.example/{i}", kept % i) for i in range(2)] + [(10 + i, f"https://b.example/{i}", work % i) for i in range(2)]
+    rows += [(20 + i, f"https://c.example/{i}", menu % i) for i in range(6)] + [(30 + i, f"https://d.example/{i}", menu % i) for i in range(2)]
+    rows += [(40, "https://e.example/", "<div>" * 3000 + "deep" + "</p>" * 9), (41, "https://e.example/long", "<p>" + "word &amp; " * 100_000)]
+    text = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert text[0] == "Body 0 of a long enough kind." and text[10] == "Earlier work 0"
+    # a menu without a telling name goes where enough pages show that it is one
+    assert all(text[20 + i] == f"Story {i} tells what nobody else said." for i in range(6)) and text[30].startswith("StartShopHelp")
+    assert text[40] == "deep" and text[41] == " ".join(["word &"] * 100_000)
