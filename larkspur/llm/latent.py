@@ -14,11 +14,14 @@ A word that stands in few distinct contexts is as telling as one that occurs as
 often as it has contexts: a leak that is copied everywhere keeps its weight.
 
 Words are runs of letters, digits and bytes above 0x7F, ASCII in lower case.
-Items of fewer than `least_words` words are not searched, since chance holds them.
-
-Nulls: null texts and items have no words. A null item_id or doc_id is carried.
-Repeated rows give repeated pairs of their ids once. Empty tables give no rows.
-Columns other than doc_id, item_id and text are not read.
+Items of fewer than `gram_words` words can't be told from chance by likeness: they
+are found where all of their words stand in a row.
+
+Nulls: null texts and items have no words, and items without words are in no
+text. A null item_id or doc_id is carried. Repeated rows give their pairs once,
+other texts of one doc_id pairs of their own. Very long texts are searched whole,
+a passage at a time. Empty tables give no rows. Columns other than doc_id,
+item_id and text are not read.
 """
 
 from __future__ import annotations
@@ -194,13 +197,26 @@ def gram_places(items: list[list[int]], n: int, most: int = 8) -> tuple[np.ndarr
     return np.array(order, np.uint64), [kept[g] for g in order]
 
 
-def _search(model, stride: int, cosine: float, likeness: float, certain: float, answer_words: int):
+def short_places(items: list[tuple[int | None, list[int]]]) -> list[tuple[int, np.ndarray, list[list[tuple]]]]:
+    """For each number of words: sorted hashes of the items of so many words, and the items that have each."""
+    out = []
+    for n in sorted({len(w) for _, w in items}):
+        found: dict[int, list[tuple]] = {}
+        for item in items:
+            if len(item[1]) == n:
+                found.setdefault(int(shingles(np.array(item[1], np.uint64), np.array([0, n]), n)[0][0]), []).append(item)
+        out.append((n, np.array(sorted(found), np.uint64), [found[h] for h in sorted(found)]))
+    return out
+
+
+def _search(model, stride: int, cosine: float, likeness: float, certain: float, answer_words: int, mass_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
-        terms, weight, space, latent, norms, items, counts, grams, places, gram_words = model.value
+        terms, weight, space, latent, norms, items, counts, grams, places, gram_words, short = model.value
         gram_terms = Terms(grams)
+        exact = [(n, Terms(h), own) for n, h, own in short]
         masks = [(item_id, len(w), _masks(w), _masks(w[-answer_words:]), min(answer_words, len(w))) for item_id, w in items]
-        least = 0.4 * float((norms[norms > 0] ** 2).min(initial=np.inf))
+        least = mass_share * float((norms[norms > 0] ** 2).min(initial=np.inf))
         seen = np.zeros(len(weight), np.float32)
 
         def held_share(item, low, high, hashes, all_where, all_col):
@@ -220,8 +236,17 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
 
         for batch in batches:
             found: list[tuple] = []
-            ids = batch.column("doc_id").to_pylist()
+            ids = list(zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), strict=True))
             for i, j, hashes, words in letter_words(batch.column("text")):
+                for n, known, own in exact:
+                    in_row, begins = shingles(hashes, words, n)
+                    spots, which = known.columns(in_row)
+                    texts = np.searchsorted(begins, spots, "right") - 1
+                    for x, g, t in zip(spots.tolist(), which.tolist(), texts.tolist(), strict=True):
+                        begin = words[t] + x - begins[t]
+                        found += [(*ids[i + t], item_id, 1.0, None) for item_id, w in own[g] if hashes[begin : min(begin + n, words[t + 1])].tolist() == w]
+                if not items:
+                    continue
                 first, at = strides(words, stride)
                 n = int(first[-1])
                 all_where, all_col = terms.columns(hashes)
@@ -233,7 +258,7 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
                     item_id, size = masks[item][:2]
                     share = held_share(item, max(words[t], begin - size), min(words[t + 1], begin + 2 * size), hashes, all_where, all_col)
                     if share is not None:
-                        found.append((ids[i + t], item_id, share, None))
+                        found.append((*ids[i + t], item_id, share, None))
                 live = weight[all_col] > 0
                 where, col = all_where[live], all_col[live]
                 own = at[where]
@@ -269,58 +294,68 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
                     low, high = max(words[t], begin - stride), min(words[t + 1], begin + max(3 * stride, 2 * size))
                     share = held_share(item, low, high, hashes, all_where, all_col)
                     if share is not None:
-                        found.append((ids[i + t], item_id, share, float(like[k, item])))
+                        found.append((*ids[i + t], item_id, share, float(like[k, item])))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "item_id", "lcs_share", "cosine"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["doc_id", "mark", "item_id", "lcs_share", "cosine"])
 
     return run
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int = 256, sketch: int = 256, cosine: float = 0.35, likeness: float = 0.6, certain: float = 0.75, answer_words: int = 6, least_words: int = 8, items_at_once: int = 1000, most_share: float = 0.05, gram_words: int = 8) -> DataFrame:
-    """doc_id, item_id, lcs_share and cosine (of the best passage) for each document that holds an item.
+FOUND = "doc_id long, mark long, item_id long, lcs_share double, cosine double"
+
 
-    cosine is null where only words in a row led to the item.
+def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int = 256, sketch: int = 256, cosine: float = 0.35, likeness: float = 0.6, certain: float = 0.75, answer_words: int = 6, items_at_once: int = 1000, most_share: float = 0.05, gram_words: int = 8, mass_share: float = 0.4) -> DataFrame:
+    """doc_id, mark (the xxhash64 of the text), item_id, lcs_share and cosine (of the best passage) for each document that holds an item.
+
+    cosine is null where only words in a row led to the item. Passages are candidates whose weight is `mass_share` of
+    the lightest item's at least.
 
     Items are searched in blocks of items_at_once, each with a latent space of its own, so that what is broadcast has
     a bound and the items may be any number.
     """
+    import zstandard
+
     spark = documents.sparkSession
     small_batches(spark)
     stride = size // 2
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     count = benchmark.count()
-    out = spark.createDataFrame([], "doc_id long, item_id long, lcs_share double, cosine double")
+    out = spark.createDataFrame([], FOUND)
     blocks = -(-count // items_at_once)
     numbered = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     for k in range(blocks):
-        rows = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").toArrow()  # about items_at_once
-        items = []
+        rows = numbered.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).distinct().orderBy("item_id", "text").toArrow()  # about items_at_once
+        items, short = [], []
         for i, j, hashes, words in letter_words(rows.column("text").combine_chunks() if rows.num_rows else pa.array([], pa.string())):
-            items += [(rows.column("item_id")[i + r].as_py(), hashes[words[r] : words[r + 1]]) for r in range(j - i) if words[r + 1] - words[r] >= least_words]
-        if not items:
+            for r in range(j - i):
+                own = (rows.column("item_id")[i + r].as_py(), hashes[words[r] : words[r + 1]])
+                if len(own[1]):
+                    (items if len(own[1]) >= gram_words else short).append(own)
+        if not items and not short:
             continue
-        terms = Terms(np.concatenate([w for _, w in items]))
+        terms = Terms(np.concatenate([w for _, w in items]) if items else np.zeros(0, np.uint64))
         d = len(terms.hashes)
-        matrix = np.stack([np.bincount(np.searchsorted(terms.hashes, w), minlength=d) for _, w in items]).astype(float)
-        known = spark.sparkContext.broadcast(terms)
-        parts = docs.select("text").mapInArrow(_statistics(known, stride, sketch), "data binary")
-        # sums of a fixed size, added up in a tree
-        sums = parts.repartition(8).mapInArrow(_summed(d * REGISTERS), "data binary").repartition(1).mapInArrow(_summed(d * REGISTERS), "data binary")
-        import zstandard
-
-        got = sums.collect()
-        if not got:
-            continue
-        counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(got[0]["data"]), np.int64)
-        weight, space = _space(counts, d, sketch, matrix, rank, most_share)
+        matrix = np.stack([np.bincount(np.searchsorted(terms.hashes, w), minlength=d) for _, w in items]).astype(float) if items else np.zeros((0, d))
+        weight, space = np.zeros(d), np.zeros((d, 1), np.float32)
+        if items:
+            known = spark.sparkContext.broadcast(terms)
+            parts = docs.select("text").mapInArrow(_statistics(known, stride, sketch), "data binary")
+            # sums of a fixed size, added up in a tree
+            sums = parts.repartition(8).mapInArrow(_summed(d * REGISTERS), "data binary").repartition(1).mapInArrow(_summed(d * REGISTERS), "data binary")
+            got = sums.collect()
+            if not got:
+                continue
+            counts = np.frombuffer(zstandard.ZstdDecompressor().decompress(got[0]["data"]), np.int64)
+            weight, space = _space(counts, d, sketch, matrix, rank, most_share)
         latent = (matrix * weight) @ space
         norms = np.linalg.norm(matrix * weight, axis=1)
         length = np.linalg.norm(latent, axis=1, keepdims=True)
         norms = np.where(length[:, 0] > 1e-9, norms, 0.0)  # such items are found by words in a row only
         latent = np.where(length > 1e-9, latent / np.maximum(length, 1e-9), 0.0).astype(np.float32)
         kept = [(a, w.tolist()) for a, w in items]
-        model = spark.sparkContext.broadcast((terms, weight, space, latent, norms, kept, matrix.astype(np.float32), *gram_places([w for _, w in kept], gram_words), gram_words))
-        out = out.unionByName(docs.mapInArrow(_search(model, stride, cosine, likeness, certain, answer_words), "doc_id long, item_id long, lcs_share double, cosine double"))
+        model = (terms, weight, space, latent, norms, kept, matrix.astype(np.float32), *gram_places([w for _, w in kept], gram_words), gram_words, short_places([(a, w.tolist()) for a, w in short]))
+        searched = docs.mapInArrow(_search(spark.sparkContext.broadcast(model), stride, cosine, likeness, certain, answer_words, mass_share), FOUND)
+        out = out.unionByName(searched)
     by_space = F.when(F.col("cosine").isNotNull(), F.struct("lcs_share", "cosine"))
-    best = out.groupBy("doc_id", "item_id").agg(F.max("lcs_share").alias("lcs_share"), F.max(by_space).alias("b"))
-    return saved(best.select("doc_id", "item_id", "lcs_share", "b.cosine"), "leaks")
+    best = out.groupBy("doc_id", "mark", "item_id").agg(F.max("lcs_share").alias("lcs_share"), F.max(by_space).alias("b"))
+    return saved(best.select("doc_id", "mark", "item_id", "lcs_share", "b.cosine"), "leaks")

@@ -26,7 +26,7 @@ def op1_token_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "kept")
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("mark")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

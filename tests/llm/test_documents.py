@@ -103,9 +103,10 @@ def test_leaks(spark):
     filler = " ".join(f"w{i}" for i in range(150))
     para = item.replace("small", "little").replace("old mill", "mill house")
     docs = [(1, f"{filler} {item}, {filler}", "x"), (2, filler, "x"), (3, f"{filler}. {para} {filler}", "x"), (4, None, "x"), (5, "", "x"), (6, item.upper(), "x"), (7, "the river and the mill " * 40, "x"), (1, f"{filler} {item}, {filler}", "x")]
-    items = [(10, item), (11, " ".join(f"q{i}" for i in range(30))), (12, None), (13, "too short")]
+    docs += [(8, f"{filler[:90]} a six word item is QUOTED here, {filler}", "x"), (9, "six word a item is quoted", "x"), (8, "another text", "x"), (20, f"{filler} " * 2000 + item, "x")]
+    items = [(10, item), (11, " ".join(f"q{i}" for i in range(30))), (12, None), (13, "a six-word item is quoted"), (13, "a six-word item is quoted"), (14, "..."), (15, "another text")]
     got = leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string"))
-    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 10), (3, 10), (6, 10)]
+    assert sorted((r["doc_id"], r["item_id"]) for r in got.collect()) == [(1, 10), (3, 10), (6, 10), (8, 13), (8, 15), (20, 10)]
     nothing = spark.createDataFrame([], "doc_id long, text string")
     assert leaks(nothing, spark.createDataFrame(items, "item_id long, text string")).collect() == []
     assert leaks(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame([], "item_id long, text string")).collect() == []
@@ -132,6 +133,37 @@ def test_leaks_that_are_frequent(spark):
     assert 900 in {r["doc_id"] for r in got if r["item_id"] == 2}
 
 
+def test_leaks_against_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(8)
+    words = [f"v{i}" for i in range(1500)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(15, 40)))) for k in range(25)]
+    docs = []
+    for i in range(240):
+        text = rng.choices(words, k=rng.randint(30, 200))
+        if i % 3 == 0:
+            own = rng.choice(items)[1].split()
+            for _ in range(rng.choice((0, 2, 4, 9))):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            text[rng.randrange(len(text)) :] = own
+        docs.append((i, " ".join(text)))
+    want = set()
+    for d, text in docs:
+        said = re.findall(r"\w+", text)
+        for k, item in items:
+            own = item.split()
+            n, masks, ending = len(own), _masks(own), _masks(own[-6:])
+            for a in range(0, len(said), 4):
+                window = said[a : a + n + 8]
+                share = common_length(masks, n, window) / n
+                if share >= 0.75 or share >= 0.6 and common_length(ending, 6, window) >= 0.6 * 6:
+                    want.add((d, k))
+    got = {(r["doc_id"], r["item_id"]) for r in leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) > 30
+
+
 def test_common_length():
     a, b = [1, 2, 3, 4, 2, 9], [2, 3, 7, 2, 9, 1]
     assert common_length(_masks(a), len(a), b) == 4
