@@ -4,6 +4,9 @@ A stage takes (spark, docs, sf_dir) and returns what it keeps, with the columns
 of documents; the last one returns packed pieces. Every stage works on all that
 the one before it kept. Null, empty and repeated rows are treated as each
 operator says; rows that are neither judged bad nor copies are never dropped.
+Texts of one doc_id are judged apart: a row goes by its doc_id and its text.
+Very long texts pass whole, an empty table gives empty results, and columns
+other than those of documents are left behind by the first stage.
 """
 
 from __future__ import annotations
@@ -22,19 +25,25 @@ from larkspur.llm.suffix_index import without_repeats
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id and text gone names, by doc_id and mark."""
+    marked = docs.withColumn("mark", F.xxhash64("text"))
+    return marked.join(gone, marked["doc_id"].eqNullSafe(gone["doc_id"]) & (marked["mark"] == gone["mark"]), "left_anti").select(*COLUMNS)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
-    rejected = saved(resampled(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id").distinct(), "rejected")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["doc_id"]), "left_anti").select(*COLUMNS)
+    rejected = resampled(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id", "mark").distinct()
+    return _without(docs, saved(rejected, "rejected"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of near copies the one with the smallest doc_id stays, and of equal rows one."""
-    copies = saved(near_copies(docs).where("doc_id <> class_id").select("doc_id").distinct(), "copies")
-    often = saved(docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "often")
-    kept = docs.join(copies, "doc_id", "left_anti")
-    once = kept.join(often, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(often, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+    """Of near copies one with the smallest doc_id stays, and of equal rows one."""
+    kept = _without(docs, saved(near_copies(docs).where("not kept").select("doc_id", "mark").distinct(), "copies"))
+    marked = kept.withColumn("mark", F.xxhash64("text"))
+    often = saved(marked.where("doc_id is not null").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark"), "often")
+    once = marked.join(often, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return marked.join(often, ["doc_id", "mark"], "left_anti").unionByName(once.select(*marked.columns)).select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +54,7 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an item of the benchmark go."""
-    leaky = leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaky, docs["doc_id"].eqNullSafe(leaky["doc_id"]), "left_anti").select(*COLUMNS)
+    return _without(docs, leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id", "mark").distinct())
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
