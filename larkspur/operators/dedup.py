@@ -43,8 +43,9 @@ def _worded(rows: DataFrame) -> DataFrame:
 
 def _keyed(shapes: DataFrame) -> DataFrame:
     """A row for each pair of words and month of a shape."""
-    months = F.sequence(F.trunc("s", "MM"), F.trunc("e", "MM"), F.expr("interval 1 month"))
-    return shapes.where("e >= s").withColumn("t", F.explode(F.array_distinct("tt"))).withColumn("v", F.explode(F.array_distinct("vt"))).withColumn("m", F.explode(months))
+    # an end before the start is met by what covers both
+    months = F.sequence(F.trunc(F.least("s", "e"), "MM"), F.trunc(F.greatest("s", "e"), "MM"), F.expr("interval 1 month"))
+    return shapes.where("s is not null").withColumn("t", F.explode(F.array_distinct("tt"))).withColumn("v", F.explode(F.array_distinct("vt"))).withColumn("m", F.explode(months))
 
 
 SHAPE = ("tt", "vt", "s", "e")
@@ -187,14 +188,15 @@ def dedup_totals(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count_distinct("duplicate_id").alias("marked"), F.count("*").alias("pairs"))
 
 
-def resolved(pairs: DataFrame, rounds: int = 8) -> DataFrame:
-    """canonical_id followed through rows that are duplicates themselves."""
-    last = pairs.groupBy("duplicate_id").agg(F.max_by("canonical_id", "seq").alias("canonical_id"))
-    out = last
-    for _ in range(rounds):
-        nxt = last.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
-        out = out.join(nxt, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"))
-    return out
+def resolved(pairs: DataFrame) -> DataFrame:
+    """canonical_id followed through rows that are duplicates themselves, however many: each written round doubles the steps."""
+    out = checkpointed(pairs.groupBy("duplicate_id").agg(F.max_by("canonical_id", "seq").alias("canonical_id")))
+    while True:
+        ahead = out.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
+        new = checkpointed(out.join(ahead, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"), F.col("next").isNotNull().alias("moved")))
+        if new.where("moved").isEmpty():
+            return new.drop("moved")
+        out = new.drop("moved")
 
 
 def inspected(listings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from ..functions.text import enrich_description, extract_json, truncate_blurb
 TAGS = ("live & loud", "culture fix", "go see", "game on", "screen time", "taste test", "touch grass", "free lah", "last call", "bring someone", "once only", "try lah")
 FILTER = "include boolean, reason string"
 ENRICHMENT = "struct<blurb:string,tags:array<string>,heads_up:boolean,score:int>"
+# Fixed value: the reason that is stored for a verdict that can't be read.
 FAILED = "LLM response parse error"
 
 
@@ -59,8 +60,9 @@ def enrichment_verdict(raw: Column, title: Column, vocabulary: tuple[str, ...] =
     value = F.when(kind.isNull(), 5.0).when(kind == "VOID", 1.0).when((kind == "STRING") & (F.trim(text) == ""), 1.0).otherwise(F.coalesce(number, F.lit(5.0)))
     clamped = F.greatest(F.lit(1), F.least(F.lit(10), F.floor(value + 0.5))).cast("int")
     known = F.slice(F.filter(tags, lambda t: t.isin(*vocabulary)), 1, 3)
-    good = F.struct(truncate_blurb(blurb).alias("blurb"), known.alias("tags"), truthy(F.try_variant_get(v, "$.headsUp", "variant")).alias("heads_up"), clamped.alias("score"))
-    fallback = F.struct(truncate_blurb(title).alias("blurb"), F.array().cast("array<string>").alias("tags"), F.lit(False).alias("heads_up"), F.lit(5).alias("score"))
+    good = F.struct(truncate_blurb(blurb).alias("blurb"), known.alias("tags"), truthy(F.try_variant_get(v, "$.heads_up", "variant")).alias("heads_up"), clamped.alias("score"))
+    short = F.when(F.length(title) > 200, F.concat(F.left(title, F.lit(197)), F.lit("..."))).otherwise(title)
+    fallback = F.struct(short.alias("blurb"), F.array().cast("array<string>").alias("tags"), F.lit(False).alias("heads_up"), F.lit(5).alias("score"))
     return F.when(tags.isNull() | blurb.isNull(), fallback).otherwise(good)
 
 
@@ -84,13 +86,16 @@ def rule_filter(text: Column, wanted: str, unwanted: str) -> Column:
 def rule_enrichment(text: Column, title: Column, tag_rules: dict[str, str], telling: str) -> Column:
     tags = F.filter(F.array(*[F.when(text.rlike(p), F.lit(t)) for t, p in tag_rules.items()]), lambda t: t.isNotNull())
     score = F.least(F.lit(10), 1 + F.size(F.regexp_extract_all(text, F.lit(telling), F.lit(0))))
-    return F.to_json(F.struct(title.alias("blurb"), tags.alias("tags"), (score >= 9).alias("headsUp"), score.alias("score")))
+    return F.to_json(F.struct(title.alias("blurb"), tags.alias("tags"), (score >= 9).alias("heads_up"), score.alias("score")))
 
 
 def decided(rows: DataFrame, publish_from: int = 7) -> DataFrame:
-    """id and the scored columns, from the columns filter_raw and enrich_raw: excluded rows get nothing, included ones are published by score."""
+    """id and the scored columns, from the columns filter_raw and enrich_raw: excluded rows get nothing, included ones are published by score.
+
+    A row for which the scorer gave nothing at all (null) isn't decided, and stays for another run.
+    """
     f, e = filter_verdict(F.col("filter_raw")), enrichment_verdict(F.col("enrich_raw"), F.col("raw_title"))
-    both = rows.withColumn("f", f).withColumn("e", e)
+    both = rows.where("filter_raw is not null").withColumn("f", f).withColumn("e", e)
     inc = F.col("f.include")
     return both.select(
         "id", inc.alias("included"), F.col("f.reason").alias("filter_reason"), F.when(inc, F.col("e.blurb")).alias("blurb"), F.when(inc, F.col("e.tags")).alias("tags"), F.when(inc, F.col("e.score")).alias("score"),
@@ -98,10 +103,12 @@ def decided(rows: DataFrame, publish_from: int = 7) -> DataFrame:
     )
 
 
-def counters(scored: DataFrame, listings: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """One row: processed, included, excluded, errors, remaining and deduplicated."""
-    done = scored.agg(F.count("*").alias("processed"), F.count_if("included").alias("included"), F.count_if(~F.col("included")).alias("excluded"), F.lit(0).cast("long").alias("errors"))
-    left = listings.join(scored.select("id"), "id", "left_anti").join(duplicates.select(F.col("duplicate_id").alias("id")), "id", "left_anti")
+def counters(scored: DataFrame, listings: DataFrame, duplicates: DataFrame, tried: DataFrame | None = None) -> DataFrame:
+    """One row: processed, included, excluded, errors, remaining and deduplicated. tried: the rows that were given to the scorer; those it didn't decide are errors."""
+    tried = scored if tried is None else tried
+    both = tried.select("id").join(scored.select("id", "included"), "id", "left")
+    done = both.agg(F.count("included").alias("processed"), F.count_if("included").alias("included"), F.count_if(~F.col("included")).alias("excluded"), F.count_if(F.col("included").isNull()).alias("errors"))
+    left = listings.join(tried.select("id"), "id", "left_anti").join(duplicates.select(F.col("duplicate_id").alias("id")), "id", "left_anti")
     return done.crossJoin(F.broadcast(remaining(left))).crossJoin(F.broadcast(duplicates.agg(F.count_distinct("duplicate_id").alias("deduplicated"))))  # one row each
 
 

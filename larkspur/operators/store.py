@@ -44,11 +44,23 @@ def insert_strict(current: DataFrame, rows: DataFrame, key: str = "source_url")
     return marked.where(taken).drop("first", "known"), marked.where(~taken).drop("first", "known")
 
 
+UNIQUE = ("email", "id", "unsubscribe_token")
+
+
 def subscribe(current: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each request with already_exists; a request is taken if its email is new, here and among the requests before it."""
-    first = F.row_number().over(Window.partitionBy("email").orderBy("id"))
-    known = current.select("email", F.lit(True).alias("known")).distinct()
-    return rows.withColumn("n", first).join(known, "email", "left").select(*rows.columns, (F.col("known").isNotNull() | (F.col("n") > 1)).alias("already_exists"))
+    """Each request with already_exists; a request is taken if its email, id and token are new, here and among the requests before it."""
+    out, again = rows, F.lit(False)
+    for key in (k for k in UNIQUE if k in rows.columns):
+        first = F.row_number().over(Window.partitionBy(key).orderBy("id"))
+        known = current.select(key, F.lit(True).alias(f"known_{key}")).distinct()
+        out = out.withColumn(f"n_{key}", first).join(known, key, "left")
+        again = again | F.col(f"known_{key}").isNotNull() | (F.col(f"n_{key}") > 1)
+    return out.select(*rows.columns, again.alias("already_exists"))
+
+
+def subscribers_after(current: DataFrame, rows: DataFrame) -> DataFrame:
+    """The table with the requests that are taken."""
+    return current.unionByName(subscribe(current, rows).where("not already_exists").drop("already_exists"), allowMissingColumns=True)
 
 
 def mark_duplicates(current: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:
@@ -104,27 +116,38 @@ def unsubscribe(current: DataFrame, tokens: DataFrame) -> DataFrame:
     return both.select(*[(F.col("is_active") & ~ends if c == "is_active" else F.col(c)).alias(c) for c in current.columns], ends.alias("changed"))
 
 
-def reset_excluded(current: DataFrame, today: Column) -> DataFrame:
+def _changed(current: DataFrame, hit: Column, new: dict[str, Column], now: Column) -> DataFrame:
+    """Rows that are hit get the new values and the time."""
+    hit = F.coalesce(hit, F.lit(False))
+    new = {c: v for c, v in (new | {"updated_at": now}).items() if c in current.columns}
+    return current.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
+def _ahead(today: Column) -> Column:
+    return (F.col("event_date_start") >= today) & ~F.col("is_duplicate")
+
+
+def reset_excluded(current: DataFrame, today: Column, now: Column) -> DataFrame:
     """What was excluded, is no duplicate and still lies ahead is unprocessed again."""
-    again = (F.col("included") == False) & (F.col("event_date_start") >= today) & ~F.col("is_duplicate")  # noqa: E712
-    return current.withColumn("included", F.when(F.coalesce(again, F.lit(False)), None).otherwise(F.col("included")))
+    return _changed(current, ~F.col("included") & _ahead(today), {"included": F.lit(None), "filter_reason": F.lit(None)}, now)
 
 
-def reset_sources(current: DataFrame, sources: tuple[str, ...], today: Column) -> DataFrame:
-    """All results of scoring of these sources' future listings go."""
-    again = F.col("source").isin(*sources) & (F.col("event_date_start") >= today)
-    empty = {"is_published": F.lit(False), "is_heads_up": F.lit(False)}
-    columns = [c for c in (*SCORED, "enriched_description") if c in current.columns]
-    return current.withColumns({c: F.when(again, empty.get(c, F.lit(None))).otherwise(F.col(c)) for c in columns})
+def reset_sources(current: DataFrame, sources: tuple[str, ...], today: Column, now: Column) -> DataFrame:
+    """The results of scoring of these sources' processed listings that lie ahead and are no duplicates go; the heads-up mark stays."""
+    again = F.col("source").isin(*sources) & F.col("included").isNotNull() & _ahead(today)
+    gone = ("included", "filter_reason", "enriched_description", "blurb", "tags", "score")
+    return _changed(current, again, {c: F.lit(None) for c in gone} | {"is_published": F.lit(False)}, now)
 
 
-def republish(current: DataFrame, today: Column, least: int = 6) -> DataFrame:
-    up = F.coalesce(F.col("included") & (F.col("score") >= least) & (F.col("event_date_start") >= today), F.lit(False))
-    return current.withColumn("is_published", F.col("is_published") | up)
+def republish(current: DataFrame, today: Column, now: Column, least: int = 6) -> DataFrame:
+    """Included listings of a score of `least` that lie ahead, aren't published and are no duplicates are published."""
+    up = F.col("included") & (F.col("score") >= least) & ~F.col("is_published") & _ahead(today)
+    return _changed(current, up, {"is_published": F.lit(True)}, now)
 
 
-def finish_runs(runs: DataFrame, logs: DataFrame) -> DataFrame:
-    """Runs with total_sent and total_failed from their delivery logs."""
+def finish_runs(runs: DataFrame, logs: DataFrame, now: Column | None = None) -> DataFrame:
+    """Runs with total_sent and total_failed from their delivery logs; now: the time at which they are completed."""
     totals = logs.groupBy(F.col("digest_run_id").alias("id")).agg(F.count_if(F.col("status") == "sent").alias("total_sent"), F.count_if(F.col("status") == "failed").alias("total_failed"))
     joined = runs.join(totals, "id", "left")
-    return joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_sent", "total_failed")})
+    out = joined.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("total_sent", "total_failed")})
+    return out if now is None else out.withColumn("completed_at", now)

@@ -50,7 +50,7 @@ SELECT CAST(event_id AS VARCHAR) AS id, CAST(CAST(ts AS DATE) AS VARCHAR) AS dig
 SELECT c_custkey AS id, concat(replace(lower(c_name), '#', '.'), '@example.org') AS email, DATE '2023-01-01' + CAST(c_custkey % 365 AS INT) AS subscribed_on,
        c_acctbal > 0 AS is_active, md5(c_name) AS unsubscribe_token FROM customer)""",
     "digest_events": """digest_events AS (
-SELECT '2024-01-19' AS digest_run_id, CAST(doc_id AS VARCHAR) AS event_id, CASE WHEN doc_id % 9 = 0 THEN 'heads_up' ELSE 'new' END AS category FROM documents WHERE doc_id % 3 = 0)""",
+SELECT CASE WHEN doc_id % 2 = 0 THEN '2024-01-29' ELSE '2024-01-19' END AS digest_run_id, CAST(doc_id AS VARCHAR) AS event_id, CASE WHEN doc_id % 9 = 0 THEN 'heads_up' ELSE 'new' END AS category FROM documents WHERE doc_id % 3 = 0)""",
 }
 
 
@@ -121,4 +121,4 @@ def subscribers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def digest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = read(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0)
-    return seen.select(F.lit("2024-01-19").alias("digest_run_id"), F.col("doc_id").cast("string").alias("event_id"), F.when(F.col("doc_id") % 9 == 0, "heads_up").otherwise("new").alias("category"))
+    return seen.select(F.when(F.col("doc_id") % 2 == 0, "2024-01-29").otherwise("2024-01-19").alias("digest_run_id"), F.col("doc_id").cast("string").alias("event_id"), F.when(F.col("doc_id") % 9 == 0, "heads_up").otherwise("new").alias("category"))

@@ -285,6 +285,12 @@ def weekend_feed(rows):
     return feeds.window_feed(rows, friday, F.date_add(friday, 2)).select("id")
 
 
+@query("listings", f"SELECT id FROM listings WHERE is_published AND event_date_start BETWEEN DATE '2024-02-16' AND DATE '2024-02-18' AND {TAG_SQL.format('touch grass')} AND coalesce(included, FALSE) AND NOT is_duplicate")
+def weekend_feed_by_tag(rows):
+    friday = D.upcoming_friday(day("2024-02-14"))
+    return feeds.window_feed(rows, friday, F.date_add(friday, 2), "Touch Grass").select("id")
+
+
 @query("listings", "SELECT id FROM listings WHERE is_published AND event_date_start >= DATE '2024-01-10' AND (raw_title ILIKE '%on_e%' OR coalesce(enriched_description, '') ILIKE '%on_e%' OR raw_description ILIKE '%on_e%' OR venue ILIKE '%on_e%' OR coalesce(array_to_string(tags, ','), '') ILIKE '%on_e%') AND coalesce(included, FALSE) AND NOT is_duplicate ORDER BY event_date_start, id LIMIT 50")
 def keyword_search(rows):
     return feeds.keyword_search(rows, "ON_e", day("2024-01-10"), 200).select("id")
@@ -380,14 +386,25 @@ def unsubscribed(rows):
     return store.unsubscribe(rows, rows.where(F.col("id") % 5 == 0).select(F.col("unsubscribe_token").alias("token"))).select("id", "is_active", "changed")
 
 
-@query("listings", f"SELECT id, CASE WHEN included = FALSE AND event_date_start >= DATE '2024-01-15' THEN NULL ELSE included END AS included, is_published OR coalesce(included AND score >= 6 AND event_date_start >= DATE '2024-01-15', FALSE) AS is_published FROM listings")
+def _with_duplicates(rows):
+    """Listings of every fourth tag are duplicates."""
+    return rows.withColumns({"is_duplicate": F.col("tag_no") % 4 == 1, "filter_reason": F.lit("said"), "updated_at": F.col("created_at")})
+
+
+RESET = "SELECT *, tag_no % 4 = 1 AS dup, event_date_start >= DATE '2024-01-15' AND tag_no % 4 <> 1 AS ahead FROM listings"
+
+
+@query("listings", f"""SELECT id, CASE WHEN hit THEN NULL ELSE included END AS included, CASE WHEN hit THEN NULL ELSE 'said' END AS filter_reason, is_published OR up AS is_published, hit OR up AS updated
+FROM (SELECT *, coalesce(included = FALSE AND ahead, FALSE) AS hit, coalesce(included AND score >= 6 AND NOT is_published AND ahead, FALSE) AS up FROM ({RESET}))""")
 def reset_and_republished(rows):
-    return store.republish(store.reset_excluded(rows, day("2024-01-15")), day("2024-01-15")).select("id", "included", "is_published")
+    now, since = F.lit(NOW).cast("timestamp"), day("2024-01-15")
+    return store.republish(store.reset_excluded(_with_duplicates(rows), since, now), since, now).select("id", "included", "filter_reason", "is_published", (F.col("updated_at") == now).alias("updated"))
 
 
-@query("listings", "SELECT id, CASE WHEN hit THEN NULL ELSE score END AS score, CASE WHEN hit THEN FALSE ELSE is_published END AS is_published, CASE WHEN hit THEN NULL ELSE blurb END AS blurb FROM (SELECT *, source IN ('src1', 'src2') AND event_date_start >= DATE '2024-01-15' AS hit FROM listings)")
+@query("listings", f"SELECT id, CASE WHEN hit THEN NULL ELSE score END AS score, CASE WHEN hit THEN FALSE ELSE is_published END AS is_published, CASE WHEN hit THEN NULL ELSE blurb END AS blurb, is_heads_up, hit AS updated FROM (SELECT *, source IN ('src1', 'src2') AND included IS NOT NULL AND ahead AS hit FROM ({RESET}))")
 def reset_sources(rows):
-    return store.reset_sources(rows, ("src1", "src2"), day("2024-01-15")).select("id", "score", "is_published", "blurb")
+    now = F.lit(NOW).cast("timestamp")
+    return store.reset_sources(_with_duplicates(rows), ("src1", "src2"), day("2024-01-15"), now).select("id", "score", "is_published", "blurb", "is_heads_up", (F.col("updated_at") == now).alias("updated"))
 
 
 @query("listings", "SELECT id, CASE WHEN tag_no = 2 THEN NULL ELSE venue END AS venue, CASE WHEN tag_no = 2 THEN 9 ELSE score END AS score, source FROM listings")
@@ -424,9 +441,9 @@ def effective_descriptions(rows, pages):
     return scoring.effective_descriptions(rows, own, least=1500)
 
 
-@query("digest_runs email_logs", "SELECT r.id, coalesce(l.s, 0) AS total_sent, coalesce(l.f, 0) AS total_failed FROM digest_runs r LEFT JOIN (SELECT digest_run_id, count(*) FILTER (WHERE status = 'sent') AS s, count(*) FILTER (WHERE status = 'failed') AS f FROM email_logs GROUP BY 1) l ON l.digest_run_id = r.id")
+@query("digest_runs email_logs", f"SELECT r.id, coalesce(l.s, 0) AS total_sent, coalesce(l.f, 0) AS total_failed, TIMESTAMP '{NOW}' AS completed_at FROM digest_runs r LEFT JOIN (SELECT digest_run_id, count(*) FILTER (WHERE status = 'sent') AS s, count(*) FILTER (WHERE status = 'failed') AS f FROM email_logs GROUP BY 1) l ON l.digest_run_id = r.id")
 def finished_runs(runs, logs):
-    return store.finish_runs(runs, logs).select("id", "total_sent", "total_failed")
+    return store.finish_runs(runs, logs, F.lit(NOW).cast("timestamp")).select("id", "total_sent", "total_failed", "completed_at")
 
 
 # ---- scoring --------------------------------------------------------------
@@ -443,8 +460,10 @@ def pending_count(rows):
 _RULES = {"live & loud": "th", "culture fix": "en", "go see": "sch", "game on": "de"}
 
 
-def _decided(rows):
-    raw = rows.withColumn("filter_raw", scoring.rule_filter(F.col("raw_description"), "(?i)the|und|les", "%%%|!!"))
+def _decided(rows, silent=None):
+    """silent: rows for which the scorer gives nothing."""
+    said = scoring.rule_filter(F.col("raw_description"), "(?i)the|und|les", "%%%|!!")
+    raw = rows.withColumn("filter_raw", said if silent is None else F.when(~silent, said))
     raw = raw.withColumn("enrich_raw", scoring.rule_enrichment(F.col("raw_description"), F.col("raw_title"), _RULES, "ing"))
     return scoring.decided(raw)
 
@@ -462,7 +481,7 @@ def scored_listings(rows):
 # ---- digest ---------------------------------------------------------------
 END = "2024-02-07"
 MEMBERS_SQL = "(SELECT e.event_id, e.category FROM digest_events e JOIN (SELECT id FROM digest_runs WHERE completed_at IS NOT NULL AND skipped IS NULL ORDER BY ran_at DESC, id DESC LIMIT 1) r ON r.id = e.digest_run_id)"
-CLASSIFIED_SQL = f"""c AS (SELECT *, CASE WHEN id NOT IN (SELECT event_id FROM digest_events) OR event_date_end IS NULL OR event_date_end = event_date_start THEN 'new' WHEN event_date_end <= DATE '{END}' THEN 'ending_soon' ELSE 'ongoing' END AS cat
+CLASSIFIED_SQL = f"""c AS (SELECT *, CASE WHEN id NOT IN (SELECT event_id FROM {MEMBERS_SQL}) OR event_date_end IS NULL OR event_date_end = event_date_start THEN 'new' WHEN event_date_end <= DATE '{END}' THEN 'ending_soon' ELSE 'ongoing' END AS cat
   FROM listings WHERE {OVERLAP.format(DAY, END)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY cat ORDER BY coalesce(score, 0) DESC, event_date_start, id) AS bs, row_number() OVER (PARTITION BY cat ORDER BY coalesce(event_date_end, DATE '0001-01-01'), id) AS be, count(*) FILTER (WHERE cat = 'new') OVER () AS nn FROM c),
 p AS (SELECT *, cat = 'ongoing' AND bs <= 3 - nn AS up FROM r),
@@ -474,44 +493,44 @@ def previous_members(runs, members):
     return digest.previous_members(runs, members)
 
 
-def _classified(rows, members):
-    return digest.classified(feeds.published_between(rows, day(), day(END)), members, day(END))
+def _classified(rows, members, runs):
+    return digest.classified(feeds.published_between(rows, day(), day(END)), digest.previous_members(runs, members), day(END))
 
 
-@query("listings digest_events", None)
-def classified_digest(rows, members):
-    return _classified(rows, members).select("id", "category", "position")
+@query("listings digest_events digest_runs", None)
+def classified_digest(rows, members, runs):
+    return _classified(rows, members, runs).select("id", "category", "position")
 
 
-ORACLE_SQL["classified_digest"] = with_tables("listings digest_events", "") + f", {CLASSIFIED_SQL} SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY p0) AS position FROM q"
+ORACLE_SQL["classified_digest"] = with_tables("listings digest_events digest_runs", "") + f", {CLASSIFIED_SQL} SELECT id, category, row_number() OVER (PARTITION BY category ORDER BY p0) AS position FROM q"
 
 
-@query("listings digest_events", None)
-def digest_members(rows, members):
-    return digest.digest_members(_classified(rows, members), feeds.top_heads_up(rows, day("2024-01-05")), "next")
+@query("listings digest_events digest_runs", None)
+def digest_members(rows, members, runs):
+    return digest.digest_members(_classified(rows, members, runs), feeds.top_heads_up(rows, day("2024-01-05")), "next")
 
 
-ORACLE_SQL["digest_members"] = with_tables("listings digest_events", "") + f", {CLASSIFIED_SQL} SELECT 'next' AS digest_run_id, id AS event_id, category FROM q UNION ALL SELECT 'next', id, 'heads_up' FROM (SELECT id FROM listings WHERE {AHEAD} ORDER BY coalesce(score, 0) DESC, event_date_start, id LIMIT 3)"
+ORACLE_SQL["digest_members"] = with_tables("listings digest_events digest_runs", "") + f", {CLASSIFIED_SQL} SELECT 'next' AS digest_run_id, id AS event_id, category FROM q UNION ALL SELECT 'next', id, 'heads_up' FROM (SELECT id FROM listings WHERE {AHEAD} ORDER BY coalesce(score, 0) DESC, event_date_start, id LIMIT 3)"
 
 
-@query("listings digest_events", None)
-def digest_sections(rows, members):
-    return digest.sections(_classified(rows, members), day())
+@query("listings digest_events digest_runs", None)
+def digest_sections(rows, members, runs):
+    return digest.sections(_classified(rows, members, runs), day())
 
 
 _SPAN = "CASE WHEN event_date_end IS NULL OR event_date_end = event_date_start THEN '' WHEN month(event_date_start) = month(event_date_end) THEN concat(', ', day(event_date_start), ' — ', day(event_date_end), ' ', upper(strftime(event_date_end, '%b'))) ELSE concat(', ', day(event_date_start), ' ', upper(strftime(event_date_start, '%b')), ' — ', day(event_date_end), ' ', upper(strftime(event_date_end, '%b'))) END"
-ORACLE_SQL["digest_sections"] = with_tables("listings digest_events", "") + f""", {CLASSIFIED_SQL},
+ORACLE_SQL["digest_sections"] = with_tables("listings digest_events digest_runs", "") + f""", {CLASSIFIED_SQL},
 m AS (SELECT *, greatest(event_date_start, DATE '{DAY}') AS d, row_number() OVER (ORDER BY category = 'ending_soon', p0) AS o FROM q WHERE category IN ('new', 'ending_soon')),
 g AS (SELECT d, min(o) AS o1, string_agg(concat(raw_title, CASE WHEN category = 'ending_soon' THEN ' (last chance)' ELSE '' END, ', ', venue, {_SPAN}), chr(10) ORDER BY o) AS lines FROM m GROUP BY d)
 SELECT row_number() OVER (ORDER BY o1) AS group_no, upper(strftime(d, '%a %-d %b')) AS day, lines FROM g"""
 
 
-@query("listings digest_events", None)
-def intro_lines(rows, members):
-    return scoring.intro_input(_classified(rows, members), {"new": 10, "ongoing": 5, "ending_soon": 5})
+@query("listings digest_events digest_runs", None)
+def intro_lines(rows, members, runs):
+    return scoring.intro_input(_classified(rows, members, runs), {"new": 10, "ongoing": 5, "ending_soon": 5})
 
 
-ORACLE_SQL["intro_lines"] = with_tables("listings digest_events", "") + f""", {CLASSIFIED_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p0) AS k FROM q)
+ORACLE_SQL["intro_lines"] = with_tables("listings digest_events digest_runs", "") + f""", {CLASSIFIED_SQL}, n AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY p0) AS k FROM q)
 SELECT category, string_agg(concat('- ', raw_title, ' @ ', venue), chr(10) ORDER BY k) AS lines FROM n WHERE k <= CASE WHEN category = 'new' THEN 10 ELSE 5 END GROUP BY category"""
 
 
@@ -597,11 +616,13 @@ def source_run_rows(rows, runs, known):
     return telemetry.run_rows(rows, runs.where(F.col("error").isNotNull()), known)
 
 
-@query("listings", f"""SELECT count(*) FILTER (WHERE included IS NULL) AS processed, count(*) FILTER (WHERE included IS NULL AND inc) AS included, count(*) FILTER (WHERE included IS NULL AND NOT inc) AS excluded, CAST(0 AS BIGINT) AS errors, CAST(0 AS BIGINT) AS remaining, CAST(0 AS BIGINT) AS deduplicated
-FROM (SELECT *, regexp_matches(raw_description, '(?i)the|und|les') AND NOT regexp_matches(raw_description, '%%%|!!') AS inc FROM listings)""")
+@query("listings", f"""SELECT count(*) FILTER (WHERE todo AND tag_no > 3) AS processed, count(*) FILTER (WHERE todo AND tag_no > 3 AND inc) AS included, count(*) FILTER (WHERE todo AND tag_no > 3 AND NOT inc) AS excluded, count(*) FILTER (WHERE todo AND tag_no = 3) AS errors, count(*) FILTER (WHERE todo AND tag_no IN (0, 1)) AS remaining, count(*) FILTER (WHERE todo AND tag_no = 2) AS deduplicated
+FROM (SELECT *, included IS NULL AS todo, regexp_matches(raw_description, '(?i)the|und|les') AND NOT regexp_matches(raw_description, '%%%|!!') AS inc FROM listings)""")
 def scoring_counters(rows):
-    none = rows.select(F.col("id").alias("duplicate_id")).where("false")
-    return scoring.counters(_decided(scoring.pending(rows)), rows, none)
+    """Listings of one tag are duplicates, of two aren't tried yet, and of one get no answer."""
+    duplicates = scoring.pending(rows).where("tag_no = 2").select(F.col("id").alias("duplicate_id"))
+    tried = scoring.pending(rows).where("tag_no > 2")
+    return scoring.counters(_decided(tried, F.col("tag_no") == 3), rows, duplicates, tried)
 
 
 @query("listings scraper_runs", f"""SELECT coalesce(sum(events_found), 0) AS total, count(*) FILTER (WHERE error IS NOT NULL) AS failed_sources, count(*) FILTER (WHERE error IS NULL AND events_found = 0) AS zero_sources, count(*) FILTER (WHERE error IS NOT NULL OR events_found = 0) > 0 AS has_issues,
@@ -610,3 +631,6 @@ concat(coalesce(sum(events_found), 0), ' found, ', (SELECT count(*) FROM listing
 def pipeline_report(rows, runs):
     counts = rows.agg(F.count_if(F.col("included")).alias("included"), F.count_if(~F.col("included")).alias("excluded"))
     return telemetry.pipeline_report(telemetry.cycle_stats(runs), counts)
+
+
+from . import source_queries  # noqa: E402, F401  (registers its queries here)

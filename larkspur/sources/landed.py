@@ -28,7 +28,7 @@ def _filled(c: Column) -> Column:
 
 def _listings(rows: DataFrame, source: str, url: Column, title: Column, description: Column, venue: Column, start: Column, end: Column) -> DataFrame:
     """Listings in order of page and place; seq is that order."""
-    out = rows.select(F.lit(source).alias("source"), url.alias("source_url"), title.alias("raw_title"), description.alias("raw_description"), venue.alias("venue"), start.alias("event_date_start"), D.end_or_null(start, end).alias("event_date_end"), (F.col("page_no") * 100_000 + F.col("pos")).cast("long").alias("seq"))
+    out = rows.select(F.lit(source).alias("source"), url.alias("source_url"), title.alias("raw_title"), description.alias("raw_description"), venue.alias("venue"), start.alias("event_date_start"), D.end_or_null(start, end).alias("event_date_end"), (F.col("page_no").cast("long") * 100_000 + F.col("pos")).alias("seq"))
     return out.where("event_date_start is not null and source_url is not null")
 
 

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.store import upsert_listings
 
 
-def ingest(raw: DataFrame, root: str, empty: DataFrame, checkpoint: str) -> StreamingQuery:
-    """Upserts each batch of raw listings into root; version n is what batch n left. A batch that is run again writes the same version again."""
+def ingest(raw: DataFrame, root: str, empty: DataFrame, checkpoint: str, now: Callable[[int], Column] = lambda _: F.current_timestamp()) -> StreamingQuery:
+    """Upserts each batch of raw listings into root; version n is what batch n left. A batch that is run again writes its version again. now: the time that a batch's rows get."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         current = spark.read.schema(empty.schema).parquet(f"{root}/version={number - 1}") if number else empty
-        upsert_listings(current, batch, F.lit("1970-01-01").cast("timestamp") + F.make_dt_interval(F.lit(number))).drop("inserted").write.mode("overwrite").parquet(f"{root}/version={number}")
+        upsert_listings(current, batch, now(number)).drop("inserted").write.mode("overwrite").parquet(f"{root}/version={number}")
 
     return raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

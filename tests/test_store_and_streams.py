@@ -33,9 +33,9 @@ def test_marking_and_scores(spark):
     pairs = spark.createDataFrame([(ids["a"], ids["b"], 0), (ids["a"], ids["c"], 1)], "duplicate_id string, canonical_id string, seq int")
     marked = {r["source_url"]: r for r in store.mark_duplicates(current, pairs, F.lit(NOW)).collect()}
     assert marked["a"]["duplicate_of"] == ids["c"] and marked["a"]["is_duplicate"] and not marked["b"]["is_duplicate"]
-    raws = current.select("id", "raw_title", F.lit('{"include": true, "reason": "r"}').alias("filter_raw"), F.lit('{"blurb": "b", "tags": ["go see"], "score": 8, "headsUp": false}').alias("enrich_raw"))
+    raws = current.select("id", "raw_title", F.lit('{"include": true, "reason": "r"}').alias("filter_raw"), F.lit('{"blurb": "b", "tags": ["go see"], "score": 8, "heads_up": true}').alias("enrich_raw"))
     scored = {r["source_url"]: r for r in store.apply_scores(current, scoring.decided(raws).where(F.col("id") != ids["c"]), F.lit(NOW)).collect()}
-    assert scored["a"]["is_published"] and scored["a"]["tags"] == ["go see"] and scored["c"]["included"] is None
+    assert scored["a"]["is_published"] and scored["a"]["is_heads_up"] and scored["a"]["tags"] == ["go see"] and scored["c"]["included"] is None
 
 
 def test_scorer_hook_and_counters(spark):
@@ -52,6 +52,31 @@ def test_scorer_hook_and_counters(spark):
     assert report["has_issues"] and report["summary"] == "3 found, 1 included, 1 excluded"
 
 
+def test_resets_spare_duplicates(spark):
+    today, now = F.lit("2026-02-01").cast("date"), F.lit(NOW)
+    day, old = dt.date(2026, 3, 1), NOW - dt.timedelta(9)
+    schema = "id string, source string, event_date_start date, included boolean, filter_reason string, score int, blurb string, is_published boolean, is_heads_up boolean, is_duplicate boolean, updated_at timestamp"
+    rows = [("1", "a", day, False, "no", None, None, False, False, False, old), ("2", "a", day, False, "no", None, None, False, False, True, old), ("3", "a", day, True, "y", 6, "b", False, True, False, old), ("4", "a", day, True, "y", 6, "b", False, True, True, old), ("5", "b", day, None, None, None, "kept", False, False, False, old)]
+    current = spark.createDataFrame(rows, schema)
+    reset = {r["id"]: r for r in store.reset_excluded(current, today, now).collect()}
+    assert (reset["1"]["included"], reset["1"]["filter_reason"], reset["1"]["updated_at"]) == (None, None, NOW) and reset["2"]["included"] is False and reset["2"]["updated_at"] == old
+    gone = {r["id"]: r for r in store.reset_sources(current, ("a", "b"), today, now).collect()}
+    assert gone["3"]["included"] is None and gone["3"]["blurb"] is None and gone["3"]["is_heads_up"] and gone["4"]["blurb"] == "b" and gone["5"]["blurb"] == "kept" and gone["5"]["updated_at"] == old
+    up = {r["id"]: r["is_published"] for r in store.republish(current, today, now).collect()}
+    assert up == {"1": False, "2": False, "3": True, "4": False, "5": False}
+
+
+def test_long_chains_and_verdicts(spark):
+    from larkspur.operators import dedup
+
+    pairs = spark.createDataFrame([(f"r{k:03d}", f"r{k + 1:03d}", 0) for k in range(300)], "duplicate_id string, canonical_id string, seq int")
+    assert {r["canonical_id"] for r in dedup.resolved(pairs).collect()} == {"r300"}
+    long = "T" * 199 + ". " + "t" * 50
+    texts = spark.createDataFrame([('{"blurb": "b", "tags": [], "heads_up": true}', long), ("{broken", long)], "raw string, title string")
+    got = [r[0] for r in texts.select(scoring.enrichment_verdict(F.col("raw"), F.col("title"))).collect()]
+    assert got[0]["heads_up"] and got[1]["blurb"] == long[:197] + "..."
+
+
 def test_effective_descriptions(spark):
     long = "d" * 120
     rows = spark.createDataFrame([("1", "u1", "thin", None), ("2", "u2", long, None), ("3", "u3", None, None)], "id string, source_url string, raw_description string, enriched_description string")
@@ -78,7 +103,7 @@ def test_stream_equals_batch(spark, tmp_path):
     want, query = empty(spark), None
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        query = streams.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), empty(spark), str(tmp_path / "ckpt"))
+        query = streams.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), empty(spark), str(tmp_path / "ckpt"), lambda n: F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(n)))
         query.awaitTermination()
         want = store.upsert_listings(want, spark.createDataFrame(rows, RAW), F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(k))).drop("inserted")
     got = streams.latest(spark, str(tmp_path / "out"), empty(spark), query)
