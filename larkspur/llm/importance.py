@@ -207,15 +207,18 @@ def weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
 
 
 def weighed(marked: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """doc_id, mark, good, held and log_weight of every document."""
+    """doc_id, mark, good, held, rest and log_weight of every document."""
     model = marked.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))  # of a fixed size
+    kept = ("doc_id", "mark", "good", "held", "rest")
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "mark", "good", "held")} | {"log_weight": pa.array(weights(batch.column("text"), model.value).astype(np.float64))})
+            weight = pa.array(weights(batch.column("text"), model.value).astype(np.float64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), weight], [*kept, "log_weight"])
 
-    return marked.select("doc_id", "mark", "good", "held", "text").mapInArrow(weigh, "doc_id long, mark long, good boolean, held boolean, log_weight double")
+    rest = marked.schema["rest"].dataType.simpleString()
+    return marked.select(*kept, "text").mapInArrow(weigh, f"doc_id long, mark long, good boolean, held boolean, rest {rest}, log_weight double")
 
 
 def best_cut(rows: DataFrame, care: float) -> float:
@@ -253,6 +256,32 @@ def kth_largest(rows: DataFrame, column: str, k: int, most: int = 4096) -> float
         low, high = r["a"], r["b"]
 
 
+def _marked(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    rest = F.struct(*carry) if carry else F.lit(0)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    return docs.withColumn("mark", F.xxhash64("text"))
+
+
+def _keyed(rows: DataFrame, temperature: float) -> DataFrame:
+    """Rows with key: the log weight with Gumbel noise that follows from the document."""
+    uniform = (F.xxhash64("doc_id", "mark", F.lit(41)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    return rows.withColumn("key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform)))
+
+
+def _drawn(documents: DataFrame, labels: DataFrame, most_labels: int, temperature: float, care: float, keep: int | None, nats: float, telling: float) -> tuple[np.ndarray, DataFrame, float]:
+    """The model, the weights and keys of all documents, and the least key that is drawn."""
+    small_batches(documents.sparkSession)
+    docs = _marked(documents)
+    known = saved(with_shares(docs.select("doc_id", "text"), saved(labelled(labels, most_labels), "labels")), "labels")
+    marked = docs.join(F.broadcast(known), "doc_id", "left")  # most_labels rows at most
+    ratio = fit(marked, nats, telling)
+    rows = saved(_keyed(weighed(marked, ratio).drop("rest"), temperature), "weights")
+    if keep is None:
+        cut = best_cut(rows, care)
+        keep = rows.where(F.col("log_weight") >= cut).count() if cut > -math.inf else rows.count()
+    return ratio, rows, kth_largest(rows, "key", keep) if keep > 0 and not rows.isEmpty() else math.inf
+
+
 def resampled(documents: DataFrame, labels: DataFrame, most_labels: int = 50_000, temperature: float = 1.0, care: float = 4.0, keep: int | None = None, nats: float = 8.0, telling: float = 3.0) -> DataFrame:
     """doc_id, mark (the xxhash64 of the text), log_weight, key and kept for every document.
 
@@ -261,15 +290,12 @@ def resampled(documents: DataFrame, labels: DataFrame, most_labels: int = 50_000
     against a bad one kept, in choosing k. keep: how many documents to draw, if not as many as the held-out labels
     suggest. Documents that tie with the last one drawn are kept too.
     """
-    small_batches(documents.sparkSession)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
-    known = saved(with_shares(docs, saved(labelled(labels, most_labels), "labels")), "labels")
-    marked = docs.join(F.broadcast(known), "doc_id", "left")  # most_labels rows at most
-    ratio = fit(marked, nats, telling)
-    uniform = (F.xxhash64("doc_id", "mark", F.lit(41)).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
-    rows = saved(weighed(marked, ratio).withColumn("key", F.col("log_weight") - F.lit(temperature) * F.log(-F.log(uniform))), "weights")
-    if keep is None:
-        cut = best_cut(rows, care)
-        keep = rows.where(F.col("log_weight") >= cut).count() if cut > -math.inf else rows.count()
-    last = kth_largest(rows, "key", keep) if keep > 0 and not rows.isEmpty() else math.inf
+    _, rows, last = _drawn(documents, labels, most_labels, temperature, care, keep, nats, telling)
     return rows.select("doc_id", "mark", "log_weight", "key", (F.col("key") >= last).alias("kept"))
+
+
+def kept_documents(documents: DataFrame, labels: DataFrame, columns: tuple[str, ...], most_labels: int = 50_000, temperature: float = 1.0, care: float = 4.0, keep: int | None = None, nats: float = 8.0, telling: float = 3.0) -> DataFrame:
+    """The given columns of the documents that resampled keeps. They are weighed once more rather than joined, which would shuffle all texts."""
+    ratio, _, last = _drawn(documents, labels, most_labels, temperature, care, keep, nats, telling)
+    docs = _marked(documents, columns).withColumns({"good": F.lit(None).cast("boolean"), "held": F.lit(None).cast("boolean")})
+    return _keyed(weighed(docs, ratio), temperature).where(F.col("key") >= last).select("rest.*")
