@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import saved, table
-from larkspur.llm.importance import resampled
+from larkspur.llm.importance import kept_documents
 from larkspur.llm.jaccard import near_copies
 from larkspur.llm.latent import leaks
 from larkspur.llm.packing import pack
@@ -33,17 +33,16 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the importance resampling rejects go."""
-    rejected = resampled(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id", "mark").distinct()
-    return _without(docs, saved(rejected, "rejected"))
+    return kept_documents(docs, table(spark, sf_dir, "labels"), COLUMNS)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies one with the smallest doc_id stays, and of equal rows one."""
-    kept = _without(docs, saved(near_copies(docs).where("not kept").select("doc_id", "mark").distinct(), "copies"))
-    marked = kept.withColumn("mark", F.xxhash64("text"))
-    often = saved(marked.where("doc_id is not null").groupBy("doc_id", "mark").count().where("count > 1").select("doc_id", "mark"), "often")
-    once = marked.join(often, ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return marked.join(often, ["doc_id", "mark"], "left_anti").unionByName(once.select(*marked.columns)).select(*COLUMNS)
+    copies = saved(near_copies(docs).where("not kept").select("doc_id", "mark").distinct(), "copies")
+    live = docs.where("doc_id is not null").withColumn("mark", F.xxhash64("text"))
+    # equal rows become one before the shuffle, which is that of the anti-join
+    once = live.groupBy("doc_id", "mark").agg(*[F.first(c).alias(c) for c in COLUMNS[1:]]).join(copies, ["doc_id", "mark"], "left_anti")
+    return once.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
