@@ -67,11 +67,15 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def small_batches(spark: SparkSession, most: int = 2048) -> None:
-    """Bounds the rows of an Arrow batch: whole texts are long, and a batch lies in the JVM and in Python at once."""
+def small_batches(spark: SparkSession, most: int = 2048, most_bytes: int = 8 << 20) -> None:
+    """Bounds the rows and the bytes of an Arrow batch: whole texts and blocks of arrays are long, and a batch lies in the
+    JVM and in Python at once. A row is never split. A number of bytes that the session itself names stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= most:
         spark.conf.set(key, str(most))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's own default
+        spark.conf.set(key, f"{most_bytes}b")
 
 
 def lean_worker() -> None:
