@@ -45,10 +45,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts the lineage, and lost executors lose nothing of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: cuts the lineage, and lost executors lose nothing of it.
+
+    Shuffle files of the write go once it has ended, rather than when the driver next collects garbage.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def joined_to(rows: DataFrame, facts: DataFrame, on: list[str], seen: str, total: int) -> DataFrame:
