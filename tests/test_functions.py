@@ -92,7 +92,7 @@ def test_filter_verdicts(spark):
 
 
 def test_enrichment_verdicts(spark):
-    one = lambda score, tags='["go see", "nonsense", "game on", "last call", "free lah"]': f'{{"blurb": "b", "tags": {tags}, "headsUp": 1, "score": {score}}}'
+    one = lambda score, tags='["go see", "nonsense", "game on", "last call", "free lah"]': f'{{"blurb": "b", "tags": {tags}, "heads_up": 1, "score": {score}}}'
     texts = [one('"7"'), one("null"), one("6.5"), one("99"), one('"x"'), '{"blurb": "b", "tags": []}', '{"blurb": "b"}', "{broken", '{"tags": []}']
     got = values(spark, lambda c: scoring.enrichment_verdict(c, F.lit("title")), texts)
     assert [r["score"] for r in got] == [7, 1, 7, 10, 5, 5, 5, 5, 5]
