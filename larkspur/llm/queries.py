@@ -17,6 +17,7 @@ from .latent import leaks
 from .packing import pack
 from .pivots import near_vectors
 from .suffix_index import without_repeats
+from .target_resampling import resampled as target_resampled
 from .token_archive import archived
 from .warc import archived as warc_archived
 
@@ -61,6 +62,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_archive": op1_token_archive,
     "op2_importance": op2_importance,
@@ -72,10 +77,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_pivot_neighbours": op9_pivot_neighbours,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_target_resampling": op13_target_resampling,
 }
 _BITS = "".join(f"{i:04b}" for i in range(16))
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _BASE32 = _UPPER + "234567"
+_CRC = "list_reduce(list_prepend(4294967295, flatten(list_transform(range(octet_length({0})), lambda i: [16 * (instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex({0}), 2 * i + 2, 1)) - 1, 0, 0, 0, 0, 0, 0, 0]))), lambda c, y: xor(xor(c, y) >> 1, 3988292384 * (xor(c, y) & 1)))"
 _VALUE = " + ".join(f"{1 << (4 - k)} * CAST(substr(bits, 5 * i + {k + 1}, 1) AS INT)" for k in range(5))
 
 #: The numbered operators without an entry here have no SQL: token ids, fitted models, packing, and repeats by the byte. Tests hold them against brute force.
@@ -105,4 +112,16 @@ k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.
 e AS (SELECT k.x, k.y FROM k JOIN c a ON a.doc_id = k.x JOIN c b ON b.doc_id = k.y WHERE 5 * k.n >= 4 * (a.n + b.n - k.n)),
 r AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.id)
 SELECT r.id AS doc_id, min(r.label) AS class_id, any_value(coalesce(n.n, 0)) AS n_links FROM r LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY x) n ON n.x = r.id GROUP BY r.id""",
+    "op13_target_resampling": rf"""WITH d AS (SELECT doc_id, TRUE AS raw, text FROM documents UNION ALL SELECT NULL, FALSE, text FROM benchmark),
+w AS (SELECT *, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS l FROM d),
+f AS (SELECT doc_id, raw, unnest(l) AS word FROM w),
+k AS (SELECT word, xor({_CRC.format("encode(word)")}, 4294967295) % 10000 AS bucket FROM (SELECT DISTINCT word FROM f)),
+b AS (SELECT bucket, count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM f JOIN k USING (word) GROUP BY bucket),
+a AS (SELECT count(*) FILTER (raw) AS s, count(*) FILTER (NOT raw) AS t FROM f),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(b.t + 1 AS DOUBLE) * (a.s + 10000) / (CAST(b.s + 1 AS DOUBLE) * (a.t + 10000)))) AS BIGINT) AS gain FROM b, a),
+x AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN k USING (word) JOIN g USING (bucket) WHERE raw GROUP BY doc_id),
+h AS (SELECT doc_id, list_reduce(list_transform(range(1, 9), lambda i: CAST(instr('0123456789abcdef', substr(sha256(concat('2024:', doc_id)), i, 1)) - 1 AS BIGINT)), lambda p, q: 16 * p + q) AS h, len(l) AS n FROM w WHERE raw),
+y AS (SELECT h.doc_id, n AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM h LEFT JOIN x ON x.doc_id = h.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, 10 * count(*) FILTER (n_features >= 20) OVER () // 100 AS most FROM y)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= most THEN place END AS rank FROM r""",
 }
