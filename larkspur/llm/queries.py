@@ -19,6 +19,7 @@ from .pivots import near_vectors
 from .suffix_index import without_repeats
 from .target_resampling import resampled as target_resampled
 from .token_archive import archived
+from .vector_packing import pack_documents
 from .warc import archived as warc_archived
 
 
@@ -62,6 +63,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extract": op8_html_extract,
     "op9_pivot_neighbours": op9_pivot_neighbours,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_vector_packing": op11_vector_packing,
     "op13_target_resampling": op13_target_resampling,
 }
 _BITS = "".join(f"{i:04b}" for i in range(16))
