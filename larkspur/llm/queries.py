@@ -16,6 +16,7 @@ from .jaccard import near_copies
 from .latent import leaks
 from .packing import pack
 from .pivots import near_vectors
+from .prefix_trie import prefix_trie
 from .suffix_index import without_repeats
 from .target_resampling import resampled as target_resampled
 from .token_archive import archived
@@ -67,6 +68,10 @@ def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return target_resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_pivot_neighbours": op9_pivot_neighbours,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_vector_packing": op11_vector_packing,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_target_resampling": op13_target_resampling,
 }
 _BITS = "".join(f"{i:04b}" for i in range(16))
@@ -118,6 +124,18 @@ k AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM s a JOIN s b ON a.
 e AS (SELECT k.x, k.y FROM k JOIN c a ON a.doc_id = k.x JOIN c b ON b.doc_id = k.y WHERE 5 * k.n >= 4 * (a.n + b.n - k.n)),
 r AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION SELECT e.y, r.label FROM r JOIN e ON e.x = r.id)
 SELECT r.id AS doc_id, min(r.label) AS class_id, any_value(coalesce(n.n, 0)) AS n_links FROM r LEFT JOIN (SELECT x, count(*) AS n FROM e GROUP BY x) n ON n.x = r.id GROUP BY r.id""",
+    "op12_prefix_trie": rf"""WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said FROM conversations WHERE conv_id IS NOT NULL),
+i AS (SELECT conv_id, encode(CAST(conv_id AS VARCHAR)) AS digits FROM (SELECT DISTINCT conv_id FROM t)),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, xor({_CRC.format("digits")}, 4294967295) % 4 AS h FROM i),
+r AS (SELECT c.conv_id, j, said FROM c JOIN t ON t.conv_id = base AND j <= h UNION ALL SELECT conv_id, j, said FROM c JOIN t USING (conv_id) WHERE j > h),
+p AS (SELECT conv_id, row_number() OVER w AS depth, list(said) OVER (w ROWS UNBOUNDED PRECEDING) AS path FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY j) UNION ALL SELECT conv_id, 0, CAST([] AS STRUCT(role VARCHAR, text VARCHAR)[]) FROM c),
+m AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM p),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256, (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE len(regexp_extract_all(path[-1].text, '[^\x20\x09-\x0D]+')) END AS saves FROM m GROUP BY depth, path),
+k AS (SELECT a.depth, a.path, b.depth AS below, b.saves, b.conv_id AS child FROM n a JOIN n b ON b.depth >= a.depth AND list_slice(b.path, 1, a.depth) = a.path),
+s AS (SELECT depth, path, count(*) FILTER (below = depth + 1) AS n_children, CAST(sum(saves) AS BIGINT) AS saved_tokens FROM k GROUP BY depth, path),
+l AS (SELECT a.depth, a.path, count(*) AS n_leaves FROM s a JOIN s b ON b.n_children = 0 AND b.depth >= a.depth AND list_slice(b.path, 1, a.depth) = a.path GROUP BY a.depth, a.path)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, s.n_children, l.n_leaves, s.saved_tokens, n.ends_sha256
+FROM n JOIN s USING (depth, path) JOIN l USING (depth, path) LEFT JOIN n q ON n.depth > 0 AND q.depth = n.depth - 1 AND list_slice(n.path, 1, n.depth - 1) = q.path""",
     "op13_target_resampling": rf"""WITH d AS (SELECT doc_id, TRUE AS raw, text FROM documents UNION ALL SELECT NULL, FALSE, text FROM benchmark),
 w AS (SELECT *, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS l FROM d),
 f AS (SELECT doc_id, raw, unnest(l) AS word FROM w),
