@@ -205,7 +205,13 @@ def head_of(documents: DataFrame, max_n: int, words: int, pairs: int, summary: i
             yield pa.RecordBatch.from_pydict({"n": pa.array([n] * len(top), pa.int32()), "feature": pa.array([f for f, _ in top], pa.string()), "times": pa.array([c for _, c in top], pa.int64())})
 
     totals = saved(documents.select("text").mapInArrow(count, "n int, feature string, times long").groupBy("n", "feature").agg(F.sum("times").alias("times")), "head")
-    best = lambda n, most: [r["feature"] for r in totals.where(F.col("n") == n).orderBy(F.desc("times"), "feature").limit(most).collect()]
+    sums = {r["n"]: r["all"] for r in totals.groupBy("n").agg(F.sum("times").alias("all")).collect()}
+
+    def best(n: int, most: int) -> list[str]:
+        # those of at least a share of 1 in 4 * most are 4 * most at the most
+        often = totals.where((F.col("n") == n) & (F.col("times") * (4 * most) >= sums.get(n, 0)))
+        return [r["feature"] for r in often.orderBy(F.desc("times"), "feature").limit(most).collect()]
+
     return best(1, words), [tuple(f.split(" ")) for f in best(2, pairs)] if max_n > 1 else []
 
 
