@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .unique import taken
+
 CONTENT = ("raw_title", "venue", "event_date_start", "event_date_end")
 
 
@@ -47,20 +49,14 @@ def insert_strict(current: DataFrame, rows: DataFrame, key: str = "source_url")
 UNIQUE = ("email", "id", "unsubscribe_token")
 
 
-def subscribe(current: DataFrame, rows: DataFrame) -> DataFrame:
-    """Each request with already_exists; a request is taken if its email, id and token are new, here and among the requests before it."""
-    out, again = rows, F.lit(False)
-    for key in (k for k in UNIQUE if k in rows.columns):
-        first = F.row_number().over(Window.partitionBy(key).orderBy("id"))
-        known = current.select(key, F.lit(True).alias(f"known_{key}")).distinct()
-        out = out.withColumn(f"n_{key}", first).join(known, key, "left")
-        again = again | F.col(f"known_{key}").isNotNull() | (F.col(f"n_{key}") > 1)
-    return out.select(*rows.columns, again.alias("already_exists"))
+def subscribe(current: DataFrame, rows: DataFrame, order: str | None = "id") -> DataFrame:
+    """Each request with already_exists; a request is taken if its email, id and token are new, here and among the taken ones before it. order: what requests come in order of."""
+    return taken(rows, current, [k for k in UNIQUE if k in rows.columns], order).withColumn("already_exists", ~F.col("taken")).drop("taken")
 
 
-def subscribers_after(current: DataFrame, rows: DataFrame) -> DataFrame:
+def subscribers_after(current: DataFrame, rows: DataFrame, order: str | None = "id") -> DataFrame:
     """The table with the requests that are taken."""
-    return current.unionByName(subscribe(current, rows).where("not already_exists").drop("already_exists"), allowMissingColumns=True)
+    return current.unionByName(subscribe(current, rows, order).where("not already_exists").drop("already_exists"), allowMissingColumns=True)
 
 
 def mark_duplicates(current: DataFrame, pairs: DataFrame, now: Column) -> DataFrame:

@@ -381,6 +381,24 @@ def subscribed(rows):
     return store.subscribe(rows.where(F.col("id") % 2 == 0), rows.select("id", "email"))
 
 
+_CROSSING = "concat('i', (id // 8) * 8 + (id % 8) // 2) AS id, concat('e', (id // 8) * 8 + (id % 8 + 1) // 2, '@x') AS email, concat('t', (id // 8) * 8 + 3 * (id % 8) % 5) AS unsubscribe_token"
+
+
+@query("subscribers", f"""SELECT seq, c.id, c.email, c.already_exists FROM (WITH RECURSIVE q AS (SELECT id AS seq, id // 8 AS b, id % 8 AS j, id % 16 = 5 AS stored, {_CROSSING} FROM subscribers),
+r AS (SELECT b, -1::BIGINT AS j, NULL::BIGINT AS seq, FALSE AS yes, list(id) FILTER (stored) AS ids, list(email) FILTER (stored) AS emails, list(unsubscribe_token) FILTER (stored) AS tokens FROM q GROUP BY b
+  UNION ALL SELECT b, j, seq, yes, CASE WHEN yes THEN list_append(coalesce(ids, []), id) ELSE ids END, CASE WHEN yes THEN list_append(coalesce(emails, []), email) ELSE emails END, CASE WHEN yes THEN list_append(coalesce(tokens, []), unsubscribe_token) ELSE tokens END
+  FROM (SELECT q.b, r.j + 1 AS j, q.seq, ids, emails, tokens, q.id, q.email, q.unsubscribe_token, q.seq IS NOT NULL AND NOT q.stored AND NOT coalesce(list_contains(ids, q.id), FALSE) AND NOT coalesce(list_contains(emails, q.email), FALSE) AND NOT coalesce(list_contains(tokens, q.unsubscribe_token), FALSE) AS yes FROM r JOIN q ON q.b = r.b AND q.j = r.j + 1))
+SELECT q.seq, q.id, q.email, NOT r.yes AS already_exists FROM q JOIN r USING (seq) WHERE NOT q.stored) c""")
+def subscribed_crosswise(rows):
+    """Requests of which one shares its id with the next, that its address with the one after, and others their tokens."""
+    at = F.col("id").cast("long")
+    text = lambda head, off, tail="": F.concat(F.lit(head), ((at - at % 8) + off).cast("string"), F.lit(tail))
+    half = lambda x: F.floor(x / 2)
+    asked = rows.select(at.alias("seq"), text("i", half(at % 8)).alias("id"), text("e", half(at % 8 + 1), "@x").alias("email"), text("t", 3 * (at % 8) % 5).alias("unsubscribe_token"))
+    stored = F.col("seq") % 16 == 5
+    return store.subscribe(asked.where(stored), asked.where(~stored), "seq").select("seq", "id", "email", "already_exists")
+
+
 @query("subscribers", "SELECT id, is_active AND id % 5 <> 0 AS is_active, is_active AND id % 5 = 0 AS changed FROM subscribers")
 def unsubscribed(rows):
     return store.unsubscribe(rows, rows.where(F.col("id") % 5 == 0).select(F.col("unsubscribe_token").alias("token"))).select("id", "is_active", "changed")
