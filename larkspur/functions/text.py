@@ -122,6 +122,12 @@ def page_venue(html: Column, url: Column) -> Column:
     return F.coalesce(decoded(_meta(html, "property", "og:site_name")), F.nullif(F.regexp_replace(F.lower(host), r"^www\.", ""), F.lit("")))
 
 
+def preview_description(html: Column, url: Column, most: int = 500) -> Column:
+    """What a preview says of a page: its best description, or its meta tags' one however short; null if there is none."""
+    meta = [F.nullif(decoded(_meta(html, k, n)), F.lit("")) for k, n in (("property", "og:description"), ("name", "description"))]
+    return F.left(F.coalesce(enrich_description(html, url), *meta), F.lit(most))
+
+
 def listing_block(when: Column, title: Column, venue: Column, blurb: Column, enriched: Column, raw: Column, tags: Column, url: Column) -> Column:
     """A listing as lines; empty ones are left out."""
     said = F.coalesce(F.nullif(blurb, F.lit("")), F.nullif(enriched, F.lit("")), F.left(raw, F.lit(500)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import text as T
+from ..functions.content import content_area
 from ..operators import dedup, digest, feeds, scoring, store, telemetry
 from . import fixtures as X
 from .fixtures import with_tables
@@ -82,9 +83,15 @@ for _name, _said in T.ENTITIES:
     _TITLE = "replace({}, '{}', '{}')".format(_TITLE, _name, _said.replace("'", "''"))
 
 
-@query("pages", f"SELECT page_id, coalesce(nullif(trim({_TITLE}), ''), 'Untitled Event') AS title, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS venue FROM pages")
+@query("pages", f"SELECT page_id, coalesce(nullif(trim({_TITLE}), ''), 'Untitled Event') AS title, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)), '^www\\.', '') AS venue, CASE WHEN length({BODY_SQL}) > 50 THEN substr({BODY_SQL}, 1, 500) END AS description FROM pages")
 def url_previews(rows):
-    return rows.select("page_id", T.page_title(F.col("html")).alias("title"), T.page_venue(F.col("html"), F.col("url")).alias("venue"))
+    return rows.select("page_id", T.page_title(F.col("html")).alias("title"), T.page_venue(F.col("html"), F.col("url")).alias("venue"), T.preview_description(F.col("html"), F.col("url")).alias("description"))
+
+
+@query("pages", f"SELECT page_id, nullif(substr({BODY_SQL}, 1, 2000), '') AS advert, nullif(substr(article, 1, 2000), '') AS article FROM (SELECT page_id, regexp_extract(html, '<div class=\"ad\">(.*?)</div>', 1, 's') AS html, a.article FROM pages JOIN (SELECT page_id, {BODY_SQL} AS article FROM (SELECT page_id, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS html FROM pages)) a USING (page_id))")
+def content_areas(rows):
+    """The text of the first element of a class, and that of the first of a class that no page has or of an element."""
+    return rows.select("page_id", content_area(F.col("html"), (".ad",)).alias("advert"), content_area(F.col("html"), (".entry-content", "article")).alias("article"))
 
 
 @query("pages", "SELECT page_id, trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS said FROM pages")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
+from ..functions.content import content_area
 from ..functions.text import normalize_url, resolve_url, strip_tags
 
 LANDED = "source string, fetched_at timestamp, page_no int, url string, content_type string, body string"
@@ -34,7 +35,7 @@ def _listings(rows: DataFrame, source: str, url: Column, title: Column, descript
 
 def _variants(landed: DataFrame, list_of: Callable[[Column], Column]) -> DataFrame:
     """A row for each element, v, of the list that list_of finds in a page's body."""
-    found = landed.where("content_type <> 'detail'").withColumn("items", list_of(F.try_parse_json("body")))
+    found = landed.where("content_type not in ('detail', 'error')").withColumn("items", list_of(F.try_parse_json("body")))
     return found.select("page_no", F.posexplode("items").alias("pos", "v"))
 
 
@@ -93,10 +94,13 @@ def sportplus(landed: DataFrame) -> DataFrame:
     return _listings(rows, "sportplus", at, title, _filled(F.trim("e.description")), venue, D.parse_long(F.col("e.scheduling.startDateFormatted")), D.parse_long(F.col("e.scheduling.endDateFormatted")))
 
 
+# The places where a page's list may be.
+PEATIX_LISTS = ("$.json_data", "$.json_data.events", "$.json_data.results", "$", "$.events", "$.results")
+
+
 def peatix(landed: DataFrame) -> DataFrame:
     """Events that aren't online, under any of the places where the list may be, with their details' descriptions."""
-    places = ("$.json_data", "$.json_data.events", "$.json_data.results", "$", "$.events", "$.results")
-    rows = _variants(landed, lambda v: F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in places]))
+    rows = _variants(landed, lambda v: F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in PEATIX_LISTS]))
     online = _flag("isOnline") | (F.coalesce(_text("venue_name"), F.lit("")) == "xxxonlineeventxxx") | (F.lower(F.coalesce(_text("thumb_venue"), F.lit(""))) == "online event")
     rows = rows.where(~online).withColumn("at", F.concat(F.lit("https://peatix.com/event/"), _text("id"))).join(_details(landed), "at", "left")
     said = _filled(strip_tags(_text("json_data.event.description", "d")))
@@ -187,7 +191,8 @@ def html_cards(landed: DataFrame, card: tuple, fields: dict[str, tuple]) -> Data
                 out += [(page, k, c["href"], [{"field": f, "text": t.strip()} for f, t in c["texts"]]) for k, c in enumerate(parser.cards)]
             yield pd.DataFrame(out, columns=["page_no", "pos", "href", "texts"])
 
-    return landed.select("page_no", "body").mapInPandas(run, "page_no int, pos int, href string, texts array<struct<field:string,text:string>>")
+    pages = landed.where("content_type not in ('detail', 'error')").select("page_no", "body")
+    return pages.mapInPandas(run, "page_no int, pos int, href string, texts array<struct<field:string,text:string>>")
 
 
 def _field(name: str) -> Column:
@@ -205,8 +210,19 @@ def thekallang(landed: DataFrame) -> DataFrame:
 SCAPE_CATEGORIES = ("media & entertainment", "creative arts", "entrepreneurship & careers", "community", "sports & wellness")
 
 
+# Where the detail pages of two sources have their text.
+SCAPE_AREA = (".entry-content", ".post-content", ".wp-block-group", "article")
+SRT_AREA = ("main", "article", ".content", ".show-content", ".entry-content")
+
+
+def _described(rows: DataFrame, landed: DataFrame, said: Column) -> DataFrame:
+    """Rows with `said`, the text of the detail page of their address `at`, null where none has landed."""
+    details = landed.where("content_type = 'detail'").select(F.col("url").alias("at"), "body").dropDuplicates(["at"])
+    return rows.join(details.select("at", said.alias("said")), "at", "left")
+
+
 def scape(landed: DataFrame) -> DataFrame:
-    """The first paragraph with a year is the date; the last one that is no date, time or category is the venue."""
+    """The first paragraph with a year is the date; the last one that is no date, time or category is the venue. The description is the detail page's."""
     base = "https://www.scape.sg/whats-on/"
     rows = html_cards(landed, ("a", (), base), {"title": ("h3", (), ""), "p": ("p", (), "")})
     rows = rows.where((F.col("href") != base) & ~F.col("href").contains("/page/") & (_field("title") != ""))
@@ -214,15 +230,17 @@ def scape(landed: DataFrame) -> DataFrame:
     dated = F.get(F.filter(lines, lambda p: p.rlike(r"\b\d{4}\b")), 0)
     place = F.filter(lines, lambda p: ~p.rlike(r"\b\d{4}\b") & ~p.rlike(r"^\d{1,2}:\d{2}") & ~F.lower(p).isin(*SCAPE_CATEGORIES) & (F.length(p) > 1))
     when = D.parse_scape(F.trim(F.regexp_replace(dated, r"\s*\|.*$", "")))
-    return _listings(rows, "scape", F.col("href"), _field("title"), F.lit(None).cast("string"), F.coalesce(F.try_element_at(place, F.lit(-1)), F.lit("*SCAPE")), when["start"], when["end"])
+    rows = _described(rows.withColumn("at", F.col("href")), landed, content_area(F.col("body"), SCAPE_AREA, main=True))
+    return _listings(rows, "scape", F.col("at"), _field("title"), F.col("said"), F.coalesce(F.try_element_at(place, F.lit(-1)), F.lit("*SCAPE")), when["start"], when["end"])
 
 
 def srt(landed: DataFrame, today: Column) -> DataFrame:
-    """The first paragraph is the date, and the venue after a bar."""
+    """The first paragraph is the date, and the venue after a bar. The description is the detail page's."""
     rows = html_cards(landed, ("a", (), "/show/"), {"title": ("h4", (), ""), "p": ("p", (), "")}).where(_field("title") != "")
     parts = F.transform(F.split(F.coalesce(_field("p"), F.lit("")), r"\|"), lambda t: F.trim(t))
     when = D.parse_srt(F.get(parts, 0), today)
-    return _listings(rows, "srt", resolve_url(F.col("href"), "https://www.srt.com.sg"), _field("title"), F.lit(None).cast("string"), F.coalesce(_filled(F.get(parts, 1)), F.lit("KC Arts Centre")), when["start"], when["end"])
+    rows = _described(rows.withColumn("at", resolve_url(F.col("href"), "https://www.srt.com.sg")), landed, content_area(F.col("body"), SRT_AREA))
+    return _listings(rows, "srt", F.col("at"), _field("title"), F.col("said"), F.coalesce(_filled(F.get(parts, 1)), F.lit("KC Arts Centre")), when["start"], when["end"])
 
 
 def sitemap_urls(landed: DataFrame) -> DataFrame:
@@ -266,9 +284,36 @@ def all_sources(landed: DataFrame, today: Column) -> DataFrame:
     return out
 
 
+# where a source's listings lie in its pages: the block of data in a page, or places of the list in a JSON body
+_BLOCKS = {"eventbrite": (r"window\.__SERVER_DATA__\s*=\s*(\{[\s\S]*?\});", "server data"), "sportplus": (r"(?is)<script[^>]*id=[\"']wix-warmup-data[\"'][^>]*>(.*?)</script>", "warm-up data")}
+_LISTS = {"esplanade": ("$.Listings",), "peatix": PEATIX_LISTS, "fever": ("$.plans", "$.results"), "tessera": ("$.data",)}
+
+
+def dead_letters(landed: DataFrame) -> DataFrame:
+    """source, page_no, url, content_type and message of every landed body that can't be read; the others are not affected.
+
+    A fetch that failed lands as content_type error, with what happened as its body. Detail pages are told as such:
+    the listings that they belong to stay, without a description.
+    """
+    c = F.col
+    html_detail = c("source").isin("scape", "srt")
+    parsed = F.try_parse_json("body")
+    reason = F.when(c("content_type") == "error", F.coalesce(_filled(c("body")), F.lit("fetch failed"))).when(F.coalesce(F.trim("body"), F.lit("")) == "", "empty body")
+    reason = reason.when((c("content_type") == "detail") & ~html_detail & parsed.isNull(), "detail is no JSON").when(c("content_type") == "detail", None)
+    for name, (pattern, what) in _BLOCKS.items():
+        block = F.regexp_extract("body", pattern, 1)
+        own = c("source") == name
+        reason = reason.when(own & (block == ""), f"no {what}").when(own & F.try_parse_json(block).isNull(), f"{what} is no JSON")
+    for name, places in _LISTS.items():
+        own = c("source") == name
+        listed = F.coalesce(*[F.try_variant_get(parsed, p, "array<variant>") for p in places])
+        reason = reason.when(own & parsed.isNull(), "body is no JSON").when(own & listed.isNull(), "no list of listings")
+    return landed.select("source", "page_no", "url", "content_type", reason.alias("message")).where("message is not null")
+
+
 def source_report(landed: DataFrame, found: DataFrame) -> DataFrame:
-    """source, how many listings it gave, and an error where it landed pages and gave none."""
+    """source, how many listings it gave, and as error the message of its first page that couldn't be read, null if all could. A detail page is no error of its source."""
     pages = landed.groupBy("source").agg(F.count("*").alias("pages"))
     counts = found.groupBy("source").agg(F.count("*").alias("events_found"))
-    n = F.coalesce("events_found", F.lit(0))
-    return pages.join(counts, "source", "left").select("source", n.alias("events_found"), F.when(n == 0, F.lit("no listing could be read")).alias("error"))
+    first = dead_letters(landed).where("content_type <> 'detail'").groupBy("source").agg(F.min(F.struct("page_no", "url", "message")).alias("first"))
+    return pages.join(counts, "source", "left").join(first, "source", "left").select("source", F.coalesce("events_found", F.lit(0)).alias("events_found"), F.col("first.message").alias("error"))

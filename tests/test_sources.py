@@ -84,10 +84,46 @@ def test_bookmyshow_and_run_all(spark):
     both = frame(spark, *pages, site, page("fever", "{broken"))
     found = L.all_sources(both, today)
     assert rows(found) == [("https://b/en/events/1", "B", "x y", "L", d("2026-02-03"), None)]
-    assert {tuple(r) for r in L.source_report(both, found).collect()} == {("bookmyshow", 1, None), ("fever", 0, "no listing could be read")}
+    assert {tuple(r) for r in L.source_report(both, found).collect()} == {("bookmyshow", 1, None), ("fever", 0, "body is no JSON")}
     assert [r["url"] for r in L.unknown_urls(L.sitemap_urls(both), found).collect()] == ["https://b/en/events/9"]
 
 
+def test_content_area(spark):
+    from larkspur.functions.content import content_area
+
+    cases = [
+        ('<div class="a entry-content b"><div>one</div><div>two <b>three</b></div></div><div>after</div>', "onetwo three", "onetwo three"),
+        ('<p>before</p><article>first<div class="entry-content">inner</div></article><div class="entry-content">second</div>', "firstinner", "firstinner"),
+        ('<nav><article>menu</article></nav><main>body <script>if (a < b) {"</main>"}</script>text</main><main> more</main>', "body text more", "body text"),
+        ('<head><title>t</title><style>x</style></head><body>plain&nbsp;&amp; &lt;b&gt;<footer>foot<footer>er</footer></footer></body>', "plain & <b>", "plain & <b>"),
+        ('<div class="entry-content"><div>never closed', "never closed", "never closed"),
+        ('<div class="entry-content"> </div><main>not this</main>', None, None),
+        ('<div class="entry-contents">x</div>' + "y" * 3000, "x" + "y" * 1999, "x" + "y" * 1999),
+        ("<br/><div class=content />a<div class='content'>b</div>", "ab", "ab"),
+        ("", None, None), (None, None, None), ("<b>" * 20_000 + "deep" + "</i>" * 20_000, "deep", "deep"),
+    ]
+    frame = spark.createDataFrame([(k, h) for k, (h, *_) in enumerate(cases)], "k int, html string")
+    got = frame.select("k", content_area(F.col("html"), L.SCAPE_AREA, main=True).alias("a"), content_area(F.col("html"), L.SRT_AREA).alias("b")).orderBy("k").collect()
+    assert [(r["a"], r["b"]) for r in got] == [c[1:] for c in cases]
+
+
+def test_detail_pages_describe_their_listings(spark):
+    link = lambda k: f'<a href="https://www.scape.sg/whats-on/{k}"><h3>{k}</h3><p>6 Mar 2026</p></a>'
+    detail = lambda k, body: page("scape", body, 0, f"https://www.scape.sg/whats-on/{k}", "detail")
+    pages = [page("scape", link("a") + link("b"), 1, kind="text/html"), page("scape", link("c"), 2, kind="text/html"), detail("a", '<div class="post-content">said of a</div><div>no</div>'), detail("c", "<body>said of c"), detail("c", "<body>said of c"), page("scape", "HTTP 500", 3, kind="error")]
+    assert [(r[1], r[2]) for r in rows(L.scape(frame(spark, *pages)))] == [("a", "said of a"), ("b", None), ("c", "said of c")]
+
+
+def test_dead_letters_leave_the_others_alone(spark):
+    good = {"plans": [{"id": 1, "name": "F", "date_from": "2026-03-01"}]}
+    pages = [page("fever", good), page("fever", "{broken", 3), page("fever", {"other": 1}, 2), page("fever", "no json", 0, "https://feverup.com/m/1", "detail"), page("tessera", {"data": []}), page("srt", "<p>nothing</p>", kind="text/html")]
+    landed = frame(spark, *pages)
+    found = L.all_sources(landed, F.lit("2026-02-01").cast("date"))
+    assert {tuple(r) for r in L.source_report(landed, found).collect()} == {("fever", 1, "no list of listings"), ("tessera", 0, None), ("srt", 0, None)}
+    assert {(r["source"], r["page_no"], r["message"]) for r in L.dead_letters(landed).collect()} == {("fever", 2, "no list of listings"), ("fever", 3, "body is no JSON"), ("fever", 0, "detail is no JSON")}
+    assert L.dead_letters(landed.limit(0)).collect() == []
+
+
 def test_tables_round_trip(spark, tmp_path):
     run = spark.createDataFrame([("1", "src0", 3, None, NOW)], tables.DDL["scraper_runs"])
     for _ in range(2):
