@@ -658,4 +658,4 @@ def pipeline_report(rows, runs):
     return telemetry.pipeline_report(telemetry.cycle_stats(runs), counts)
 
 
-from . import source_queries  # noqa: E402, F401  (registers its queries here)
+from . import source_queries, stream_queries  # noqa: E402, F401  (they register their queries here)

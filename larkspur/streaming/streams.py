@@ -7,25 +7,40 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.store import upsert_listings
+from .buckets import Buckets
 
 
-def ingest(raw: DataFrame, root: str, empty: DataFrame, checkpoint: str, now: Callable[[int], Column] = lambda _: F.current_timestamp()) -> StreamingQuery:
-    """Upserts each batch of raw listings into root; version n is what batch n left. A batch that is run again writes its version again. now: the time that a batch's rows get."""
+def ingest(raw: DataFrame, table: Buckets, checkpoint: str, now: Callable[[int], Column] = lambda _: F.current_timestamp()) -> StreamingQuery:
+    """Upserts each batch of raw listings into the buckets of table that it touches; a batch that is run again changes nothing. now: the time that a batch's rows get."""
 
     def put(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        current = spark.read.schema(empty.schema).parquet(f"{root}/version={number - 1}") if number else empty
-        upsert_listings(current, batch, now(number)).drop("inserted").write.mode("overwrite").parquet(f"{root}/version={number}")
+        batch = batch.persist()  # told by its buckets, then read
+        try:
+            table.change(number, batch, lambda current, rows: upsert_listings(current, rows, now(number)).drop("inserted"))
+        finally:
+            batch.unpersist()
 
     return raw.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(spark: SparkSession, root: str, empty: DataFrame, query: StreamingQuery) -> DataFrame:
-    """The version after the last batch of a query."""
-    last = query.lastProgress
-    return spark.read.schema(empty.schema).parquet(f"{root}/version={last['batchId']}") if last else empty
+def kept_updates(updates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes what each batch of an aggregate in update mode says, under the batch's number; a batch that is run again writes the same again."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/{number:09d}")
+
+    return updates.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_updates(spark: SparkSession, path: str, schema: StructType, keys: list[str]) -> DataFrame:
+    """What was said last of each key."""
+    rows = spark.read.schema(schema.add("batch", "long")).parquet(f"{path}/*")
+    others = [f.name for f in schema if f.name not in (*keys, "batch")]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return last.select(*keys, *[F.col(f"r.{c}").alias(c) for c in others])
 
 
 def first_seen(raw: DataFrame, late: str = "1 day") -> DataFrame:

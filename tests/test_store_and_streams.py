@@ -1,10 +1,12 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from larkspur.operators import digest, scoring, store, telemetry
 from larkspur.sources import tables
 from larkspur.streaming import streams
+from larkspur.streaming.buckets import Buckets
 
 NOW = dt.datetime(2026, 2, 1)
 RAW = "source string, source_url string, raw_title string, raw_description string, venue string, event_date_start date, event_date_end date, seq long"
@@ -99,15 +101,40 @@ def test_digest_promotion_and_intro(spark):
 
 def test_stream_equals_batch(spark, tmp_path):
     schema = spark.createDataFrame([], RAW).schema
-    batches = [[raw("a", "A", "x", 1), raw("b", "B", None, 2)], [raw("a", "A2", None, 3), raw("c", "C", "y", 4)]]
-    want, query = empty(spark), None
+    batches = [[raw("a", "A", "x", 1), raw("b", "B", None, 2)], [raw("a", "A2", None, 3), raw("c", "C", "y", 4)], []]
+    want = empty(spark)
+    table = Buckets(spark, str(tmp_path / "out"), empty(spark).schema, "source_url").create(8)
+    time = lambda n: F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(n))
+    files = {}
     for k, rows in enumerate(batches):
         spark.createDataFrame(rows, RAW).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        query = streams.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), empty(spark), str(tmp_path / "ckpt"), lambda n: F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(n)))
-        query.awaitTermination()
-        want = store.upsert_listings(want, spark.createDataFrame(rows, RAW), F.lit(dt.datetime(1970, 1, 1) + dt.timedelta(k))).drop("inserted")
-    got = streams.latest(spark, str(tmp_path / "out"), empty(spark), query)
-    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 3
+        streams.ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), table, str(tmp_path / "ckpt"), time).awaitTermination()
+        want = store.upsert_listings(want, spark.createDataFrame(rows, RAW), time(k)).drop("inserted")
+        assert sorted(map(str, table.read().collect())) == sorted(map(str, want.collect()))
+        files[k] = {str(f) for f in (tmp_path / "out" / "data").rglob("*.parquet")}
+    assert want.count() == 3 and files[0] < files[1] and files[2] == files[1]
+    # the second batch has two addresses, and so two buckets of eight at most; none of the first one's files were touched
+    assert len({f.split("bucket=")[1].split("/")[0] for f in files[1] - files[0]}) <= 2
+    # a batch that comes again is no work, and what was replaced can be swept
+    assert not table.change(1, spark.createDataFrame(batches[0], RAW), lambda *_: 1 / 0)
+    before = sorted(map(str, table.read().collect()))
+    assert table.sweep() >= 1 and sorted(map(str, table.read().collect())) == before and table.size() == 8
+    assert len({str(f) for f in (tmp_path / "out" / "data").rglob("*.parquet")}) < len(files[2])
+
+
+def test_a_batch_that_failed_is_written_anew(spark, tmp_path):
+    table = Buckets(spark, str(tmp_path), empty(spark).schema, "source_url").create(4)
+    rows = spark.createDataFrame([raw(u, u, "x", 1) for u in "abcdefgh"], RAW)
+    up = lambda current, batch: store.upsert_listings(current, batch, F.lit(NOW)).drop("inserted")
+    table.change(0, rows, up)
+    commit, table._commit = table._commit, lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        table.change(1, rows.withColumn("raw_title", F.lit("half done")), up)
+    assert {r["raw_title"] for r in table.read().collect()} == set("abcdefgh")
+    table._commit = commit
+    assert table.change(1, rows.where("source_url < 'c'").withColumn("raw_title", F.lit("new")), up)
+    assert sorted(r["raw_title"] for r in table.read().collect()) == [*"cdefgh", "new", "new"]
+    assert Buckets(spark, str(tmp_path), empty(spark).schema, "source_url").create(99).size() == 4
 
 
 def test_stream_health(spark, tmp_path):
