@@ -4,12 +4,17 @@ Each page is read once into its blocks of text and the hashes of the element
 subtrees around them; a subtree's hash is made of its own text and the hashes of
 the subtrees in it. Spark counts the hashes by host over distinct main texts; a
 subtree that is, with a confidence of 99.9 %, on at least `share` of a host's texts
-belongs to the site and goes with all it holds, whatever it is called. Menus,
-headers, footers, asides, forms, adverts, notices and comments are also known by
-element, role or class. A class counts only if all of its words are known ones,
-so that "cookie-notice" does, and "no-sidebar" or "related-work" don't.
-
-The main text is that of the article elements, else of main, else of the body.
+belongs to the site and goes with all it holds, whatever it is called. Of what
+lies in an article or in main nothing goes in that way, however often a heading or
+a closing paragraph recurs; but an article as a whole, as a teaser is one, does if
+the page has other text. Menus, headers, footers, asides, forms, adverts, notices and comments
+are also known by element, role or class. A class counts only if all of its words
+are known ones, so that "cookie-notice" does, and "no-sidebar" or "related-work"
+don't; paragraphs, headings, lists' items and the like in an article are text
+whatever their class, and its parts may be called header or related.
+
+The main text is that of the article elements, or that of main if more of its
+text lies outside of them than in all articles, else of main, else of the body.
 A block ends where a block element starts or ends; white space in a block is one
 space, and blocks are joined by line feeds in page order.
 
@@ -18,10 +23,10 @@ characters, are the same: reposts of an article with another advert, menu, title
 or remark count once, so that the article doesn't look like a template.
 
 Nulls: a null html gives an empty text, a null url is a host of its own.
-Unclosed elements end with what holds them, and cost memory in proportion to the
-page, however deep they nest. Very long pages are read whole. Repeated rows give
-repeated rows. An empty table gives no rows. Columns other than page_id, url and
-html are not read.
+Unclosed elements end with what holds them; time and memory are in proportion to
+the page, however deep they nest. Very long pages are read whole. Repeated rows
+give repeated rows. An empty table gives no rows. Columns other than page_id, url
+and html are not read.
 """
 
 from __future__ import annotations
@@ -52,37 +57,82 @@ _BESIDE = frozenset("area articles bar block bottom box button buttons container
 _RAW_ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in _RAW}
 _WORDS = re.compile(r"[^a-z0-9]+")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: In an article these are text whatever their class says, and these words of a class say nothing.
+_TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre table tr td th figure figcaption".split())
+_IN_ARTICLE = frozenset("header footer related banner teaser notice notices copyright disclaimer respond".split())
 _WALLS = frozenset("html body article main section div table td th ul ol dl blockquote figure aside nav header footer form details".split())
 
 
-def _unwanted(tag: str, raw: str) -> bool:
+def _unwanted(tag: str, raw: str, in_article: bool) -> bool:
     if tag in _DROPPED:
         return True
+    known = _CLASSES - _IN_ARTICLE if in_article else _CLASSES
     if not raw or "=" not in raw and "hidden" not in raw:
         return False
     for name, *values in _ATTRIBUTE.findall(raw):
         name, value = name.lower(), "".join(values).lower()
-        if name in ("class", "id") and tag not in ("html", "body"):
+        if name in ("class", "id") and tag not in ("html", "body") and not (in_article and tag in _TEXT):
             for said in value.split():
                 words = [w for w in _WORDS.split(said) if w and not w.isdigit()]
-                if not _CLASSES.isdisjoint(words) and all(w in _CLASSES or w in _BESIDE for w in words):
+                if not known.isdisjoint(words) and all(w in known or w in _BESIDE for w in words):
                     return True
         elif name == "role" and value in _ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
             return True
     return False
 
 
-def read_page(html: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
-    """The blocks of the main text in page order, each with the number of the element it lies in; of each element the number of the one around it, -1 if none, and its subtree's hash."""
+class _Open:
+    """The open elements: tag, whether it starts unwanted content, its number, its hash so far. Where the last of a kind is, is known without a search."""
+
+    def __init__(self) -> None:
+        self.stack: list[list] = []
+        self.by_tag: dict[str, list[int]] = {}
+        self.walls: list[int] = []
+        self.cells: list[int] = []  # those walls that are cells of a table
+        self.blocks: list[int] = []
+
+    def push(self, element: list) -> None:
+        tag, depth = element[0], len(self.stack)
+        self.stack.append(element)
+        self.by_tag.setdefault(tag, []).append(depth)
+        if tag in ("td", "th"):
+            self.cells.append(depth)
+        elif tag in _WALLS:
+            self.walls.append(depth)
+        if tag not in _INLINE:
+            self.blocks.append(depth)
+
+    def pop(self) -> list:
+        element = self.stack.pop()
+        depth = len(self.stack)
+        self.by_tag[element[0]].pop()
+        for kept in (self.walls, self.cells, self.blocks):
+            if kept and kept[-1] == depth:
+                kept.pop()
+        return element
+
+    def last(self, *tags: str) -> int:
+        return max((self.by_tag[t][-1] for t in tags if self.by_tag.get(t)), default=-1)
+
+    def wall(self, cells: bool = True) -> int:
+        """The last element that an end or a start of an element in it doesn't reach past."""
+        return max(self.walls[-1] if self.walls else -1, self.cells[-1] if cells and self.cells else -1)
+
+
+def read_page(html: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]]]:
+    """The blocks of the main text in page order, each with the number of the element it lies in and that of the outermost
+    article, else main, around it, -1 if none; of each element the number of the one around it, -1 if none, and its subtree's hash."""
     import xxhash
 
-    # open elements: tag, whether it starts unwanted content, its number, its hash so far
-    stack: list[list] = []
+    open_ = _Open()
+    stack = open_.stack
     around: list[int] = []
     hashes: list[int] = []
-    blocks: list[tuple[str, int, int]] = []
+    blocks: list[tuple[str, int, int, bool, bool]] = []
     text: list[str] = []
+    held: list[list[str]] = []
     dropped = articles = mains = 0
+    article = main_at = -1
 
     def flush() -> None:
         if text:
@@ -91,21 +141,24 @@ def read_page(html: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
             if said and stack:
                 stack[-1][3].update(said.encode("utf-8", "surrogatepass"))
             if said and not dropped:
-                blocks.append((said, 2 if articles else 1 if mains else 0, stack[-1][2] if stack else -1))
-
-    def pop() -> None:
-        nonlocal dropped, articles, mains
-        tag, bad, number, own = stack.pop()
-        hashes[number] = own.intdigest() - (1 << 63)
-        if stack:
-            stack[-1][3].update(own.digest())
-        dropped -= bad
-        articles -= tag == "article"
-        mains -= tag == "main"
+                blocks.append((said, stack[-1][2] if stack else -1, article if articles else main_at, articles > 0, mains > 0))
 
     def close_to(depth: int) -> None:
+        nonlocal dropped, articles, mains, main_at
         while len(stack) > depth:
-            pop()
+            if stack[-1][0] not in _INLINE or stack[-1][1]:
+                flush()
+            tag, bad, number, own = open_.pop()
+            if bad and tag in _INLINE:
+                text[:] = held.pop()
+            hashes[number] = own.intdigest() - (1 << 63)
+            if stack:
+                stack[-1][3].update(own.digest())
+            dropped -= bad
+            articles -= tag == "article"
+            mains -= tag == "main"
+            if not mains:
+                main_at = -1
 
     at, n = 0, len(html)
     while at < n:
@@ -122,50 +175,51 @@ def read_page(html: str) -> tuple[list[tuple[str, int]], list[tuple[int, int]]]:
         if m[1]:
             if tag not in _INLINE:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    if tag not in _INLINE or not any(e[0] not in _INLINE for e in stack[depth:]):
-                        close_to(depth)
-                    break
-                if stack[depth][0] in _WALLS and tag not in _WALLS:
-                    break
+            depth = open_.last(tag)
+            if depth < 0 or tag not in _WALLS and open_.wall() > depth:
+                continue
+            if tag not in _INLINE or not open_.blocks or open_.blocks[-1] < depth:
+                close_to(depth)
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag not in _INLINE:
             flush()
-            ends = _CLOSES.get(tag, set()) | {"p"}
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ends:
-                    close_to(depth)
-                    break
-                if stack[depth][0] in _WALLS and not (stack[depth][0] in ("td", "th") and tag in ("tr", "td", "th")):
-                    break
+            depth = open_.last("p", *_CLOSES.get(tag, ()))
+            if depth >= 0 and depth >= open_.wall(cells=tag not in ("tr", "td", "th")):
+                close_to(depth)
         if tag in _VOID or m[3].endswith("/") and tag == "svg":
             continue
         if tag in _RAW:
             end = _RAW_ENDS[tag].search(html, at)
             at = end.end() if end else n
             continue
-        bad = _unwanted(tag, m[3])
-        if bad:
+        bad = _unwanted(tag, m[3], articles > 0)
+        if bad and tag in _INLINE:
+            # it parts no block: what was said before it goes on after it
+            held.append(text[:])
+            text.clear()
+        elif bad:
             flush()
         around.append(stack[-1][2] if stack else -1)
         hashes.append(0)
-        stack.append([tag, bad, len(around) - 1, xxhash.xxh3_64(m[0].encode("utf-8", "surrogatepass"))])
+        open_.push([tag, bad, len(around) - 1, xxhash.xxh3_64(m[0].encode("utf-8", "surrogatepass"))])
         dropped += bad
+        if tag == "article" and not articles:
+            article = len(around) - 1
+        if tag == "main" and not mains:
+            main_at = len(around) - 1
         articles += tag == "article"
         mains += tag == "main"
-        if bad and tag in _INLINE:
-            # an unwanted inline element ends at its own end tag
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            at = end.end() if end else at
-            pop()
     flush()
     close_to(0)
-    level = max((b[1] for b in blocks), default=0)
-    return [(said, e) for said, own, e in blocks if own == level], list(zip(around, hashes, strict=True))
+    flush()
+    size = lambda some: sum(len(b[0]) for b in some)
+    inside, main = [b for b in blocks if b[3]], [b for b in blocks if b[4]]
+    # an article that is less than what main has around it is not the main text
+    chosen = main if size([b for b in main if not b[3]]) > size(inside) else inside or main or blocks
+    return [b[:3] for b in chosen], list(zip(around, hashes, strict=True))
 
 
 def host_of(url: str | None) -> str:
@@ -173,7 +227,7 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-PARSED = "page_id long, url string, host string, main long, blocks array<struct<text:string,at:int>>, elements array<struct<around:int,subtree:bigint>>"
+PARSED = "page_id long, url string, host string, main long, blocks array<struct<text:string,at:int,article:int>>, elements array<struct<around:int,subtree:bigint>>"
 
 
 def longest_blocks(texts: list[str]) -> list[str]:
@@ -192,18 +246,18 @@ def _parsed(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        block = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32())]))
+        block = pa.list_(pa.struct([("text", pa.string()), ("at", pa.int32()), ("article", pa.int32())]))
         element = pa.list_(pa.struct([("around", pa.int32()), ("subtree", pa.int64())]))
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
                 urls = some.column("url").to_pylist()
                 read = [read_page(h or "") for h in some.column("html").to_pylist()]
-                mains = [xxhash.xxh3_64_intdigest("\n".join(longest_blocks([t for t, _ in blocks])).encode("utf-8", "surrogatepass")) - (1 << 63) for blocks, _ in read]
+                mains = [xxhash.xxh3_64_intdigest("\n".join(longest_blocks([b[0] for b in blocks])).encode("utf-8", "surrogatepass")) - (1 << 63) for blocks, _ in read]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "page_id": some.column("page_id"), "url": some.column("url"), "host": [host_of(u) for u in urls], "main": pa.array(mains, pa.int64()),
-                        "blocks": pa.array([[{"text": t, "at": e} for t, e in blocks] for blocks, _ in read], block), "elements": pa.array([[{"around": a, "subtree": h} for a, h in elements] for _, elements in read], element),
+                        "blocks": pa.array([[{"text": t, "at": e, "article": a} for t, e, a in blocks] for blocks, _ in read], block), "elements": pa.array([[{"around": a, "subtree": h} for a, h in elements] for _, elements in read], element),
                     }
                 )
 
@@ -231,7 +285,10 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lost, without = [], frozenset(gone or ())
             for e in elements:  # an element comes after the one around it
                 lost.append(e["subtree"] in without or e["around"] >= 0 and lost[e["around"]])
-            out.append("\n".join(b["text"] for b in blocks if b["at"] < 0 or not lost[b["at"]]))
+            # an article goes as a whole, and only if others stay
+            some = any(b["article"] >= 0 and not lost[b["article"]] for b in blocks)
+            gone_of = lambda b, some=some, lost=lost: (some and lost[b["article"]]) if b["article"] >= 0 else b["at"] >= 0 and lost[b["at"]]
+            out.append("\n".join(b["text"] for b in blocks if not gone_of(b)))
         yield pa.RecordBatch.from_pydict({"page_id": batch.column("page_id"), "url": batch.column("url"), "text": out, "n_chars": pa.array([len(t) for t in out], pa.int64())})
 
 

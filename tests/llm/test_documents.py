@@ -73,8 +73,8 @@ def test_html_extraction(spark):
     rows += [(20, "https://b.example/", "<body><p>plain</p>tail<div>x &lt; y</div>"), (21, None, None), (22, "u", ""), (23, "https://b.example/", "<p>no end <i>it</i>alic"), (3, rows[3][1], rows[3][2])]
     got = main_text(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' as host"))
     text = {r["page_id"]: r["text"] for r in got.collect()}
-    # every page of the host has the box, the heading and the first paragraphs, and only what differs is its own
-    assert all(text[i] == f"own {i}" for i in range(12))
+    # what every article of the host has, as a heading or a box, stays in it
+    assert all(text[i] == f"Head & line\nFollow us\nOne two three\nFour é five\na\nb\nown {i}" for i in range(12))
     assert text[20] == "plain\ntail\nx < y" and text[21] == text[22] == "" and text[23] == "no end italic"
     alone = main_text(spark.createDataFrame(rows[:3], "page_id long, url string, html string")).where("page_id = 1").first()
     assert alone["text"] == "Head & line\nFollow us\nOne two three\nFour é five\na\nb\nown 1" and alone["n_chars"] == len(alone["text"])
@@ -95,7 +95,7 @@ def test_html_reposts_keep_their_text(spark):
     body = "\n".join(f"Paragraph {i} tells at some length what happened at the old mill." for i in range(5))
     for i in range(14):
         assert text[i] == f"The mill on the river\n{body}" and text[100 + i] == f"Edition {i}\n{body}" and text[200 + i] == f"promoted {i}\nThe mill on the river\n{body}"
-    assert all(text[1000 + i] == f"Something else on day {i} that only this page says." for i in range(12))
+    assert all(text[1000 + i] == f"Follow us everywhere\nSomething else on day {i} that only this page says." for i in range(12))
 
 
 def test_leaks(spark):
@@ -264,6 +264,31 @@ def test_kth_largest(spark):
     assert [kth_largest(rows, "v", k, most=3) for k in (1, 2, 3, 4, 6, 7)] == [9.0, 5.0, 3.0, 1.0, 1.0, -4.0]
 
 
+def test_html_articles_keep_what_recurs(spark):
+    post = "<body><div class='x1'><span>Home</span><span>Shop</span></div><article><h2>Background</h2><p>Of %d it is said that nobody else knows.</p><h2>Conclusion</h2><p>We thank all who read this far.</p></article></body>"
+    teased = "<body><article><h1>News %d</h1><p>What happened on day %d and was told nowhere else.</p></article><article><p>Read our best of the year</p></article></body>"
+    main = "<body><main><p>The real body of page %d, which is longer than what a teaser says of it.</p><p>And more.</p><article>Next: page</article></main></body>"
+    inline = '<article><p>Before <span class="ad"><span>buy</span> now now</span>after %d.</p><p class="related">Related work is text.</p><div class="header">As is this.</div><b class="advert">gone</b></article>'
+    rows = [(100 * k + i, f"https://{'abcd'[k]}.example/{i}", h % ((i,) * h.count("%d"))) for k, h in enumerate((post, teased, main, inline)) for i in range(12)]
+    text = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert text[i] == f"Background\nOf {i} it is said that nobody else knows.\nConclusion\nWe thank all who read this far."
+        assert text[100 + i] == f"News {i}\nWhat happened on day {i} and was told nowhere else."
+        assert text[200 + i] == f"The real body of page {i}, which is longer than what a teaser says of it.\nAnd more."
+        assert text[300 + i] == f"Before after {i}.\nRelated work is text.\nAs is this."
+
+
+def test_html_reading_takes_time_in_proportion(spark):
+    from time import process_time
+
+    from larkspur.llm.extract import read_page
+
+    for page in ("<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 100_000 + "</i>" * 100_000, "<td>" * 50_000 + "<tr>" * 50_000, "<ul>" + "<span>" * 100_000 + "<li>" * 50_000):
+        began = process_time()
+        read_page(page)
+        assert process_time() - began < 10
+
+
 def test_html_templates_and_class_words(spark):
     kept = '<article class="post no-sidebar"><p>Body %d of a long enough kind.</p></article>'
     work = '<body><div class="related-work"><p>Earlier work %d</p></div><div class="related-posts">more</div><div class="post-comments"><p>first!</p></div></body>'
