@@ -8,12 +8,14 @@ pieces are dissolved together with its loose ones, and what that displaces is
 placed by best fit, or, in half of the children, by the set of displaced pieces
 that fits best next to each large one. A block's evolution ends where its bins
 are as few as its tokens allow. Between epochs each island's best packing
-migrates to the next island of the block. Pieces of bins that stay badly filled
-meet again in a second round.
+migrates to the next island of the block. At an island's end loose bins and a few
+others are dissolved and dealt anew as long as it does no harm, which gathers the
+free room in few bins. Pieces of bins that aren't full meet again in further rounds.
 
 Nulls: a null text counts as empty (its end id alone). A null doc_id is kept.
 Repeated rows are packed as often as they occur, each in a block of its own
-drawing. Very long texts become as many pieces as they need. An empty table
+drawing; which of several equal ones lies where is the only thing that may differ
+between runs or partitionings. Pieces of equal length go in order of their numbers. Very long texts become as many pieces as they need. An empty table
 gives no rows. Columns other than doc_id and text are not read.
 """
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import saved, small_batches
 from .encode import encoder
+from .ranges import numbered
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -146,8 +149,38 @@ def cross(mother: Bins, father: Bins, sizes: list[int], rng: random.Random) -> B
     return child.best_sets(displaced, sizes, rng) if rng.random() < 0.5 else child.best_fits(displaced, sizes)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int) -> Bins:
-    """The best packing of an island's run. It ends early at the least number of bins that the sizes allow."""
+def settled(packing: Bins, sizes: list[int], rng: random.Random, steps: int, least: int) -> Bins:
+    """packing after mutations that it doesn't suffer from: a few bins, loose ones above all, are dissolved and dealt anew
+    by best sets, which stays if they are fewer then, or as many and no less uneven. So free room gathers in few bins, until
+    one of them is left out."""
+    capacity, bins, fills = packing.capacity, [list(b) for b in packing.bins], list(packing.fills)
+    count, loose = len(bins), []
+    for step in range(steps):
+        if count <= least:
+            break
+        if step % 32 == 0:
+            loose = [k for k, f in enumerate(fills) if f < capacity]
+        if len(loose) < 2:
+            break
+        drawn = {min(rng.sample(loose, min(len(loose), 12)), key=fills.__getitem__), *rng.sample(loose, min(len(loose), rng.randint(2, 6))), *rng.sample(range(len(bins)), min(len(bins), rng.randint(0, 3)))}
+        drawn = [k for k in sorted(drawn) if bins[k]]
+        items = [i for k in drawn for i in bins[k]]
+        rng.shuffle(items)
+        new = Bins(capacity).best_sets(items, sizes, rng)
+        if (len(drawn) - len(new.bins), sum(f * f for f in new.fills)) >= (0, sum(fills[k] ** 2 for k in drawn)):
+            count -= len(drawn) - len(new.bins)
+            for j, k in enumerate(drawn):
+                # a bin that is no more counts as full
+                bins[k], fills[k] = (new.bins[j], new.fills[j]) if j < len(new.bins) else ([], capacity)
+    out = Bins(capacity)
+    for items, fill in zip(bins, fills, strict=True):
+        if items:
+            out.add(items, fill)
+    return out
+
+
+def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], population: int, generations: int, steps: int = 0) -> Bins:
+    """The best packing of an island's run, settled at its end by so many steps. It ends early at the least number of bins that the sizes allow."""
     rng, least = random.Random(seed), -(-sum(sizes) // capacity)
     everything = list(range(len(sizes)))
     herd = [(b.fitness(), b) for b in start]
@@ -170,7 +203,8 @@ def evolve(sizes: list[int], capacity: int, seed: int, start: list[Bins], popula
         fit = child.fitness()
         if fit > herd[-1][0] and all(fit != x[0] for x in herd):
             herd[-1] = (fit, child)
-    return max(herd, key=lambda x: x[0])[1]
+    best = max(herd, key=lambda x: x[0])[1]
+    return best if len(best.bins) <= least else settled(best, sizes, rng, steps, least)
 
 
 def _numbered(packing: Bins, n: int) -> np.ndarray:
@@ -188,7 +222,7 @@ def _packing(numbers: np.ndarray, sizes: list[int], capacity: int) -> Bins:
     return out
 
 
-def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epochs: int, population: int, generations: int, salt: int) -> DataFrame:
+def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epochs: int, population: int, generations: int, steps: int, salt: int) -> DataFrame:
     """Every item with how full its bin is, its place there, and the bin's number, the smallest of its items' ones."""
     n = items.count()
     blocks = max(1, -(-n // block_size))
@@ -202,7 +236,7 @@ def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epoch
             start = [] if came is None else [_packing(np.frombuffer(b, np.int32), sizes, capacity) for b in came["bins"]]
             if not sizes:
                 return pd.DataFrame({"block": [], "island": [], "score": [], "filled": [], "bins": []})
-            best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), number, salt)) & 0xFFFFFFFF, start, population, generations)
+            best = evolve(sizes, capacity, hash((int(key[0]), int(key[1]), number, salt)) & 0xFFFFFFFF, start, population, generations, steps if number + 1 == epochs else 0)
             score, filled = best.fitness()
             to = [int(key[1])] if epochs == number + 1 or islands == 1 else [int(key[1]), (int(key[1]) + 1) % islands]
             return pd.DataFrame({"block": int(key[0]), "island": to, "score": score, "filled": filled, "bins": [_numbered(best, len(sizes)).tobytes()] * len(to)})
@@ -225,18 +259,34 @@ def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epoch
     return items.groupBy("block").cogroup(elite.groupBy("block")).applyInPandas(place, f"no long, {PIECES}, sequence_id long, offset long, fill long")
 
 
-def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 8, generations: int = 40, loose: float = 0.97) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 8, generations: int = 40, steps: int = 8000, rounds: int = 6) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
-    Sequences filled below `loose` of the capacity are dissolved after the first round and packed again together.
+    Islands settle their packings, in `steps`, from the second round on. After a round the sequences that aren't full, and a fifth of those that are, are dissolved, and their pieces meet in new blocks. That ends when a round
+    saves no sequence, when there are as few as the tokens allow, or after `rounds` of them.
     """
     small_batches(documents.sparkSession)
-    # each piece has a number of its own, and a sequence that of its first piece
-    cut = saved(pieces(documents, vocabulary, end_id, capacity).withColumn("no", F.monotonically_increasing_id()), "pieces")
     out = [x.split(" ")[0] for x in PIECES.split(", ")]
+    # each piece has a number of its own, whatever the partitions, and a sequence that of its first piece
+    order = [F.col(c) for c in out]
+    cut = numbered(pieces(documents, vocabulary, end_id, capacity), *order, name="no")
     whole = cut.where(F.col("length") == capacity).select(*out, F.col("no").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    again = (capacity, block_size, islands, epochs, population, generations)
-    first = saved(_round(cut.where(F.col("length") < capacity), *again, 1), "packed")
-    tight = F.col("fill") >= int(loose * capacity)
-    second = _round(first.where(~tight).select("no", *out), *again, 2)
-    return first.where(tight).select(*whole.columns).unionByName(second.select(*whole.columns)).unionByName(whole)
+    now = saved(_round(cut.where(F.col("length") < capacity), capacity, block_size, islands, epochs, population, generations, 0, 1), "packed")
+    done: list[DataFrame] = []
+    for salt in range(2, rounds + 1):
+        # a part of the full ones is dealt anew as well, for the sake of their pieces
+        stays = (F.col("fill") == capacity) & (F.pmod(F.xxhash64("sequence_id", F.lit(salt)), F.lit(5)) > 0)
+        done.append(now.where(stays))
+        left = now.where(~stays)
+        tokens, before = left.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("sequence_id")).first()
+        if before <= -(-tokens // capacity):
+            now = left
+            break
+        again = saved(_round(left.select("no", *out), capacity, block_size, islands, epochs, population, generations, steps, salt), "packed")
+        after = again.agg(F.count_distinct("sequence_id")).first()[0]
+        now = again if after <= before else left
+        if after >= before:
+            break
+    for part in (now, *done):
+        whole = whole.unionByName(part.select(*whole.columns))
+    return whole
