@@ -7,12 +7,12 @@ whose words and dates are the same are one row until the exact test is done.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_title, normalize_venue
-from .graph import checkpointed, labels
+from .graph import written
+from .ordered import best_before, numbered
 
 
 def _subset(a: Column, b: Column) -> Column:
@@ -112,69 +112,56 @@ def sweep(rows: list[tuple], links: set[tuple[str, str]]) -> list[tuple[str, str
     return out
 
 
-def _marked(edges: DataFrame, gathered: int) -> DataFrame:
-    """Ids that the greedy pass marks, of edges (a, b, b_start) in which a, if unmarked, marks the later b.
+def _marked(edges: DataFrame) -> DataFrame:
+    """Ids that the greedy pass marks, of edges (a, b) in which a, if unmarked, marks the later b.
 
-    A row that no undecided row may mark stays, and what it marks is decided with it. Rounds are written, until the
-    edges that are left are few enough for one task, which goes through them in order.
+    A row that no undecided row may mark stays, and what it marks is decided with it. So the rounds go on, each written,
+    until no edge is left: as many as the longest chain of rows that wait for each other.
     """
-    marked = None
-    edges = checkpointed(edges)
-    while edges.count() > gathered:
-        stays = edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        lost = checkpointed(edges.join(stays, "a").select("b").distinct())
-        marked = lost if marked is None else marked.union(lost)
-        edges = checkpointed(edges.join(lost, "b", "left_anti").join(lost.toDF("a"), "a", "left_anti"))
-
-    def run(batches):
-        rows = pd.concat([pd.DataFrame(columns=["a", "b", "b_start"]), *batches])
-        gone: set[str] = set()
-        for _, b, a in sorted(zip(rows["b_start"], rows["b"], rows["a"], strict=True)):
-            if a not in gone:
-                gone.add(b)
-        yield pd.DataFrame({"b": sorted(gone)}, dtype=object)
-
-    rest = edges.select("a", "b", "b_start").coalesce(1).mapInPandas(run, "b string")
-    return checkpointed(rest if marked is None else marked.union(rest))
-
-
-def phase_two(pending: DataFrame, most: int | None = None, gathered: int = 200_000) -> DataFrame:
+    edges = written(edges)
+    marked = edges.select("b").limit(0)
+    while not edges.isEmpty():
+        stays = written(edges.select("a").distinct().join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_anti"))
+        lost = written(edges.join(stays, "a", "left_semi").select("b").distinct())
+        marked = marked.union(lost)
+        edges = written(edges.join(lost, "b", "left_anti").join(lost.toDF("a"), "a", "left_anti"))
+    return marked
+
+
+def phase_two(pending: DataFrame) -> DataFrame:
     """duplicate_id, canonical_id and seq among unprocessed rows: the greedy pass.
 
     Rows of one shape match each other, so that only a row that is worth more than all earlier ones of its shape may
-    find itself unmarked when its turn comes; these rows are settled by _marked, and the pairs follow. seq is the
-    order of the pairs within a component; an id may occur more than once, and its last pair counts. Only if a caller
-    gives `most`, components of more rows are left out and reported with a null duplicate_id.
+    find itself unmarked when its turn comes; these rows are settled by _marked, and the pairs follow. seq is the order
+    in which the pass comes to the pairs; an id may occur more than once, and its last pair counts.
     """
     worth = F.struct(F.length(F.coalesce("raw_description", F.lit(""))).alias("n"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("at"))
-    rows = checkpointed(_with_shape(pending).select("h", F.struct(F.col("event_date_start").alias("start"), "id").alias("r"), worth.alias("k")))
-    shapes = rows.groupBy("h").agg(F.min("r").alias("first"), F.max("r").alias("last"), F.count("*").alias("size"))
+    rows = written(_with_shape(pending).select("h", F.struct(F.col("event_date_start").alias("start"), "id").alias("r"), worth.alias("k")))
+    shapes = rows.groupBy("h").agg(F.min("r").alias("first"), F.max("r").alias("last"))
     pairs = matching_shapes(pending, pending).join(shapes.select(F.col("h").alias("a"), "first"), "a").join(shapes.select(F.col("h").alias("b"), "last"), "b")
-    pairs = checkpointed(pairs.where(F.col("first") < F.col("last")).select("a", "b"))
+    pairs = written(pairs.where(F.col("first") < F.col("last")).select("a", "b"))
     of = lambda df, x: df.select(F.col("h").alias(x), F.col("r").alias(f"r{x}"), F.col("k").alias(f"k{x}"))
 
-    before = Window.partitionBy("h").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    turns = checkpointed(rows.withColumn("best", F.max("k").over(before)).where(F.col("best").isNull() | (F.col("best") < F.col("k"))).drop("best"))
+    turns = written(best_before(rows, "h", "r", "k", "best").where(F.col("best").isNull() | (F.col("best") < F.col("k"))).drop("best"))
     links = pairs.join(of(turns, "a"), "a").join(of(turns, "b"), "b").where(F.col("ra") < F.col("rb"))
-    marked = _marked(links.where(F.col("ka") >= F.col("kb")).select(F.col("ra.id").alias("a"), F.col("rb.id").alias("b"), F.col("rb.start").alias("b_start")), gathered)
+    marked = _marked(links.where(F.col("ka") >= F.col("kb")).select(F.col("ra.id").alias("a"), F.col("rb.id").alias("b")))
     unmarked = turns.join(marked, turns["r"]["id"] == marked["b"], "left_anti")
 
     met = pairs.join(of(unmarked, "a"), "a").join(of(rows, "b"), "b").where(F.col("ra") < F.col("rb")).withColumn("keep_a", F.col("ka") >= F.col("kb"))
-    met = checkpointed(met.select(F.col("a").alias("h"), "ra", "rb", "keep_a"))
+    met = written(met.select("ra", "rb", "keep_a"))
     # a row is met no more once it is marked
     ends = met.where("keep_a").groupBy("rb").agg(F.min("ra").alias("end"))
-    group = labels(pairs).withColumnRenamed("id", "h")
-    found = met.join(ends, "rb", "left").where(F.col("end").isNull() | (F.col("ra") <= F.col("end"))).join(group, "h")
-    large = None
-    if most is not None:
-        sizes = group.join(shapes, "h").groupBy("label").agg(F.sum("size").alias("size"), F.min("first.id").alias("id"))
-        large = sizes.where(F.col("size") > most)
-        found = found.join(large.select("label"), "label", "left_anti")
-    seq = F.row_number().over(Window.partitionBy("label").orderBy("ra", "rb")).cast("long") - 1
-    swept = found.select(F.when(F.col("keep_a"), F.col("rb.id")).otherwise(F.col("ra.id")).alias("duplicate_id"), F.when(F.col("keep_a"), F.col("ra.id")).otherwise(F.col("rb.id")).alias("canonical_id"), seq.alias("seq"))
-    if large is None:
-        return swept
-    return swept.union(large.select(F.lit(None).cast("string"), "id", F.lit(-1).cast("long")))
+    found = met.join(ends, "rb", "left").where(F.col("end").isNull() | (F.col("ra") <= F.col("end")))
+    named = found.select("ra", "rb", F.when(F.col("keep_a"), F.col("rb.id")).otherwise(F.col("ra.id")).alias("duplicate_id"), F.when(F.col("keep_a"), F.col("ra.id")).otherwise(F.col("rb.id")).alias("canonical_id"))
+    return numbered(named, F.col("ra"), F.col("rb"), name="seq").select("duplicate_id", "canonical_id", "seq")
+
+
+def named_pairs(pairs: DataFrame, listings: DataFrame) -> DataFrame:
+    """pairs with the titles and the sources of both rows."""
+    out = pairs
+    for side in ("duplicate", "canonical"):
+        out = out.join(listings.select(F.col("id").alias(f"{side}_id"), F.col("raw_title").alias(f"{side}_title"), F.col("source").alias(f"{side}_source")), f"{side}_id")
+    return out
 
 
 def canonical_first(a: Column, b: Column) -> Column:
@@ -190,10 +177,10 @@ def dedup_totals(pairs: DataFrame) -> DataFrame:
 
 def resolved(pairs: DataFrame) -> DataFrame:
     """canonical_id followed through rows that are duplicates themselves, however many: each written round doubles the steps."""
-    out = checkpointed(pairs.groupBy("duplicate_id").agg(F.max_by("canonical_id", "seq").alias("canonical_id")))
+    out = written(pairs.groupBy("duplicate_id").agg(F.max_by("canonical_id", "seq").alias("canonical_id")))
     while True:
         ahead = out.select(F.col("duplicate_id").alias("canonical_id"), F.col("canonical_id").alias("next"))
-        new = checkpointed(out.join(ahead, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"), F.col("next").isNotNull().alias("moved")))
+        new = written(out.join(ahead, "canonical_id", "left").select("duplicate_id", F.coalesce("next", "canonical_id").alias("canonical_id"), F.col("next").isNotNull().alias("moved")))
         if new.where("moved").isEmpty():
             return new.drop("moved")
         out = new.drop("moved")
@@ -203,3 +190,9 @@ def inspected(listings: DataFrame) -> DataFrame:
     """Duplicates with the title of what they point at, or 'not found'."""
     to = listings.select(F.col("id").alias("duplicate_of"), F.col("raw_title").alias("canonical_title"))
     return listings.where("is_duplicate").join(to, "duplicate_of", "left").select("id", "raw_title", "duplicate_of", F.coalesce("canonical_title", F.lit("not found")).alias("canonical_title"))
+
+
+def inspection_totals(listings: DataFrame) -> DataFrame:
+    """How many listings there are, how many are duplicates and how many are left."""
+    gone = F.count_if(F.coalesce("is_duplicate", F.lit(False)))
+    return listings.agg(F.count("*").alias("total"), gone.alias("duplicates"), (F.count("*") - gone).alias("unique"))

@@ -246,7 +246,26 @@ def dedup_totals(rows):
     return dedup.dedup_totals(dedup.phase_one(rows).select("duplicate_id", "canonical_id").union(dedup.phase_two(_after_phase_one(rows)).select("duplicate_id", "canonical_id")))
 
 
+@query("listings", None)
+def dedup_pairs(rows):
+    """The pairs of both phases with titles and sources."""
+    one, two = dedup.phase_one(rows), dedup.phase_two(_after_phase_one(rows))
+    pairs = one.withColumn("phase", F.lit(1)).unionByName(two.drop("seq").withColumn("phase", F.lit(2)))
+    return dedup.named_pairs(pairs, rows)
+
+
 PHASE_ONE_SQL = ORACLE_SQL["dedup_phase_one"].rpartition("SELECT duplicate_id")[0]
+# the pass itself, row by row: who is marked before each row that has links
+_SWEPT = f"""{PHASE_ONE_SQL}, rest AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY s, id) AS i, length(coalesce(raw_description, '')) AS said FROM worded WHERE included IS NULL AND id NOT IN (SELECT duplicate_id FROM found WHERE n = 1)),
+links AS MATERIALIZED (SELECT a.i, b.i AS j, a.id AS a, b.id AS b, a.said > b.said OR a.said = b.said AND a.created_at <= b.created_at AS keep_a FROM rest a JOIN rest b ON a.i < b.i AND {MATCH_SQL}),
+steps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i) AS k, i, js FROM (SELECT i, coalesce(list(j) FILTER (keep_a), []) AS js FROM links GROUP BY i)),
+states AS MATERIALIZED (SELECT * FROM (WITH RECURSIVE s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS marked UNION ALL SELECT steps.k, CASE WHEN list_contains(marked, steps.i) THEN marked ELSE list_distinct(list_concat(marked, js)) END FROM s JOIN steps ON steps.k = s.k + 1) SELECT * FROM s)),
+swept AS (SELECT CASE WHEN keep_a THEN b ELSE a END AS duplicate_id, CASE WHEN keep_a THEN a ELSE b END AS canonical_id, row_number() OVER (ORDER BY links.i, j) - 1 AS seq
+FROM links JOIN steps USING (i) JOIN states ON states.k = steps.k - 1 WHERE NOT list_contains(marked, links.i) AND NOT list_contains(marked, j))"""
+_BOTH = "SELECT duplicate_id, canonical_id, 1 AS phase FROM found WHERE n = 1 UNION ALL SELECT duplicate_id, canonical_id, 2 FROM swept"
+ORACLE_SQL["dedup_phase_two"] = f"{_SWEPT} SELECT * FROM swept"
+ORACLE_SQL["dedup_totals"] = f"{_SWEPT} SELECT count(DISTINCT duplicate_id) AS marked, count(*) AS pairs FROM ({_BOTH})"
+ORACLE_SQL["dedup_pairs"] = f"{_SWEPT} SELECT p.*, d.raw_title AS duplicate_title, d.source AS duplicate_source, c.raw_title AS canonical_title, c.source AS canonical_source FROM ({_BOTH}) p JOIN listings d ON d.id = duplicate_id JOIN listings c ON c.id = canonical_id"
 
 
 @query("listings", None)
@@ -260,6 +279,16 @@ def inspected_duplicates(rows):
 ORACLE_SQL["inspected_duplicates"] = f"{PHASE_ONE_SQL} SELECT d.id, d.raw_title, f.canonical_id AS duplicate_of, coalesce(t.raw_title, 'not found') AS canonical_title FROM found f JOIN listings d ON d.id = f.duplicate_id LEFT JOIN (SELECT * FROM listings WHERE included IS NULL OR tag_no <> 5) t ON t.id = f.canonical_id WHERE f.n = 1"
 
 
+@query("listings", None)
+def inspection_totals(rows):
+    pairs = dedup.phase_one(rows).withColumn("seq", F.lit(0))
+    more = rows.withColumn("duplicate_of", F.lit(None).cast("string")).withColumn("updated_at", F.col("created_at"))
+    return dedup.inspection_totals(store.mark_duplicates(more, pairs, F.lit(NOW).cast("timestamp")))
+
+
+ORACLE_SQL["inspection_totals"] = f"{PHASE_ONE_SQL} SELECT count(*) AS total, count(f.duplicate_id) AS duplicates, count(*) - count(f.duplicate_id) AS unique FROM listings l LEFT JOIN found f ON f.duplicate_id = l.id AND f.n = 1"
+
+
 # ---- feeds ----------------------------------------------------------------
 OVERLAP = "is_published AND event_date_start < DATE '{1}' + 1 AND (event_date_end >= DATE '{0}' OR event_date_end IS NULL AND event_date_start >= DATE '{0}')"
 JANUARY = OVERLAP.format("2024-01-01", "2024-01-31")
