@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import compact_range, header_label
+from ..functions.dates import compact_range, header_label, short_label
+from .ordered import numbered
 
 
 def previous_members(runs: DataFrame, members: DataFrame, before: str | None = None) -> DataFrame:
@@ -27,15 +28,18 @@ def classified(listings: DataFrame, previous: DataFrame, window_end: Column, lea
     several = F.col("event_date_end").isNotNull() & (F.col("event_date_end") != F.col("event_date_start"))
     category = F.when(F.col("seen").isNull() | ~several, "new").when(F.col("event_date_end") <= window_end, "ending_soon").otherwise("ongoing")
     rows = listings.join(seen, "id", "left").withColumn("category", category)
-    best = (F.coalesce("score", F.lit(0)).desc(), "event_date_start", "id")
-    later = (F.coalesce("event_date_end", F.lit("0001-01-01").cast("date")), "id")
-    rows = rows.withColumn("by_score", F.row_number().over(Window.partitionBy("category").orderBy(*best))).withColumn("by_end", F.row_number().over(Window.partitionBy("category").orderBy(*later)))
+    score = F.coalesce("score", F.lit(0))
     n_new = rows.agg(F.count_if(F.col("category") == "new").alias("n_new"))
-    rows = rows.crossJoin(F.broadcast(n_new))  # one row
-    up = (F.col("category") == "ongoing") & (F.col("by_score") <= least_new - F.col("n_new"))
-    position = F.when(up, F.col("n_new") + F.col("by_score")).when(F.col("category") == "new", F.col("by_score")).otherwise(F.col("by_end"))
-    rows = rows.withColumn("position", position).withColumn("category", F.when(up, "new").otherwise(F.col("category")))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("category").orderBy("position"))).drop("seen", "by_score", "by_end", "n_new")
+    # at most least_new rows, the best of those that go on
+    few = rows.where("category = 'ongoing'").orderBy(score.desc(), "event_date_start", "id").limit(least_new)
+    few = few.select("id", F.row_number().over(Window.orderBy(score.desc(), "event_date_start", "id")).alias("by_score"))
+    up = few.crossJoin(F.broadcast(n_new)).where(F.col("by_score") <= least_new - F.col("n_new")).select("id", F.col("by_score").alias("up"))
+    rows = rows.join(F.broadcast(up), "id", "left").withColumn("category", F.when(F.col("up").isNotNull(), "new").otherwise(F.col("category")))
+    new = F.col("category") == "new"
+    order = {"k1": F.coalesce("up", F.lit(0)), "k2": F.when(new, -score).otherwise(0), "k3": F.when(new, F.col("event_date_start")).otherwise(F.coalesce("event_date_end", F.lit("0001-01-01").cast("date")))}
+    placed = numbered(rows.withColumns(order).drop("seen", "up"), F.col("category"), *map(F.col, order), F.col("id"), name="place")
+    first = placed.groupBy("category").agg(F.min("place").alias("first"))  # three rows
+    return placed.join(F.broadcast(first), "category").withColumn("position", F.col("place") - F.col("first") + 1).drop("place", "first", *order).select(*listings.columns, "category", "position")
 
 
 def digest_members(parts: DataFrame, ahead: DataFrame, run_id: str) -> DataFrame:
@@ -61,6 +65,21 @@ def sections(parts: DataFrame, window_start: Column) -> DataFrame:
     return days.select(F.row_number().over(Window.orderBy("at")).alias("group_no"), header_label(F.col("day")).alias("day"), "lines")  # a row for each day of the window
 
 
+def ongoing_lines(parts: DataFrame) -> DataFrame:
+    """position and line of what still goes on: title, venue and its last day."""
+    until = F.coalesce(F.concat(F.lit(" · until "), short_label(F.col("event_date_end"))), F.lit(""))
+    return parts.where("category = 'ongoing'").select("position", F.concat("raw_title", F.lit(" · "), "venue", until).alias("line"))
+
+
+def heads_up_sections(ahead: DataFrame) -> DataFrame:
+    """What is announced, best first as top_heads_up gives it, by day in order of first appearance: group_no, day label and lines."""
+    place = F.struct((-F.coalesce("score", F.lit(0))).alias("s"), F.col("event_date_start").alias("d"), "id")
+    span = compact_range(F.col("event_date_start"), F.col("event_date_end"))
+    line = F.concat("raw_title", F.lit(", "), "venue", F.coalesce(F.concat(F.lit(", "), span), F.lit("")))
+    days = ahead.groupBy(F.col("event_date_start").alias("day")).agg(F.min(place).alias("at"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(place.alias("p"), line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    return days.select(F.row_number().over(Window.orderBy("at")).alias("group_no"), header_label(F.col("day")).alias("day"), "lines")  # of the two or three rows that are announced
+
+
 def outbox(subscribers: DataFrame, body: DataFrame) -> DataFrame:
     """A message for each active subscriber: one body, with the subscriber's token put in."""
     return subscribers.where("is_active").crossJoin(F.broadcast(body.select("subject", "body"))).select("id", "email", "subject", F.replace("body", F.lit("{token}"), F.col("unsubscribe_token")).alias("body"))  # one row

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import enrich_description, extract_json, truncate_blurb
@@ -66,17 +67,37 @@ def enrichment_verdict(raw: Column, title: Column, vocabulary: tuple[str, ...] =
     return F.when(tags.isNull() | blurb.isNull(), fallback).otherwise(good)
 
 
-def scored_by(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], name: str, parallel: int | None = None) -> DataFrame:
-    """rows with the scorer's raw text as a column; `parallel` bounds how many scorers run at once."""
+def scored_by(rows: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], name: str, parallel: int | None = None, batch: int = 20, attempts: int = 3, pause: float = 0.0) -> DataFrame:
+    """rows with the scorer's raw text as a column; `parallel` bounds how many scorers run at once.
+
+    The scorer gets `batch` rows at a time. If it fails it is asked again, after `pause` seconds, `attempts` times in
+    all; then the rows of that batch alone have no text, which decided() leaves for another run.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{name}` string"
 
+    def asked(some: pd.DataFrame) -> list:
+        for k in range(attempts):
+            try:
+                return list(scorer(some))
+            except Exception:
+                time.sleep(pause if k + 1 < attempts else 0)
+        return [None] * len(some)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(**{name: scorer(pdf)})
+            said = [t for k in range(0, len(pdf), batch) for t in asked(pdf.iloc[k : k + batch])]
+            yield pdf.assign(**{name: pd.Series(said, index=pdf.index, dtype=object)})
 
     return (rows.repartition(parallel) if parallel else rows).mapInPandas(run, schema)
 
 
+def observed(scored: DataFrame) -> tuple[DataFrame, Observation]:
+    """scored (with filter_raw) with an observation of how many rows were processed, included, excluded and got no answer, which the write of them fills: no second scan."""
+    seen = Observation("scoring")
+    answer, include = F.col("filter_raw").isNotNull(), filter_verdict(F.col("filter_raw"))["include"]
+    return scored.observe(seen, F.count_if(answer).alias("processed"), F.count_if(answer & include).alias("included"), F.count_if(answer & ~include).alias("excluded"), F.count_if(~answer).alias("errors")), seen
+
+
 def rule_filter(text: Column, wanted: str, unwanted: str) -> Column:
     """A scorer's text by keywords, for runs without a model."""
     include = text.rlike(wanted) & ~text.rlike(unwanted)
@@ -114,11 +135,10 @@ def counters(scored: DataFrame, listings: DataFrame, duplicates: DataFrame, trie
 
 def intro_input(classified: DataFrame, most: dict[str, int]) -> DataFrame:
     """category and the bullet lines of its first rows."""
-    n = F.row_number().over(Window.partitionBy("category").orderBy("position"))
     limit = F.create_map(*[F.lit(x) for kv in most.items() for x in kv])
-    rows = classified.withColumn("n", n).where(F.col("n") <= F.try_element_at(limit, F.col("category")))
+    rows = classified.where(F.col("position") <= F.try_element_at(limit, F.col("category")))
     line = F.concat(F.lit("- "), "raw_title", F.lit(" @ "), "venue")
-    return rows.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    return rows.groupBy("category").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
 
 
 def intro_verdict(raw: Column, default_subject: Column) -> Column:

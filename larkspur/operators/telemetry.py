@@ -37,13 +37,37 @@ def zero_sources(runs: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.where(F.col("error").isNull() & (F.coalesce("events_found", F.lit(0)) == 0)).select("source")
 
 
-def pipeline_report(cycle: DataFrame, counters: DataFrame) -> DataFrame:
-    """One row: issue flags, the total found, a subject and a summary line."""
-    c = cycle.agg(F.coalesce(F.sum("events_found"), F.lit(0)).alias("total"), F.count_if(F.col("status") == "error").alias("failed_sources"), F.count_if(F.col("status") == "zero").alias("zero_sources"))
-    both = c.crossJoin(F.broadcast(counters))  # one row each
-    issues = (F.col("failed_sources") > 0) | (F.col("zero_sources") > 0)
-    said = F.concat_ws(", ", F.concat(F.col("total").cast("string"), F.lit(" found")), F.concat(F.col("included").cast("string"), F.lit(" included")), F.concat(F.col("excluded").cast("string"), F.lit(" excluded")))
-    return both.select("total", "failed_sources", "zero_sources", issues.alias("has_issues"), F.when(issues, "Pipeline: issues found").otherwise("Pipeline: all well").alias("subject"), said.alias("summary"))
+def pipeline_report(cycle: DataFrame, counters: DataFrame | None = None, crash: str | None = None) -> DataFrame:
+    """One row about a cycle of sources and, with counters, a run of scoring: issue flags, the total found, a subject, a summary and the whole text.
+
+    The text has the issues, if there are any, then each source with its count or failure, then what scoring came to.
+    crash: what ended scoring before its time.
+    """
+    said = lambda c: F.col(c).cast("string")
+    lines = lambda cond, line: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("source", line.alias("l"))))), lambda x: x["l"])
+    zero, failed = F.col("status") == "zero", F.col("status") == "error"
+    c = cycle.agg(  # a row for each known source
+        F.coalesce(F.sum("events_found"), F.lit(0)).alias("total"), F.count_if(failed).alias("failed_sources"), F.count_if(zero).alias("zero_sources"),
+        lines(zero, F.concat(F.lit("  - "), "source")).alias("zeros"), lines(failed, F.concat(F.lit("  - "), "source", F.lit(": "), "error")).alias("failures"),
+        lines(F.lit(True), F.concat(F.lit("  "), "source", F.when(failed & (F.col("events_found") == 0), ": FAILED").otherwise(F.concat(F.lit(": "), said("events_found"), F.lit(" events"))))).alias("every"),
+    )
+    names = ("processed", "included", "excluded", "deduplicated", "errors")
+    if counters is None:
+        both = c.withColumns({n: F.lit(0) for n in names})
+    else:
+        have = [F.coalesce(F.col(n), F.lit(0)).alias(n) if n in counters.columns else F.lit(0).alias(n) for n in names]
+        both = c.crossJoin(F.broadcast(counters.select(*have)))  # one row each
+    source_issues = (F.col("failed_sources") > 0) | (F.col("zero_sources") > 0)
+    scoring_issues = (F.col("errors") > 0) | F.lit(crash is not None)
+    issues = source_issues | scoring_issues
+    subject = F.lit("Sources: alert") if counters is None else F.when(issues, "Pipeline: issues found").otherwise("Pipeline: all well")
+    words = {"total": "found", "included": "included", "excluded": "excluded", "deduplicated": "deduplicated", "errors": "errors"}
+    summary = F.lit(None).cast("string") if counters is None else F.concat_ws(", ", *[F.concat(said(k), F.lit(f" {w}")) for k, w in words.items()])
+    under = lambda head, xs: F.when(F.size(xs) > 0, F.concat(F.lit(head + "\n"), F.array_join(xs, "\n")))
+    trouble = F.concat_ws("\n", F.lit("ISSUES"), under("Sources with nothing found:", "zeros"), under("Sources that failed:", "failures"), F.when(F.col("errors") > 0, F.concat(F.lit("Scoring failed for "), said("errors"), F.lit(" listings"))), F.lit(None if crash is None else f"Scoring ended early: {crash or 'unknown error'}").cast("string"))
+    scoring = None if counters is None else F.concat_ws("\n", F.lit("SCORING"), *[F.concat(F.lit(f"  {n.capitalize()}: "), said(n)) for n in names])
+    body = F.concat_ws("\n\n", *([] if counters is None else [F.concat(F.lit("SUMMARY: "), summary)]), F.when(issues, trouble), F.concat(F.lit("SOURCES\n"), F.array_join("every", "\n")), *([] if scoring is None else [scoring]))
+    return both.select("total", "failed_sources", "zero_sources", issues.alias("has_issues"), scoring_issues.alias("scoring_issues"), subject.alias("subject"), summary.alias("summary"), body.alias("body"))
 
 
 def run_status(runs: DataFrame) -> DataFrame:

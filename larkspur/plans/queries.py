@@ -11,6 +11,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..functions.content import content_area
 from ..operators import dedup, digest, feeds, scoring, store, telemetry
+from ..operators.graph import written
 from . import fixtures as X
 from .fixtures import with_tables
 
@@ -679,12 +680,52 @@ def scoring_counters(rows):
     return scoring.counters(_decided(tried, F.col("tag_no") == 3), rows, duplicates, tried)
 
 
-@query("listings scraper_runs", f"""SELECT coalesce(sum(events_found), 0) AS total, count(*) FILTER (WHERE error IS NOT NULL) AS failed_sources, count(*) FILTER (WHERE error IS NULL AND events_found = 0) AS zero_sources, count(*) FILTER (WHERE error IS NOT NULL OR events_found = 0) > 0 AS has_issues,
-CASE WHEN count(*) FILTER (WHERE error IS NOT NULL OR events_found = 0) > 0 THEN 'Pipeline: issues found' ELSE 'Pipeline: all well' END AS subject,
-concat(coalesce(sum(events_found), 0), ' found, ', (SELECT count(*) FROM listings WHERE included), ' included, ', (SELECT count(*) FROM listings WHERE NOT included), ' excluded') AS summary FROM {CYCLE_SQL}""")
+_FAILED, _ZERO = "error IS NOT NULL", "error IS NULL AND events_found = 0"
+
+
+@query("listings scraper_runs", f"""SELECT total, failed_sources, zero_sources, failed_sources + zero_sources > 0 AS has_issues, FALSE AS scoring_issues, CASE WHEN failed_sources + zero_sources > 0 THEN 'Pipeline: issues found' ELSE 'Pipeline: all well' END AS subject, summary,
+concat('SUMMARY: ', summary, CASE WHEN failed_sources + zero_sources > 0 THEN concat(chr(10), chr(10), 'ISSUES', coalesce(concat(chr(10), 'Sources with nothing found:', chr(10), zeros), ''), coalesce(concat(chr(10), 'Sources that failed:', chr(10), failures), '')) ELSE '' END,
+ chr(10), chr(10), 'SOURCES', chr(10), every, chr(10), chr(10), 'SCORING', chr(10), '  Processed: ', inc + exc, chr(10), '  Included: ', inc, chr(10), '  Excluded: ', exc, chr(10), '  Deduplicated: 0', chr(10), '  Errors: 0') AS body
+FROM (SELECT *, concat(total, ' found, ', inc, ' included, ', exc, ' excluded, 0 deduplicated, 0 errors') AS summary FROM
+ (SELECT coalesce(sum(events_found), 0) AS total, count(*) FILTER ({_FAILED}) AS failed_sources, count(*) FILTER ({_ZERO}) AS zero_sources, string_agg(concat('  - ', source), chr(10) ORDER BY source) FILTER ({_ZERO}) AS zeros, string_agg(concat('  - ', source, ': ', error), chr(10) ORDER BY source) FILTER ({_FAILED}) AS failures,
+  string_agg(concat('  ', source, CASE WHEN error IS NOT NULL AND events_found = 0 THEN ': FAILED' ELSE concat(': ', events_found, ' events') END), chr(10) ORDER BY source) AS every FROM {CYCLE_SQL}),
+ (SELECT count(*) FILTER (included) AS inc, count(*) FILTER (NOT included) AS exc FROM listings))""")
 def pipeline_report(rows, runs):
-    counts = rows.agg(F.count_if(F.col("included")).alias("included"), F.count_if(~F.col("included")).alias("excluded"))
+    counts = rows.agg(F.count("included").alias("processed"), F.count_if(F.col("included")).alias("included"), F.count_if(~F.col("included")).alias("excluded"))
     return telemetry.pipeline_report(telemetry.cycle_stats(runs), counts)
 
 
+@query("listings digest_events digest_runs", None)
+def digest_ongoing(rows, members, runs):
+    return digest.ongoing_lines(_classified(rows, members, runs))
+
+
+ORACLE_SQL["digest_ongoing"] = with_tables("listings digest_events digest_runs", "") + f", {CLASSIFIED_SQL} SELECT row_number() OVER (ORDER BY p0) AS position, concat(raw_title, ' · ', venue, ' · until ', strftime(event_date_end, '%-d %b')) AS line FROM q WHERE category = 'ongoing'"
+
+
+@query("listings", f"""SELECT row_number() OVER (ORDER BY min(o)) AS group_no, upper(strftime(event_date_start, '%a %-d %b')) AS day, string_agg(concat(raw_title, ', ', venue, {_SPAN}), chr(10) ORDER BY o) AS lines
+FROM (SELECT *, row_number() OVER (ORDER BY coalesce(score, 0) DESC, event_date_start, id) AS o FROM listings WHERE {AHEAD} ORDER BY o LIMIT 3) GROUP BY event_date_start""")
+def heads_up_sections(rows):
+    return digest.heads_up_sections(feeds.top_heads_up(rows, day("2024-01-05")))
+
+
+_WANTED, _UNWANTED = "the|und|les", "%%%|!!"
+
+
+def _by_words(pdf):
+    """A scorer in Python: keywords decide, and a listing without a title gets no answer."""
+    text = pdf["raw_description"].fillna("")
+    yes = text.str.contains(_WANTED, regex=True) & ~text.str.contains(_UNWANTED, regex=True)
+    return [None if not t else f'{{"include": {str(bool(y)).lower()}, "reason": "words"}}' for t, y in zip(pdf["raw_title"], yes, strict=True)]
+
+
+@query("listings", f"SELECT count(*) FILTER (raw_title <> '') AS processed, count(*) FILTER (raw_title <> '' AND yes) AS included, count(*) FILTER (raw_title <> '' AND NOT yes) AS excluded, count(*) FILTER (raw_title = '') AS errors FROM (SELECT *, regexp_matches(coalesce(raw_description, ''), '{_WANTED}') AND NOT regexp_matches(coalesce(raw_description, ''), '{_UNWANTED}') AS yes FROM (SELECT * REPLACE (CASE WHEN tag_no = 3 THEN '' ELSE raw_title END AS raw_title) FROM listings) WHERE included IS NULL)")
+def observed_scoring(rows):
+    """Pending listings through the scorer hook; what became of them is counted while they are written. Listings of one tag have no title."""
+    todo = scoring.pending(rows).select("id", F.when(F.col("tag_no") == 3, "").otherwise(F.col("raw_title")).alias("raw_title"), "raw_description")
+    scored, seen = scoring.observed(scoring.scored_by(todo, _by_words, "filter_raw"))
+    written(scored.drop("raw_description"))
+    return rows.sparkSession.createDataFrame([seen.get], "processed long, included long, excluded long, errors long")
+
+
 from . import source_queries, stream_queries  # noqa: E402, F401  (they register their queries here)

@@ -51,7 +51,34 @@ def test_scorer_hook_and_counters(spark):
     assert counts.first().asDict() == {"processed": 2, "included": 1, "excluded": 1, "errors": 0, "remaining": 1, "deduplicated": 1}
     cycle = spark.createDataFrame([("a", 3, None, "ok"), ("b", 0, None, "zero")], "source string, events_found int, error string, status string")
     report = telemetry.pipeline_report(cycle, counts).first()
-    assert report["has_issues"] and report["summary"] == "3 found, 1 included, 1 excluded"
+    assert report["has_issues"] and report["summary"] == "3 found, 1 included, 1 excluded, 1 deduplicated, 0 errors"
+    assert report["body"].split("\n\n")[1:3] == ["ISSUES\nSources with nothing found:\n  - b", "SOURCES\n  a: 3 events\n  b: 0 events"] and not report["scoring_issues"]
+    bad = spark.createDataFrame([("a", 0, "HTTP 500", "error"), ("c", 2, None, "ok")], "source string, events_found int, error string, status string")
+    report = telemetry.pipeline_report(bad, counts.withColumn("errors", F.lit(4)), "out of time").first()
+    assert report["scoring_issues"] and "Sources that failed:\n  - a: HTTP 500\nScoring failed for 4 listings\nScoring ended early: out of time" in report["body"] and "  a: FAILED\n  c: 2 events" in report["body"]
+    alone = telemetry.pipeline_report(bad.where("source = 'c'")).first()
+    assert (alone["has_issues"], alone["subject"], alone["summary"], alone["body"]) == (False, "Sources: alert", None, "SOURCES\n  c: 2 events")
+
+
+def test_scorer_is_asked_again(spark, tmp_path):
+    rows = spark.createDataFrame([(str(k), "bad" if k == 7 else "good") for k in range(10)], "id string, raw_title string").coalesce(1)
+    marks = str(tmp_path)
+
+    def flaky(pdf):
+        # the first call for each batch fails, and the batch with the bad row always
+        import os
+
+        mark = f"{marks}/{pdf['id'].iloc[0]}"
+        if not os.path.exists(mark):
+            open(mark, "w").close()
+            raise ConnectionError
+        if (pdf["raw_title"] == "bad").any():
+            raise ValueError
+        return ['{"include": true, "reason": ""}'] * len(pdf)
+
+    scored, seen = scoring.observed(scoring.scored_by(rows, flaky, "filter_raw", batch=3))
+    got = {r["id"] for r in scored.collect() if r["filter_raw"] is None}
+    assert got == {"6", "7", "8"} and seen.get == {"processed": 7, "included": 7, "excluded": 0, "errors": 3}
 
 
 def test_resets_spare_duplicates(spark):
