@@ -222,9 +222,8 @@ def _packing(numbers: np.ndarray, sizes: list[int], capacity: int) -> Bins:
     return out
 
 
-def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epochs: int, population: int, generations: int, steps: int, salt: int) -> DataFrame:
+def _round(items: DataFrame, n: int, capacity: int, block_size: int, islands: int, epochs: int, population: int, generations: int, steps: int, salt: int) -> DataFrame:
     """Every item with how full its bin is, its place there, and the bin's number, the smallest of its items' ones."""
-    n = items.count()
     blocks = max(1, -(-n // block_size))
     items = items.withColumn("block", F.pmod(F.xxhash64("no", F.lit(salt)), F.lit(blocks)))
     spread = items.select("block", "no", "length").withColumn("island", F.explode(F.array([F.lit(i) for i in range(islands)])))
@@ -259,34 +258,25 @@ def _round(items: DataFrame, capacity: int, block_size: int, islands: int, epoch
     return items.groupBy("block").cogroup(elite.groupBy("block")).applyInPandas(place, f"no long, {PIECES}, sequence_id long, offset long, fill long")
 
 
-def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 8, generations: int = 40, steps: int = 8000, rounds: int = 6) -> DataFrame:
+def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 1024, block_size: int = 4096, islands: int = 2, epochs: int = 2, population: int = 8, generations: int = 40, steps: int = 8000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
-    Islands settle their packings, in `steps`, from the second round on. After a round the sequences that aren't full, and a fifth of those that are, are dissolved, and their pieces meet in new blocks. That ends when a round
-    saves no sequence, when there are as few as the tokens allow, or after `rounds` of them.
+    After a round the sequences that aren't full are dissolved, and their pieces, a small part of all, meet in new blocks,
+    until one block holds what is left. Its islands settle their packings in `steps`.
     """
     small_batches(documents.sparkSession)
     out = [x.split(" ")[0] for x in PIECES.split(", ")]
     # each piece has a number of its own, whatever the partitions, and a sequence that of its first piece
-    order = [F.col(c) for c in out]
-    cut = numbered(pieces(documents, vocabulary, end_id, capacity), *order, name="no")
+    cut = numbered(saved(pieces(documents, vocabulary, end_id, capacity), "pieces"), *[F.col(c) for c in out], name="no")
     whole = cut.where(F.col("length") == capacity).select(*out, F.col("no").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    now = saved(_round(cut.where(F.col("length") < capacity), capacity, block_size, islands, epochs, population, generations, 0, 1), "packed")
-    done: list[DataFrame] = []
-    for salt in range(2, rounds + 1):
-        # a part of the full ones is dealt anew as well, for the sake of their pieces
-        stays = (F.col("fill") == capacity) & (F.pmod(F.xxhash64("sequence_id", F.lit(salt)), F.lit(5)) > 0)
-        done.append(now.where(stays))
-        left = now.where(~stays)
-        tokens, before = left.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("sequence_id")).first()
-        if before <= -(-tokens // capacity):
-            now = left
-            break
-        again = saved(_round(left.select("no", *out), capacity, block_size, islands, epochs, population, generations, steps, salt), "packed")
-        after = again.agg(F.count_distinct("sequence_id")).first()[0]
-        now = again if after <= before else left
-        if after >= before:
-            break
-    for part in (now, *done):
-        whole = whole.unionByName(part.select(*whole.columns))
-    return whole
+    left, salt, before = cut.where(F.col("length") < capacity), 1, None
+    while True:
+        n = left.count()
+        # if all sequences that a round made are loose, another one changes nothing
+        last = n <= block_size or n == before
+        now = saved(_round(left, n, capacity, block_size, islands, epochs, population, generations, steps if last else 0, salt), "packed")
+        full = F.col("fill") == capacity
+        whole = whole.unionByName((now if last else now.where(full)).select(*whole.columns))
+        if last:
+            return whole
+        left, salt, before = now.where(~full).select("no", *out), salt + 1, n
