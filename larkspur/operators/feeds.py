@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import numbered
+
 VISIBLE = "coalesce(included, false) and not is_duplicate"
 
 
@@ -105,3 +107,24 @@ def result_header(rows: DataFrame, what: str, block: Column) -> DataFrame:
     """One row: how many were found, and their blocks with rules between."""
     both = rows.agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_date_start", "id", block.alias("b")))), lambda x: x["b"]), "\n\n---\n\n").alias("body"))
     return both.select(F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" {what}"), F.when(F.col("n") == 1, "").otherwise("s")).alias("header"), "body")
+
+
+def day_parts(listings: DataFrame, window_start: Column, most: int = 200) -> DataFrame:
+    """grouped_by_day in parts of at most `most` listings, numbered from 0 within their day: day, part, n, ids."""
+    dated = listings.select("id", "event_date_start", F.greatest("event_date_start", window_start).alias("day"))
+    placed = numbered(dated, F.col("day"), F.col("event_date_start"), F.col("id"), name="place")
+    first = placed.groupBy("day").agg(F.min("place").alias("first"))  # a row for each day
+    part = F.floor((F.col("place") - F.col("first")) / most).alias("part")
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]), ",")
+    return placed.join(first, "day").groupBy("day", part).agg(F.count("*").alias("n"), ids.alias("ids"))
+
+
+def result_parts(rows: DataFrame, what: str, block: Column, most: int = 100) -> DataFrame:
+    """result_header in parts of at most `most` blocks, each under the header of all: header, part, body. No rows: one part with nothing in it."""
+    placed = numbered(rows.select("event_date_start", "id", block.alias("b")), F.col("event_date_start"), F.col("id"), name="place")
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "b"))), lambda x: x["b"]), "\n\n---\n\n")
+    parts = placed.groupBy(F.floor(F.col("place") / most).alias("part")).agg(body.alias("body"))
+    n = placed.agg(F.count("*").alias("n"))
+    header = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" {what}"), F.when(F.col("n") == 1, "").otherwise("s"))
+    both = n.join(parts, F.col("part").isNotNull(), "left")  # one row on the left
+    return both.select(header.alias("header"), F.coalesce("part", F.lit(0)).cast("long").alias("part"), F.coalesce("body", F.lit("")).alias("body"))

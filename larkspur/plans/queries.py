@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import text as T
 from ..functions.content import content_area
-from ..operators import dedup, digest, feeds, scoring, store, telemetry
-from ..operators.graph import written
+from ..operators import dedup, digest, feeds, scoring, search, store, telemetry
+from ..operators.graph import new_folder, written
 from . import fixtures as X
 from .fixtures import with_tables
 
@@ -386,6 +386,29 @@ def found_events(rows):
     return feeds.result_header(feeds.published_between(rows, day("2024-01-01"), day("2024-01-31")), "event", F.col("raw_title"))
 
 
+@query("listings", f"""SELECT day, part, count(*) AS n, string_agg(id, ',' ORDER BY k) AS ids FROM (SELECT *, (k - 1) // 4 AS part FROM
+(SELECT *, row_number() OVER (PARTITION BY day ORDER BY event_date_start, id) AS k FROM (SELECT *, greatest(event_date_start, DATE '2024-01-10') AS day FROM listings WHERE {OVERLAP.format('2024-01-10', '2024-01-31')}))) GROUP BY day, part""")
+def day_parts(rows):
+    return feeds.day_parts(feeds.published_between(rows, day("2024-01-10"), day("2024-01-31")), day("2024-01-10"), 4)
+
+
+@query("listings", f"""SELECT concat('Found ', any_value(n), ' event', CASE WHEN any_value(n) = 1 THEN '' ELSE 's' END) AS header, part, string_agg(raw_title, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY k) AS body
+FROM (SELECT *, (row_number() OVER (ORDER BY event_date_start, id) - 1) // 7 AS part, row_number() OVER (ORDER BY event_date_start, id) AS k, count(*) OVER () AS n FROM listings WHERE {JANUARY}) GROUP BY part""")
+def found_parts(rows):
+    return feeds.result_parts(feeds.published_between(rows, day("2024-01-01"), day("2024-01-31")), "event", F.col("raw_title"), 7)
+
+
+_FIELDS = " OR ".join(f"coalesce({c}, '') ILIKE '%on_the%and%'" for c in ("raw_title", "enriched_description", "raw_description", "venue", "array_to_string(tags, ',')"))
+
+
+@query("listings", f"SELECT id FROM listings WHERE is_published AND event_date_start >= DATE '2024-01-10' AND ({_FIELDS}) AND coalesce(included, FALSE) AND NOT is_duplicate ORDER BY event_date_start, id LIMIT 50")
+def indexed_search(rows):
+    """A search of candidates alone, which an index of three characters in a row names."""
+    path = new_folder(rows.sparkSession, "grams")
+    search.write_index(rows, path)
+    return search.indexed_search(rows, path, "ON_the%AND", day("2024-01-10"), 50).select("id")
+
+
 # ---- store ----------------------------------------------------------------
 
 
