@@ -83,6 +83,7 @@ def parse_display_date(text: Column, performance: Column) -> Column:
 
 def parse_scape(text: Column) -> Column:
     """Day or month ranges after times of day are gone; months alone start on their first day and have no end."""
+    # Fixed value: the times of day that go.
     clock = r"(?i),?\s*\d{1,2}:\d{2}\s*(?:am|pm)(?:\s*-\s*\d{1,2}:\d{2}\s*(?:am|pm))?"
     return parsed(F.trim(F.regexp_replace(text, clock, "")), SCAPE)
 

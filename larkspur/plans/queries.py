@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions.content import content_area
 from ..operators import dedup, digest, feeds, scoring, search, store, telemetry
 from ..operators.graph import new_folder, written
+from ..sources import tables as stored
 from . import fixtures as X
 from .fixtures import with_tables
 
@@ -556,6 +557,42 @@ def scored_listings(rows):
     return _decided(rows).select("id", "included", "filter_reason", "score", F.array_join("tags", ",").alias("tags"), "is_heads_up", "is_published")
 
 
+@query("listings", f"""SELECT id, CASE WHEN todo THEN inc ELSE included END AS included, CASE WHEN todo THEN CASE WHEN inc THEN {_SCORE} END ELSE score END AS score, CASE WHEN todo THEN inc AND {_SCORE} >= 7 ELSE is_published END AS is_published, todo AS changed
+FROM (SELECT *, tag_no IN (1, 2, 3) AS todo, regexp_matches(raw_description, '(?i)the|und|les') AND NOT regexp_matches(raw_description, '%%%|!!') AS inc FROM listings)""")
+def applied_scores(rows):
+    """Verdicts on the listings of some tags, put into the table; the others stay as they are."""
+    now = rows.withColumns({"filter_reason": F.lit(None).cast("string"), "updated_at": F.col("created_at")})
+    out = store.apply_scores(now, _decided(rows.where(F.col("tag_no").isin(1, 2, 3))), F.lit(NOW).cast("timestamp"))
+    return out.select("id", "included", "score", "is_published", (F.col("updated_at") > F.col("created_at")).alias("changed"))
+
+
+@query("listings", "SELECT id, CASE WHEN tag_no = 3 THEN NULL ELSE venue END AS intro, CASE WHEN tag_no IN (3, 4) THEN 'This week' ELSE substr(raw_title, 1, 50) END AS subject FROM (SELECT * REPLACE (CASE WHEN tag_no = 4 THEN NULL ELSE venue END AS venue) FROM listings)")
+def intro_verdicts(rows):
+    """What a writer of intros said, in a fence: of one tag it can't be read, and of one it has no subject, so that there is none at all."""
+    said = F.to_json(F.struct(F.col("venue").alias("intro"), F.when(F.col("tag_no") != 4, F.col("raw_title")).alias("subject")))
+    raw = F.when(F.col("tag_no") == 3, "{broken").otherwise(F.concat(F.lit("```json\n"), said, F.lit("\n```")))
+    verdict = scoring.intro_verdict(raw, F.lit("This week"))
+    return rows.select("id", verdict["intro"].alias("intro"), verdict["subject"].alias("subject"))
+
+
+@query("scraper_runs", "SELECT source, count(*) AS runs, count(error) AS errors, CAST(sum(events_found) AS BIGINT) AS found FROM scraper_runs GROUP BY source")
+def appended_runs(runs):
+    """Runs that are appended to the stored table in two parts, and read from it."""
+    root, early = new_folder(runs.sparkSession, "tables"), F.col("ran_at") < F.lit("2024-01-16").cast("timestamp")
+    for part in (runs.where(early), runs.where(~early)):
+        stored.append(part, root, "scraper_runs")
+    return stored.read(runs.sparkSession, root, "scraper_runs").groupBy("source").agg(F.count("*").alias("runs"), F.count("error").alias("errors"), F.sum("events_found").alias("found"))
+
+
+@query("listings", f"SELECT id, event_date_start FROM listings WHERE {OVERLAP.format('2024-02-04', '2024-02-29')} AND event_date_start >= DATE '2024-02-01'")
+def month_of_a_version(rows):
+    """A window's listings, of a version of the table that is written by month, of which one is read."""
+    path = new_folder(rows.sparkSession, "version")
+    stored.write_version(rows, path)
+    month = rows.sparkSession.read.parquet(path).where("month = '2024-02'")
+    return feeds.published_between(month, day(), day("2024-02-29")).select("id", "event_date_start")
+
+
 # ---- digest ---------------------------------------------------------------
 END = "2024-02-07"
 MEMBERS_SQL = "(SELECT e.event_id, e.category FROM digest_events e JOIN (SELECT id FROM digest_runs WHERE completed_at IS NOT NULL AND skipped IS NULL ORDER BY ran_at DESC, id DESC LIMIT 1) r ON r.id = e.digest_run_id)"

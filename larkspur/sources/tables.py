@@ -28,7 +28,7 @@ def append(rows: DataFrame, root: str, name: str) -> None:
     rows.select(*[F.col(f.name).cast(f.dataType) for f in schema(name)]).write.mode("append").parquet(f"{root}/{name}")
 
 
-def write_version(rows: DataFrame, path: str) -> None:
-    """A version of the listings, by month and sorted within, so that date windows read few files and few row groups."""
+def write_version(rows: DataFrame, path: str, spread: int = 16) -> None:
+    """A version of the listings, by month and sorted within, so that date windows read few files and few row groups. A month lies in `spread` files at most."""
     month = F.date_format("event_date_start", "yyyy-MM")
-    rows.withColumn("month", month).repartition("month").sortWithinPartitions("is_published", "event_date_start", "id").write.partitionBy("month").parquet(path)
+    rows.withColumn("month", month).repartition("month", F.pmod(F.xxhash64("id"), F.lit(spread))).sortWithinPartitions("is_published", "event_date_start", "id").write.partitionBy("month").parquet(path)
