@@ -8,14 +8,17 @@ latent space. Passages whose cosine with an item is high enough are candidates,
 and are checked on words: the longest common subsequence has to hold nearly all
 of the item, or most of it with the item's ending, its answer. Where `gram_words`
 words in a row are those of an item the same check is made, whatever the cosine,
-so that verbatim copies are found of items that have no weight in the space.
+so that verbatim copies are found of items that have no weight in the space. Words of
+most passages have none; an item of which they are most is met by `weak_gram_words`
+in a row, so that its paraphrases are found as well.
 
 A word that stands in few distinct contexts is as telling as one that occurs as
 often as it has contexts: a leak that is copied everywhere keeps its weight.
 
 Words are runs of letters, digits and bytes above 0x7F, ASCII in lower case.
 Items of fewer than `gram_words` words can't be told from chance by likeness: they
-are found where all of their words stand in a row.
+are found where all of their words stand in a row. Of passages that are equally
+like an item each is checked; the best one is told, ties by the higher cosine.
 
 Nulls: null texts and items have no words, and items without words are in no
 text. A null item_id or doc_id is carried. Repeated rows give their pairs once,
@@ -212,8 +215,8 @@ def short_places(items: list[tuple[int | None, list[int]]]) -> list[tuple[int, n
 def _search(model, stride: int, cosine: float, likeness: float, certain: float, answer_words: int, mass_share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
-        terms, weight, space, latent, norms, items, counts, grams, places, gram_words, short = model.value
-        gram_terms = Terms(grams)
+        terms, weight, space, latent, norms, items, counts, by_grams, short = model.value
+        in_rows = [(n, Terms(grams), places) for n, grams, places in by_grams]
         exact = [(n, Terms(h), own) for n, h, own in short]
         masks = [(item_id, len(w), _masks(w), _masks(w[-answer_words:]), min(answer_words, len(w))) for item_id, w in items]
         least = mass_share * float((norms[norms > 0] ** 2).min(initial=np.inf))
@@ -250,10 +253,12 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
                 first, at = strides(words, stride)
                 n = int(first[-1])
                 all_where, all_col = terms.columns(hashes)
-                in_row, begins = shingles(hashes, words, gram_words)
-                spots, which = gram_terms.columns(in_row)
-                texts = np.searchsorted(begins, spots, "right") - 1
-                met = {(item, t, words[t] + x - begins[t] - place) for x, g, t in zip(spots.tolist(), which.tolist(), texts.tolist(), strict=True) for item, place in places[g]}
+                met: set[tuple[int, int, int]] = set()
+                for of_words, gram_terms, places in in_rows:
+                    in_row, begins = shingles(hashes, words, of_words)
+                    spots, which = gram_terms.columns(in_row)
+                    texts = np.searchsorted(begins, spots, "right") - 1
+                    met |= {(item, t, words[t] + x - begins[t] - place) for x, g, t in zip(spots.tolist(), which.tolist(), texts.tolist(), strict=True) for item, place in places[g]}
                 for item, t, begin in met:
                     item_id, size = masks[item][:2]
                     share = held_share(item, max(words[t], begin - size), min(words[t + 1], begin + 2 * size), hashes, all_where, all_col)
@@ -304,7 +309,7 @@ def _search(model, stride: int, cosine: float, likeness: float, certain: float,
 FOUND = "doc_id long, mark long, item_id long, lcs_share double, cosine double"
 
 
-def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int = 256, sketch: int = 256, cosine: float = 0.35, likeness: float = 0.6, certain: float = 0.75, answer_words: int = 6, items_at_once: int = 1000, most_share: float = 0.05, gram_words: int = 8, mass_share: float = 0.4) -> DataFrame:
+def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int = 256, sketch: int = 256, cosine: float = 0.35, likeness: float = 0.6, certain: float = 0.75, answer_words: int = 6, items_at_once: int = 1000, most_share: float = 0.05, gram_words: int = 8, mass_share: float = 0.4, weak_gram_words: int = 4, least_told: float = 0.5) -> DataFrame:
     """doc_id, mark (the xxhash64 of the text), item_id, lcs_share and cosine (of the best passage) for each document that holds an item.
 
     cosine is null where only words in a row led to the item. Passages are candidates whose weight is `mass_share` of
@@ -353,7 +358,13 @@ def leaks(documents: DataFrame, benchmark: DataFrame, size: int = 64, rank: int
         norms = np.where(length[:, 0] > 1e-9, norms, 0.0)  # such items are found by words in a row only
         latent = np.where(length > 1e-9, latent / np.maximum(length, 1e-9), 0.0).astype(np.float32)
         kept = [(a, w.tolist()) for a, w in items]
-        model = (terms, weight, space, latent, norms, kept, matrix.astype(np.float32), *gram_places([w for _, w in kept], gram_words), gram_words, short_places([(a, w.tolist()) for a, w in short]))
+        by_grams = [(gram_words, *gram_places([w for _, w in kept], gram_words))]
+        # items most of whose words say nothing in the space are met by fewer words in a row
+        weak = np.flatnonzero((matrix * (weight > 0)).sum(axis=1) < least_told * matrix.sum(axis=1)).tolist()
+        if weak:
+            grams, places = gram_places([kept[k][1] for k in weak], weak_gram_words)
+            by_grams.append((weak_gram_words, grams, [[(weak[k], place) for k, place in at] for at in places]))
+        model = (terms, weight, space, latent, norms, kept, matrix.astype(np.float32), by_grams, short_places([(a, w.tolist()) for a, w in short]))
         searched = docs.mapInArrow(_search(spark.sparkContext.broadcast(model), stride, cosine, likeness, certain, answer_words, mass_share), FOUND)
         out = out.unionByName(searched)
     by_space = F.when(F.col("cosine").isNotNull(), F.struct("lcs_share", "cosine"))

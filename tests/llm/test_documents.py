@@ -133,6 +133,23 @@ def test_leaks_that_are_frequent(spark):
     assert 900 in {r["doc_id"] for r in got if r["item_id"] == 2}
 
 
+def test_paraphrases_of_common_words(spark):
+    import random
+
+    # items of words that are each in more than a twentieth of the passages, told again with four of 24 words changed
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(80)]
+    items = [[rng.choice(common) for _ in range(24)] for _ in range(40)]
+    docs = [(i, " ".join(rng.choice(common) for _ in range(rng.randint(60, 200)))) for i in range(400)]
+    for k, words in enumerate(items):
+        told = [f"x{k}y{i}" if i % 6 == 5 else w for i, w in enumerate(words)]
+        docs.append((1000 + k, " ".join([rng.choice(common) for _ in range(40)] + told + [rng.choice(common) for _ in range(40)])))
+    got = leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    assert len({k for k in range(40) if (1000 + k, k) in pairs}) >= 36
+    assert len({d for d, _ in pairs if d < 1000}) == 0
+
+
 def test_leaks_against_brute_force(spark):
     import random
     import re
