@@ -262,7 +262,8 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 102
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     After a round the sequences that aren't full are dissolved, and their pieces, a small part of all, meet in new blocks,
-    until one block holds what is left. Its islands settle their packings in `steps`.
+    until a round saves no sequence or none can be saved. Where one block holds all that is left, its islands settle their
+    packings in `steps`.
     """
     small_batches(documents.sparkSession)
     out = [x.split(" ")[0] for x in PIECES.split(", ")]
@@ -272,11 +273,13 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, capacity: int = 102
     left, salt, before = cut.where(F.col("length") < capacity), 1, None
     while True:
         n = left.count()
-        # if all sequences that a round made are loose, another one changes nothing
-        last = n <= block_size or n == before
-        now = saved(_round(left, n, capacity, block_size, islands, epochs, population, generations, steps if last else 0, salt), "packed")
+        single = n <= block_size
+        now = saved(_round(left, n, capacity, block_size, islands, epochs, population, generations, steps if single else 0, salt), "packed")
         full = F.col("fill") == capacity
+        made, loose, tokens = now.agg(F.count_distinct("sequence_id"), F.count_distinct(F.when(~full, F.col("sequence_id"))), F.coalesce(F.sum(F.when(~full, F.col("length"))), F.lit(0))).first()
+        # no more rounds where one block has settled, where loose ones are as few as their tokens allow, or where a round has saved none
+        last = single or loose <= -(-tokens // capacity) or before is not None and made >= before
         whole = whole.unionByName((now if last else now.where(full)).select(*whole.columns))
         if last:
             return whole
-        left, salt, before = now.where(~full).select("no", *out), salt + 1, n
+        left, salt, before = now.where(~full).select("no", *out), salt + 1, loose
