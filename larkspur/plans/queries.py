@@ -192,6 +192,13 @@ def calendar(rows):
     return rows.select("id", D.add_days(d, 5).alias("plus"), D.monday_of(d).alias("monday"), D.sunday_of(d).alias("sunday"), D.upcoming_friday(d).alias("friday"), D.digest_window(d)[1].alias("digest_end"), D.visible_week(d, 2)[0].alias("week2"), D.header_label(d).alias("label"), D.short_label(d).alias("short"), D.compact_range(d, e).alias("span"), D.long_label(d, e).alias("long"))
 
 
+@query("listings", "SELECT id, event_date_start AS start, event_date_start + CAST(7 - isodow(event_date_start) AS INT) AS finish FROM listings")
+def visible_weeks(rows):
+    """The current week, from today on."""
+    start, finish = D.visible_week(F.col("event_date_start"), 0)
+    return rows.select("id", start.alias("start"), finish.alias("finish"))
+
+
 @query("events", "SELECT event_id, CAST(ts + INTERVAL 8 HOUR AS DATE) AS d FROM events")
 def local_days(rows):
     return rows.select("event_id", D.today_in(F.col("ts")).alias("d"))
