@@ -107,6 +107,23 @@ def test_content_area(spark):
     assert [(r["a"], r["b"]) for r in got] == [c[1:] for c in cases]
 
 
+def test_content_area_with_references_cut_short(spark):
+    import duckdb
+
+    from larkspur.functions.content import content_area
+    from larkspur.plans import queries as plans
+
+    cut = '<div class="ad">les&amp;&ampcut</div><article>a&amp; b&#39;s &lt;c&gt; d & e&lt f&#38 g&#x21;</article>'
+    got = spark.createDataFrame([(cut,)], "html string").select(*[content_area(F.col("html"), ("article",), ended=e) for e in (False, True)]).first()
+    assert tuple(got) == ("a& b's <c> d & e< f& g!", "a& b's <c> d & e&lt f&#38 g!")
+    pages = spark.createDataFrame([(1, "u", cut.replace("&#x21;", ""))], "page_id long, url string, html string")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [cut.replace("&#x21;", "")])
+    query = plans.QUERIES["content_areas"].__closure__
+    found = next(x.cell_contents for x in query if getattr(x.cell_contents, "__name__", "") == "content_areas")(pages)
+    assert [tuple(r) for r in found.select("page_id", "advert", "article").collect()] == c.sql(plans.ORACLE_SQL["content_areas"]).fetchall()
+
+
 def test_detail_pages_describe_their_listings(spark):
     link = lambda k: f'<a href="https://www.scape.sg/whats-on/{k}"><h3>{k}</h3><p>6 Mar 2026</p></a>'
     detail = lambda k, body: page("scape", body, 0, f"https://www.scape.sg/whats-on/{k}", "detail")
