@@ -37,11 +37,12 @@ def zero_sources(runs: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.where(F.col("error").isNull() & (F.coalesce("events_found", F.lit(0)) == 0)).select("source")
 
 
-def pipeline_report(cycle: DataFrame, counters: DataFrame | None = None, crash: str | None = None) -> DataFrame:
+def pipeline_report(cycle: DataFrame, counters: DataFrame | None = None, crash: str | None = None, both_heads: bool = False) -> DataFrame:
     """One row about a cycle of sources and, with counters, a run of scoring: issue flags, the total found, a subject, a summary and the whole text.
 
     The text has the issues, if there are any, then each source with its count or failure, then what scoring came to.
-    crash: what ended scoring before its time.
+    crash: what ended scoring before its time. both_heads: with issues, sources with nothing found and sources that
+    failed are both headed, even where there are none of one kind.
     """
     said = lambda c: F.col(c).cast("string")
     lines = lambda cond, line: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("source", line.alias("l"))))), lambda x: x["l"])
@@ -63,7 +64,7 @@ def pipeline_report(cycle: DataFrame, counters: DataFrame | None = None, crash:
     subject = F.lit("Sources: alert") if counters is None else F.when(issues, "Pipeline: issues found").otherwise("Pipeline: all well")
     words = {"total": "found", "included": "included", "excluded": "excluded", "deduplicated": "deduplicated", "errors": "errors"}
     summary = F.lit(None).cast("string") if counters is None else F.concat_ws(", ", *[F.concat(said(k), F.lit(f" {w}")) for k, w in words.items()])
-    under = lambda head, xs: F.when(F.size(xs) > 0, F.concat(F.lit(head + "\n"), F.array_join(xs, "\n")))
+    under = lambda head, xs: F.when(F.lit(both_heads) | (F.size(xs) > 0), F.concat(F.lit(head + "\n"), F.array_join(xs, "\n")))
     trouble = F.concat_ws("\n", F.lit("ISSUES"), under("Sources with nothing found:", "zeros"), under("Sources that failed:", "failures"), F.when(F.col("errors") > 0, F.concat(F.lit("Scoring failed for "), said("errors"), F.lit(" listings"))), F.lit(None if crash is None else f"Scoring ended early: {crash or 'unknown error'}").cast("string"))
     scoring = None if counters is None else F.concat_ws("\n", F.lit("SCORING"), *[F.concat(F.lit(f"  {n.capitalize()}: "), said(n)) for n in names])
     body = F.concat_ws("\n\n", *([] if counters is None else [F.concat(F.lit("SUMMARY: "), summary)]), F.when(issues, trouble), F.concat(F.lit("SOURCES\n"), F.array_join("every", "\n")), *([] if scoring is None else [scoring]))

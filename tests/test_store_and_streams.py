@@ -60,6 +60,18 @@ def test_scorer_hook_and_counters(spark):
     assert (alone["has_issues"], alone["subject"], alone["summary"], alone["body"]) == (False, "Sources: alert", None, "SOURCES\n  c: 2 events")
 
 
+def test_report_with_both_heads(spark):
+    schema = "source string, events_found int, error string, status string"
+    rows = {"zero": ("a", 0, None, "zero"), "error": ("b", 0, "HTTP 500", "error"), "ok": ("c", 2, None, "ok")}
+    said = {}
+    for kinds in ("error", "zero", "ok", "zero error"):
+        cycle = spark.createDataFrame([rows[k] for k in kinds.split()], schema)
+        said[kinds] = [telemetry.pipeline_report(cycle, both_heads=b).first()["body"].partition("SOURCES")[0] for b in (False, True)]
+    assert said["error"] == ["ISSUES\nSources that failed:\n  - b: HTTP 500\n\n", "ISSUES\nSources with nothing found:\n\nSources that failed:\n  - b: HTTP 500\n\n"]
+    assert said["zero"] == ["ISSUES\nSources with nothing found:\n  - a\n\n", "ISSUES\nSources with nothing found:\n  - a\nSources that failed:\n\n\n"]
+    assert said["ok"] == ["", ""] and said["zero error"][0] == said["zero error"][1]
+
+
 def test_scorer_is_asked_again(spark, tmp_path):
     rows = spark.createDataFrame([(str(k), "bad" if k == 7 else "good") for k in range(10)], "id string, raw_title string").coalesce(1)
     marks = str(tmp_path)
