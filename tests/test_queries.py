@@ -69,6 +69,53 @@ def test_phase_two_sweeps_components_of_any_size(spark):
     assert dedup.phase_two(some.limit(0)).collect() == []
 
 
+LISTED = "id string, raw_title string, venue string, event_date_start date, event_date_end date, raw_description string, created_at timestamp, included boolean, is_duplicate boolean"
+
+
+def test_matching_finds_what_comparing_all_finds(spark):
+    import datetime as dt
+    import random
+
+    from pyspark.sql import functions as F
+
+    from larkspur.operators import dedup
+
+    rng = random.Random(5)
+    words = lambda some, most: " ".join(rng.choice(some) for _ in range(rng.randint(0, most)))
+    days = lambda: dt.date(2026, 3, 20) + dt.timedelta(days=rng.randint(0, 25))
+    rows = [(f"{i:03d}", words("pqrstu", 6), words("xyz", 3), days(), rng.choice([None, days()]), "", dt.datetime(2026, 1, 1), rng.choice([None, True]), False) for i in range(250)]
+    listings = spark.createDataFrame(rows, LISTED)
+    shapes = dedup._shaped(listings).cache()
+    a, b = (shapes.select(*[F.col(c).alias(f"{x}_{c}") for c in shapes.columns]) for x in "ab")
+    exact = dedup.titles_match(F.col("a_tt"), F.col("b_tt")) & dedup.venues_match(F.col("a_vt"), F.col("b_vt")) & dedup.dates_overlap(F.col("a_s"), F.col("a_e"), F.col("b_s"), F.col("b_e"))
+    want = {tuple(r) for r in a.crossJoin(b).where(exact).select("a_h", "b_h").collect()}
+    got = [tuple(r) for r in dedup.matching_shapes(listings, listings).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
+
+
+def test_near_copies_are_not_compared_with_each_other(spark):
+    import datetime as dt
+
+    from larkspur.operators import dedup
+
+    day, at = dt.date(2026, 3, 1), dt.datetime(2026, 1, 1)
+    rows = [(f"{i:04d}", f"der und zu k{i} m{i}", "Hof 12", day, None, "", at, True if i % 2 else None, False) for i in range(1000)]
+    rows += [("9998", "der und zu", "Hof 12", day - dt.timedelta(days=3), day, "", at, True, False), ("9999", "der der", "Hof", day, None, "", at, None, False)]
+    found = dedup.phase_one(spark.createDataFrame(rows, LISTED))
+    assert {r["canonical_id"] for r in found.collect()} == {"9998"} and found.count() == 501
+    seen = {}
+    plan = found._jdf.queryExecution().executedPlan()
+    nodes = [plan.executedPlan() if "Adaptive" in plan.getClass().getSimpleName() else plan]
+    while nodes:
+        node = nodes.pop()
+        name = node.nodeName()
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            seen[node.hashCode()] = node.metrics().apply("numOutputRows").value()
+        below = node.plan() if "QueryStage" in name else None
+        nodes += [below] if below is not None else [node.children().apply(k) for k in range(node.children().size())]
+    assert seen and max(seen.values()) < 100_000
+
+
 def test_entry_registers_everything(spark):
     import __spark_entry__ as e
 
