@@ -8,10 +8,9 @@ date are no listings. Every function gives LISTING's columns.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -182,17 +181,15 @@ class _Cards(HTMLParser):
 def html_cards(landed: DataFrame, card: tuple, fields: dict[str, tuple]) -> DataFrame:
     """page_no, pos, href and texts (pairs of field and trimmed text, in page order) of the cards of landed pages."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for page, body in zip(pdf["page_no"], pdf["body"], strict=True):
-                parser = _Cards(card, fields)
-                parser.feed(body or "")
-                out += [(page, k, c["href"], [{"field": f, "text": t.strip()} for f, t in c["texts"]]) for k, c in enumerate(parser.cards)]
-            yield pd.DataFrame(out, columns=["page_no", "pos", "href", "texts"])
-
-    pages = landed.where("content_type not in ('detail', 'error')").select("page_no", "body")
-    return pages.mapInPandas(run, "page_no int, pos int, href string, texts array<struct<field:string,text:string>>")
+    # a hundred pages at a time, whatever their size: a batch of Arrow would be ten thousand
+    @F.udf("array<struct<href:string,texts:array<struct<field:string,text:string>>>>", useArrow=False)
+    def cards(body: str | None) -> list[tuple]:
+        parser = _Cards(card, fields)
+        parser.feed(body or "")
+        return [(c["href"], [(f, t.strip()) for f, t in c["texts"]]) for c in parser.cards]
+
+    pages = landed.where("content_type not in ('detail', 'error')")
+    return pages.select("page_no", F.posexplode(cards("body")).alias("pos", "c")).select("page_no", "pos", "c.href", "c.texts")
 
 
 def _field(name: str) -> Column:

@@ -75,6 +75,15 @@ def test_html_cards(spark):
     assert rows(L.srt(frame(spark, page("srt", show, kind="text/html")), today)) == [("https://www.srt.com.sg/show/a/", "Play", None, "Big Hall", d("2026-02-01"), d("2026-03-28")), ("https://www.srt.com.sg/show/b/", "Two", None, "KC Arts Centre", d("2026-03-07"), None)]
 
 
+def test_cards_come_a_hundred_pages_at_a_time(spark):
+    card = '<div class="event-card col-lg-4"><a href="/x/{}" class="event-card__title">t{}</a><p class="event-card__desc"> d </p></div>'
+    rows = spark.createDataFrame([page("thekallang", card.format(k, k) * 2, k) for k in range(300)], L.LANDED)
+    found = L.html_cards(rows, ("div", ("event-card", "col-lg-4"), ""), {"title": ("", ("event-card__title",), ""), "desc": ("", ("event-card__desc",), "")})
+    assert {(r["page_no"], r["pos"], r["href"], *[tuple(t) for t in r["texts"]]) for r in found.collect()} == {(k, p, f"/x/{k}", ("title", f"t{k}"), ("desc", "d")) for k in range(300) for p in (0, 1)}
+    plan = found._jdf.queryExecution().toString()
+    assert "BatchEvalPython" in plan and "MapInPandas" not in plan
+
+
 def test_bookmyshow_and_run_all(spark):
     today = F.lit("2026-02-01").cast("date")
     ld = lambda x: f'<script type="application/ld+json">{json.dumps(x)}</script>'
