@@ -92,6 +92,11 @@ def test_matching_finds_what_comparing_all_finds(spark):
     got = [tuple(r) for r in dedup.matching_shapes(listings, listings).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 500
 
+    ends = [x for r in dedup.matching_pairs(listings).collect() for x in r]
+    counts = dedup.link_counts(listings).collect()
+    assert {r["id"]: r["n_links"] for r in counts} == {r[0]: ends.count(r[0]) for r in rows}
+    assert len(counts) == len(rows) and len({r["class_id"] for r in counts}) == shapes.count()
+
 
 def test_near_copies_are_not_compared_with_each_other(spark):
     import datetime as dt
