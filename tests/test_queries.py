@@ -121,6 +121,38 @@ def test_near_copies_are_not_compared_with_each_other(spark):
     assert seen and max(seen.values()) < 100_000
 
 
+def test_near_copies_are_of_one_form(spark):
+    import datetime as dt
+
+    from larkspur.operators import dedup
+
+    day, at = dt.date(2026, 3, 1), dt.datetime(2026, 1, 1)
+    rows = [(f"{i:04d}", f"der und zu k{i} m{i % 7}", "Hof 12", day, None, "x" * (i * 37 % 101), at, None, False) for i in range(400)]
+    formed, pairs = dedup.forms(spark.createDataFrame(rows, LISTED))
+    assert formed.count() == 400 and pairs.count() == 1
+
+
+def test_phase_two_of_any_words_and_dates_equals_a_pass(spark):
+    import datetime as dt
+    import random
+
+    from larkspur.operators import dedup
+
+    # some end before they start: these match what covers both days, but not their copies
+    rng = random.Random(8)
+    words = lambda some, most: " ".join(rng.choice(some) for _ in range(rng.randint(0, most)))
+    days = lambda: dt.date(2026, 3, 20) + dt.timedelta(days=rng.randint(0, 25))
+    rows = [(f"{i:03d}", words("pqrstuvw", 6), words("xyz", 3), days(), rng.choice([None, days()]), "d" * rng.randint(0, 9), dt.datetime(2026, 1, rng.randint(1, 9)), None, False) for i in range(220)]
+    rows += [(f"{i:03d}", "pp qq", "xx", dt.date(2026, 4, 9), dt.date(2026, 4, 5), "", dt.datetime(2026, 1, 1), None, False) for i in range(300, 303)]
+    rows += [("400", "pp qq", "xx", dt.date(2026, 4, 9), None, "ddd", dt.datetime(2026, 1, 1), None, False), ("401", "pp qq", "xx", dt.date(2026, 4, 1), dt.date(2026, 4, 20), "", dt.datetime(2026, 1, 2), None, False), ("402", "pp qq", "xx", dt.date(2026, 4, 9), dt.date(2026, 4, 20), "", dt.datetime(2026, 1, 1), None, False)]
+    listings = spark.createDataFrame(rows, LISTED)
+    for some in (listings.where("id < '300'"), listings.where("id >= '300'")):
+        links = {(r["a"], r["b"]) for r in dedup.matching_pairs(some).collect()}
+        order = sorted(map(tuple, some.collect()), key=lambda r: (r[3], r[0]))
+        want = dedup.sweep([(r[0], len(r[5]), r[6]) for r in order], links)
+        assert [(r["duplicate_id"], r["canonical_id"]) for r in dedup.phase_two(some).orderBy("seq").collect()] == [x[:2] for x in want] and want
+
+
 def test_entry_registers_everything(spark):
     import __spark_entry__ as e
 
