@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import written
 from ..sources import landed as L
 from .queries import DAY, _said, day, query
 
@@ -167,16 +168,17 @@ BROKEN = {
 
 
 def all_landed(rows: DataFrame) -> DataFrame:
-    """Listings dealt to the sources by their tags, with bodies that can't be read after the others of their page."""
+    """Listings dealt to the sources by their tags, with bodies that can't be read after the others of their page. Every source reads its own listings alone, and its pages are made once."""
+    dealt = written(rows.select("id", "raw_title", "venue", "event_date_start", "event_date_end", "tag_no", "raw_description", (c("tag_no") % 10).alias("dealt")), "dealt")
     pages = None
     for k, name in enumerate(EXPECTED):
-        own = rows.where(c("tag_no") % 10 == k)
+        own = dealt.where(c("dealt") == k).drop("dealt")
         kind, body, _ = BROKEN[name]
         no = c("id").cast("long")
         bad = own.where(no % 40 == k).select(F.lit(name).alias("source"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), no.cast("int").alias("page_no"), F.concat(F.lit("https://bad.example/"), "id").alias("url"), F.lit(kind).alias("content_type"), F.lit(body).cast("string").alias("body"))
         both = landed(own, name).unionByName(bad)
         pages = both if pages is None else pages.unionByName(both)
-    return pages
+    return written(pages, "source")
 
 
 _CASES = " ".join(f"WHEN {k} THEN {where}" for k, (_, where, *_) in enumerate(EXPECTED.values()))

@@ -163,3 +163,8 @@ def test_entry_registers_everything(spark):
 def test_dedup_plan_has_no_cross_join(spark, sf_dir):
     plan = plans.QUERIES["matching_pairs"](spark, sf_dir)._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_pages_of_all_sources_are_made_once(spark, sf_dir):
+    plan = plans.QUERIES["all_sources_report"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "doc_id" not in plan
