@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import joined_to, lean_worker, mixed, partitions, saved, shingles, small_batches, utf8, word_chunks
-from .components import component_labels
+from .common import lean_worker, mixed, partitions, saved, shingles, small_batches, utf8, word_chunks
+from .components import component_labels, forest
 
 SKETCH_BLOCK, SET_BLOCK = 2048, 512
 
@@ -83,21 +83,6 @@ def whole_runs(batches: Iterator[pa.RecordBatch], key: str, least: int = 4096) -
         yield pa.Table.from_batches(held)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node that it reaches over the links a - b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def by_blocks(df: DataFrame, key: str, size: str, block: int, item: str) -> DataFrame:
     """Rows dealt to pairs of blocks of their key: adds `unit`, a number of the pair, and `block`, this row's own one of the two."""
     blocks = F.ceil(F.col(size) / block).cast("int")
@@ -288,7 +273,6 @@ def near_copies(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall
     known = docs.where("doc_id is not null and text is not null")
 
     marked = saved(known.mapInArrow(_sketch_rows(bands, rows, n), "doc_id long, mark long, name binary, sketch binary"), "sketches")
-    total = max(1, marked.count())
     by_name = marked.groupBy("name").agg(F.min(F.struct("doc_id", "mark")).alias("d"), F.count("*").alias("n"), F.first("sketch").alias("sketch"))
     classes = saved(by_name.select("name", F.col("d.doc_id").alias("doc"), F.col("d.mark").alias("mark"), "n", "sketch", F.xxhash64("name").alias("rep")), "classes")
 
@@ -300,11 +284,12 @@ def near_copies(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall
     likely = units.repartition(deal, "unit").sortWithinPartitions("unit").mapInArrow(_likely(bands, rows, floor), "a long, b long")
     groups = saved(component_labels(likely), "likely")
 
+    # facts of groups and classes are written before rows are joined to them, so that Spark can split a frequent key's rows
     # small groups share a unit, large ones are cut into blocks
     counted = saved(groups.groupBy("label").agg(F.count("*").alias("members")), "groups")
     grouped = groups.count()
     shelves = max(1, grouped // 128)
-    placed = joined_to(groups, counted, ["label"], "members", grouped).select(F.col("id").alias("rep"), F.col("label").alias("home"), "members")
+    placed = groups.join(counted, "label").select(F.col("id").alias("rep"), F.col("label").alias("home"), "members")
     placed = placed.join(classes.select("rep", "doc", "mark", "name", "n"), "rep")
     sets = known.join(placed.withColumnRenamed("doc", "doc_id"), ["doc_id", "mark"]).mapInArrow(_set_rows(n), "rep long, n long, home long, members long, grams binary")
     small = F.col("members") <= SET_BLOCK // 8
@@ -314,13 +299,13 @@ def near_copies(documents: DataFrame, threshold: float = 0.8, n: int = 5, recall
 
     labels = component_labels(links.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "rep")
     linked = saved(labels.join(classes.select("rep", "doc", "name"), "rep"), "labels")
-    smallest = linked.groupBy("label").agg(F.min(F.struct("doc", "name")).alias("first"), F.count("*").alias("size"))
-    tied = joined_to(linked.select("rep", "label"), smallest, ["label"], "size", max(1, linked.count())).select("rep", "first")
+    smallest = saved(linked.groupBy("label").agg(F.min(F.struct("doc", "name")).alias("first")), "smallest")
+    tied = linked.select("rep", "label").join(smallest, "label").select("rep", "first")
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     by_class = classes.select("name", "rep", "doc", "n").join(counts, "rep", "left").join(tied, "rep", "left")
     own = F.struct(F.col("doc"), F.col("name"))
-    by_class = by_class.select("name", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("first", own).alias("first"))
-    out = joined_to(marked.select("doc_id", "mark", "name"), saved(by_class, "linked"), ["name"], "n", total)
+    by_class = by_class.select("name", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("first", own).alias("first"))
+    out = marked.select("doc_id", "mark", "name").join(saved(by_class, "linked"), "name")
     out = out.select("doc_id", "mark", F.col("first.doc").alias("class_id"), "n_links", ((F.col("doc_id") == F.col("first.doc")) & (F.col("name") == F.col("first.name"))).alias("kept"))
     # texts without words took no part so far
     empty = docs.where(F.col("doc_id").isNull() | F.col("text").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x00-\\x20]"), F.lit(False)))

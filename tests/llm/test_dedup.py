@@ -137,3 +137,20 @@ def test_near_vectors_against_brute_force(spark):
     assert sorted(map(tuple, split)) == sorted(map(tuple, got))
     assert {r["vec_id"]: r["component_id"] for r in got}[40] == 0 and not {r["vec_id"]: r["kept"] for r in got}[40]
     assert near_vectors(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_components_take_few_jobs(spark):
+    """A hub, a long path and many small components, in few jobs of the driver."""
+    edges = [(1000 + k, 5) for k in range(400)] + [(k, k + 1) for k in range(2000, 2600)] + [(10_000 + 2 * k, 10_001 + 2 * k) for k in range(300)]
+    edges += [(9_000, 8_000 + k) for k in range(400)] + [(5, 5), (None, 1)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    spark.sparkContext.setJobGroup("components", "components")
+    try:
+        labels = component_labels(df)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("components"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    got = {r["id"]: r["label"] for r in labels.collect()}
+    want = {1000 + k: 5 for k in range(400)} | {5: 5} | {k: 2000 for k in range(2000, 2601)} | {10_000 + 2 * k + j: 10_000 + 2 * k for k in range(300) for j in (0, 1)}
+    assert got == want | {8_000 + k: 8_000 for k in range(400)} | {9_000: 8_000}
+    assert jobs <= 50, jobs  # 137 with stars made by joins
