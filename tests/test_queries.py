@@ -98,6 +98,32 @@ def test_matching_finds_what_comparing_all_finds(spark):
     assert len(counts) == len(rows) and len({r["class_id"] for r in counts}) == shapes.count()
 
 
+def test_matching_pairs_names_both_rows_of_every_link(spark):
+    import datetime as dt
+    import random
+
+    from larkspur.operators import dedup
+
+    def query(listings):
+        return next(x.cell_contents for x in plans.QUERIES["matching_pairs"].__closure__ if getattr(x.cell_contents, "__name__", "") == "matching_pairs")(listings)
+
+    # copies, near copies of one form, and rows that end before they start, in forms of more rows than a block has
+    rng = random.Random(11)
+    words = lambda some, most: " ".join(rng.choice(some) for _ in range(rng.randint(0, most)))
+    day, at = dt.date(2026, 3, 1), dt.datetime(2026, 1, 1)
+    days = lambda: day + dt.timedelta(days=rng.randint(0, 12))
+    rows = [(f"{rng.choice('abc')}{i}", words("pqrstu", 6), words("xyz", 3), days(), rng.choice([None, days()]), "", at, None, False) for i in range(120)]
+    rows += [(f"{rng.choice('abc')}{i}", "der und zu" + rng.choice(["", f" k{i}"]), "Hof 12", day + dt.timedelta(days=i % 2), day + dt.timedelta(days=i % 3), "", at, None, False) for i in range(200, 290)]
+    duck, listings = duckdb.connect(), spark.createDataFrame(rows, LISTED)
+    duck.execute("CREATE TABLE listings (id VARCHAR, raw_title VARCHAR, venue VARCHAR, event_date_start DATE, event_date_end DATE)")
+    duck.executemany("INSERT INTO listings VALUES (?, ?, ?, ?, ?)", [r[:5] for r in rows])
+    said = plans.ORACLE_SQL["matching_pairs"]
+    want = sorted(duck.sql("WITH " + said[said.index("worded AS (") :]).fetchall())
+    assert query(listings).columns == ["a", "b"] and len(want) > 2500
+    assert sorted(map(tuple, query(listings).collect())) == want
+    assert sorted(map(tuple, dedup.matching_pairs(listings, most=7).collect())) == want
+
+
 def test_near_copies_are_not_compared_with_each_other(spark):
     import datetime as dt
 
