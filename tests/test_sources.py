@@ -133,6 +133,21 @@ def test_content_area_with_references_cut_short(spark):
     assert [tuple(r) for r in found.select("page_id", "advert", "article").collect()] == c.sql(plans.ORACLE_SQL["content_areas"]).fetchall()
 
 
+def test_content_areas_has_whole_texts(spark):
+    import duckdb
+
+    from larkspur.plans import queries as plans
+
+    said = [("ad " * 1500).strip(), "wort &amp; text " * 3000 + "ende"]
+    html = f'<div class="ad">{said[0]}</div><p>x</p><article><p>{said[1]}</p></article>'
+    query = next(x.cell_contents for x in plans.QUERIES["content_areas"].__closure__ if getattr(x.cell_contents, "__name__", "") == "content_areas")
+    found = query(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"))
+    c = duckdb.connect()
+    c.execute("CREATE TABLE pages AS SELECT 1 AS page_id, ? AS html", [html])
+    got = [tuple(r) for r in found.select("page_id", "advert", "article").collect()]
+    assert got == [(1, said[0], said[1].replace("&amp;", "&"))] == c.sql(plans.ORACLE_SQL["content_areas"]).fetchall()
+
+
 def test_detail_pages_describe_their_listings(spark):
     link = lambda k: f'<a href="https://www.scape.sg/whats-on/{k}"><h3>{k}</h3><p>6 Mar 2026</p></a>'
     detail = lambda k, body: page("scape", body, 0, f"https://www.scape.sg/whats-on/{k}", "detail")
